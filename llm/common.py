@@ -50,11 +50,13 @@ def bit_rows(hashes: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(bits.view(np.int64), pa.int64())], ["word", "bits"])
 
 
-def bitmap(rows: DataFrame) -> np.ndarray:
-    """The bitmap that rows (word, bits) make: at most BITMAP_BITS/64 rows come to the driver."""
-    t = rows.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    out = np.zeros(BITMAP_BITS // 64, np.uint64)
-    out[t["word"].to_numpy()] = t["bits"].to_numpy().view(np.uint64)
+def bitmaps(rows: DataFrame, levels: int = 1) -> list[np.ndarray]:
+    """The bitmaps that rows (level, word, bits) make: at most BITMAP_BITS/64 rows a level come to the driver."""
+    t = rows.groupBy("level", "word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    out = [np.zeros(BITMAP_BITS // 64, np.uint64) for _ in range(levels)]
+    level, word, bits = t["level"].to_numpy(), t["word"].to_numpy(), t["bits"].to_numpy().view(np.uint64)
+    for k, m in enumerate(out):
+        m[word[level == k]] = bits[level == k]
     return out
 
 
