@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.parts import parts
 
-#: Entries in a worker's cache, which is emptied when it is full.
-CACHE = 400_000
+#: Entries in each of a worker's caches, which are emptied when they are full.
+CACHE = 800_000
 #: Words replayed at once.
 REPLAY_WORDS = 100_000
 
@@ -67,8 +67,6 @@ class Replay:
         key = a << 32 | b
         r = self.known.get(key)
         if r is None:
-            if len(self.known) > 2_000_000:
-                self.known.clear()
             r = self.known[key] = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
         return r
 
@@ -88,6 +86,8 @@ class Replay:
         return out
 
     def _replay(self, words: list[bytes]) -> list[np.ndarray]:
+        if len(self.known) > CACHE:
+            self.known.clear()
         size = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(size)
         raw = self.single[np.frombuffer(b"".join(words), np.uint8)]
@@ -111,7 +111,7 @@ class Replay:
         heapq.heapify(heap)
         sym, nxt, prv = raw.tolist(), nxt.tolist(), prv.tolist()
         odd: list[int] = []
-        of, ranks, vocab, known = self._rank, self.ranks, self.vocab, self.known
+        of, get = self._rank, self.known.get
         while heap:
             r = heapq.heappop(heap)
             places = index.pop(r)
@@ -121,7 +121,7 @@ class Replay:
                 if a < 0:
                     continue
                 q = nxt[p]
-                if q < 0 or of(a, sym[q]) != r:
+                if q < 0 or get(a << 32 | sym[q]) != r:  # every pair that stands here has been asked for
                     continue
                 sym[p] = r
                 sym[q] = -1
@@ -129,7 +129,9 @@ class Replay:
                 before = prv[p]
                 if after >= 0:
                     prv[after] = p
-                    new = of(r, sym[after])
+                    new = get(r << 32 | sym[after])
+                    if new is None:
+                        new = of(r, sym[after])
                     if new >= 0:
                         if new < r:
                             odd.append(p)
@@ -139,7 +141,9 @@ class Replay:
                             index[new] = [p]
                             heapq.heappush(heap, new)
                 if before >= 0:
-                    new = of(sym[before], r)
+                    new = get(sym[before] << 32 | r)
+                    if new is None:
+                        new = of(sym[before], r)
                     if new >= 0:
                         if new < r:
                             odd.append(p)
@@ -179,15 +183,19 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.first: dict[str, bytes] = {}  # ids of pieces at the start of a text
         self.later: dict[str, bytes] = {}  # of pieces after a space
+        self.words: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str], cache: dict[str, bytes], lead: str) -> None:
         for k in range(0, len(pieces), REPLAY_WORDS):
             part = pieces[k : k + REPLAY_WORDS]
-            split = [[w.encode("utf-8", "replace") for w in self.find(lead + p)] for p in part]
-            corpus = list({w for s in split for w in s})
-            ids = dict(zip(corpus, (x.tobytes() for x in self.replay.words(corpus))))
+            split = [self.find(lead + p) for p in part]
+            if len(self.words) > CACHE:
+                self.words.clear()
+            known = self.words
+            corpus = list({w for s in split for w in s} - known.keys())
+            known.update(zip(corpus, (x.tobytes() for x in self.replay.words([w.encode("utf-8", "replace") for w in corpus]))))
             for p, s in zip(part, split):
-                cache[p] = b"".join([ids[w] for w in s])
+                cache[p] = known[s[0]] if len(s) == 1 else b"".join([known[w] for w in s])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
