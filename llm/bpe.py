@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.common import trim
 from llm.parts import parts
 
 #: Entries in each of a worker's caches, which are emptied when they are full.
@@ -178,7 +179,8 @@ class Replay:
 class Encoder:
     """Texts to ids with a bounded cache of pieces; one per Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE) -> None:
+        self.cache = cache
         self.replay = Replay(ranks)
         self.find = regex.compile(pattern).findall
         self.first: dict[str, bytes] = {}  # ids of pieces at the start of a text
@@ -189,7 +191,7 @@ class Encoder:
         for k in range(0, len(pieces), REPLAY_WORDS):
             part = pieces[k : k + REPLAY_WORDS]
             split = [self.find(lead + p) for p in part]
-            if len(self.words) > CACHE:
+            if len(self.words) > self.cache:
                 self.words.clear()
             known = self.words
             corpus = list({w for s in split for w in s} - known.keys())
@@ -199,9 +201,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.later) > CACHE:
+        if len(self.later) > self.cache:
             self.later.clear()
-        if len(self.first) > CACHE // 4:
+        if len(self.first) > self.cache // 4:
             self.first.clear()
         split = [units(t) for t in texts]
         # where no cut is safe, the whole text is one piece
@@ -224,17 +226,18 @@ _encoders: dict = {}
 
 def _encoder(shared) -> Encoder:
     """This worker's encoder, which outlives a task."""
-    data, pattern = shared.value
-    key = (hashlib.sha256(data).digest(), pattern)
+    data, pattern, cache = shared.value
+    key = (hashlib.sha256(data).digest(), pattern, cache)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(parse_ranks(data), pattern)
+        trim()
+        _encoders[key] = Encoder(parse_ranks(data), pattern, cache)
     return _encoders[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``ids`` (array of int) of the text's token ids."""
-    shared = docs.sparkSession.sparkContext.broadcast((read_file(docs.sparkSession, ranks_path), pattern))
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", cache: int = CACHE) -> DataFrame:
+    """``docs`` with a column ``ids`` (array of int) of the text's token ids; ``cache`` entries a worker keeps, where memory is short."""
+    shared = docs.sparkSession.sparkContext.broadcast((read_file(docs.sparkSession, ranks_path), pattern, cache))
 
     def run(batches):
         e = _encoder(shared)
@@ -257,7 +260,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``encoded`` (with ``ids``) with a column ``decoded`` (binary)."""
     from pyspark.sql import types as T
 
-    shared = encoded.sparkSession.sparkContext.broadcast((read_file(encoded.sparkSession, ranks_path), pattern))
+    shared = encoded.sparkSession.sparkContext.broadcast((read_file(encoded.sparkSession, ranks_path), pattern, CACHE))
 
     def run(batches):
         e = _encoder(shared)
@@ -270,7 +273,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids, in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast((read_file(docs.sparkSession, ranks_path), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((read_file(docs.sparkSession, ranks_path), pattern, CACHE))
 
     def run(batches):
         e = _encoder(shared)

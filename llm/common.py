@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -36,6 +38,15 @@ def hashed_id(name: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("null")).cast("binary"))
 
 
+def trim() -> None:
+    """Give memory that an earlier task of this worker freed back to the system, before a large structure is built."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: its allocator decides
+
+
 # ---------------------------------------------------------------- fixed-size bitmaps
 
 
