@@ -23,5 +23,5 @@ def test_query_gives_the_rows_of_its_sql(spark, con, name):
     b = con.sql(plans.oracle_sql()[name]).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
-    key = lambda df: sorted(tuple(round(float(v), 3) if isinstance(v, float) else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
+    key = lambda df: sorted((tuple("null" if v != v or v is None else round(float(v), 3) if isinstance(v, float) else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)), key=str)
     assert key(a) == key(b)
