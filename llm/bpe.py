@@ -22,12 +22,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.common import trim
-from llm.parts import parts
+from llm.parts import PART_BYTES, parts
 
 #: Entries in each of a worker's caches, which are emptied when they are full.
 CACHE = 800_000
-#: Words replayed at once.
-REPLAY_WORDS = 100_000
+#: Bytes of words replayed at once (one longer word is replayed alone), and pieces looked up at once.
+REPLAY_BYTES = 200_000
+LEARN_PIECES = 20_000
+#: Characters of a piece that is kept in a cache; longer ones are encoded wherever they occur, so that caches are bounded in bytes.
+LONG = 64
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 
@@ -54,8 +57,9 @@ def units(text: str) -> list[str] | None:
 
 
 class Replay:
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], cache: int = CACHE) -> None:
         self.ranks = ranks
+        self.cache = cache
         size = max(ranks.values(), default=-1) + 1
         self.vocab = [b""] * size
         for k, v in ranks.items():
@@ -81,13 +85,19 @@ class Replay:
                 rest.append(i)
             else:
                 out[i] = np.array([] if whole is None else [whole], "<u4")
-        if rest:
-            for i, ids in zip(rest, self._replay([words[i] for i in rest])):
+        at = 0
+        while at < len(rest):
+            to, size = at + 1, len(words[rest[at]])
+            while to < len(rest) and size + len(words[rest[to]]) <= REPLAY_BYTES:
+                size += len(words[rest[to]])
+                to += 1
+            for i, ids in zip(rest[at:to], self._replay([words[i] for i in rest[at:to]])):
                 out[i] = ids
+            at = to
         return out
 
     def _replay(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known.clear()
         size = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(size)
@@ -181,15 +191,15 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE) -> None:
         self.cache = cache
-        self.replay = Replay(ranks)
+        self.replay = Replay(ranks, cache)
         self.find = regex.compile(pattern).findall
         self.first: dict[str, bytes] = {}  # ids of pieces at the start of a text
         self.later: dict[str, bytes] = {}  # of pieces after a space
         self.words: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str], cache: dict[str, bytes], lead: str) -> None:
-        for k in range(0, len(pieces), REPLAY_WORDS):
-            part = pieces[k : k + REPLAY_WORDS]
+    def _learn(self, pieces: list[str], into: dict[str, bytes], lead: str) -> None:
+        for k in range(0, len(pieces), LEARN_PIECES):
+            part = pieces[k : k + LEARN_PIECES]
             split = [self.find(lead + p) for p in part]
             if len(self.words) > self.cache:
                 self.words.clear()
@@ -197,7 +207,10 @@ class Encoder:
             corpus = list({w for s in split for w in s} - known.keys())
             known.update(zip(corpus, (x.tobytes() for x in self.replay.words([w.encode("utf-8", "replace") for w in corpus]))))
             for p, s in zip(part, split):
-                cache[p] = known[s[0]] if len(s) == 1 else b"".join([known[w] for w in s])
+                into[p] = known[s[0]] if len(s) == 1 else b"".join([known[w] for w in s])
+            for w in corpus:
+                if len(w) > LONG:
+                    del known[w]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -213,9 +226,15 @@ class Encoder:
         later = set()
         for s in split:
             later.update(s[1:])
-        self._learn(list(later - self.later.keys()), self.later, " ")
+        later -= self.later.keys()
+        self._learn(list(later), self.later, " ")
         get, first = self.later.__getitem__, self.first
-        return [first[s[0]] + b"".join(map(get, s[1:])) for s in split]
+        out = [first[s[0]] + b"".join(map(get, s[1:])) for s in split]
+        for pieces, cache in ((new, self.first), (later, self.later)):
+            for p in pieces:
+                if len(p) > LONG:
+                    del cache[p]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return self.replay.decode(np.frombuffer(ids, "<u4"))
@@ -235,13 +254,16 @@ def _encoder(shared) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", cache: int = CACHE) -> DataFrame:
-    """``docs`` with a column ``ids`` (array of int) of the text's token ids; ``cache`` entries a worker keeps, where memory is short."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", cache: int = CACHE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``docs`` with a column ``ids`` (array of int) of the text's token ids.
+
+    Where memory is short: ``cache`` bounds the entries a worker keeps, ``part_bytes`` the text it works on at once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((read_file(docs.sparkSession, ranks_path), pattern, cache))
 
     def run(batches):
         e = _encoder(shared)
-        for b, texts in parts(batches, text_col):
+        for b, texts in parts(batches, text_col, part_bytes):
             ids = [np.frombuffer(x, "<u4") for x in e.encode([t or "" for t in texts])]
             cut = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             col = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)))
