@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
@@ -10,59 +9,30 @@ from tessella.operators import communication as C
 from tessella.operators import models as M
 from tessella.operators import spatial as P
 from tessella.operators import tables as T
+from tessella.plans import cellwise, factors, neighbourhoods, statistics  # noqa: F401  they register their queries
+from tessella.plans.registry import EDGES, NEAR, PAIRS, QUERIES, RADIUS, SQL, edges, pairs, query, rounded
 from tessella.sources import views as V
 from tessella.streaming.incremental import windowed_counts
 
-RADIUS = 30.0
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-_D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
-_NEAR = f"near AS (SELECT a.cell_id AS i, b.cell_id AS j, {_D2} AS d2 FROM cells a JOIN cells b ON {_D2} <= {RADIUS * RADIUS}e0)"
-_EDGES = _NEAR + ",\nedges AS (SELECT i, j, exp(-d2 / {k}e0) AS w FROM near WHERE i <> j)".replace("{k}", repr(2 * S.sigma(RADIUS) ** 2))
-_PAIRS = "pairs AS (SELECT ligand AS g1, receptor AS g2 FROM lr UNION ALL SELECT ligand, ligand FROM lr WHERE ord <= 3)"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    c = V.cells(spark, d)
-    return P.range_join(c, c, RADIUS).where("i <> j").select("i", "j", S.gaussian(F.col("d2"), RADIUS).alias("w"))
-
-
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    lr = V.lr(spark, d)
-    return lr.select(F.col("ligand").alias("g1"), F.col("receptor").alias("g2")).union(lr.where("ord <= 3").select("ligand", "ligand"))
-
-
-def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
-
-
-@query(f"{V.with_views('cells', 'expr')}, {_NEAR}\nSELECT i AS cell_id, gene, round(sum(exp(-d2 / {2 * S.sigma(RADIUS) ** 2!r}e0) * value) / (SELECT count(*) FROM cells), 6) AS value FROM near JOIN expr ON j = expr.cell_id GROUP BY 1, 2")
+@query(f"{V.with_views('cells', 'expr')}, {NEAR}\nSELECT i AS cell_id, gene, round(sum(exp(-d2 / {2 * S.sigma(RADIUS) ** 2!r}e0) * value) / (SELECT count(*) FROM cells), 6) AS value FROM near JOIN expr ON j = expr.cell_id GROUP BY 1, 2")
 def a1_received_ligand(spark, d):
     c = V.cells(spark, d)
-    return _rounded(P.received(c, V.expr(spark, d), RADIUS, c.count()), "value")
+    return rounded(P.received(c, V.expr(spark, d), RADIUS, c.count()), "value")
 
 
-@query(f"{V.with_views('cells')}, {_NEAR}\nSELECT i AS cell_id, cell_type AS nbr_type, count(*) AS n FROM near JOIN cells ON j = cells.cell_id GROUP BY 1, 2")
+@query(f"{V.with_views('cells')}, {NEAR}\nSELECT i AS cell_id, cell_type AS nbr_type, count(*) AS n FROM near JOIN cells ON j = cells.cell_id GROUP BY 1, 2")
 def j2_neighbour_types(spark, d):
     return P.neighbour_types(V.cells(spark, d), RADIUS)
 
 
-@query(f"{V.with_views('cells')}, {_NEAR}\nSELECT i, j, round(d2, 6) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM near WHERE i <> j) x WHERE rank <= 5")
+@query(f"{V.with_views('cells')}, {NEAR}\nSELECT i, j, round(d2, 6) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM near WHERE i <> j) x WHERE rank <= 5")
 def j3_nearest_cells(spark, d):
-    return _rounded(P.nearest(V.cells(spark, d), 5, RADIUS), "d2").withColumn("rank", F.col("rank").cast("long"))
+    return rounded(P.nearest(V.cells(spark, d), 5, RADIUS), "d2").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"{V.with_views('cells')}, {_NEAR}\nSELECT DISTINCT i AS cell_id FROM near WHERE j % 97 = 0")
+@query(f"{V.with_views('cells')}, {NEAR}\nSELECT DISTINCT i AS cell_id FROM near WHERE j % 97 = 0")
 def j5_within_of_seeds(spark, d):
     c = V.cells(spark, d)
     return P.within_of(c, c.where("cell_id % 97 = 0"), RADIUS)
@@ -79,50 +49,50 @@ def j10_interval_overlap(spark, d):
     return P.interval_overlap(a, b, 2000)
 
 
-_AGN = f"{V.with_views('cells', 'expr', 'lr')}, {_EDGES}, {_PAIRS}, folded AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM edges GROUP BY 1, 2), twice AS (SELECT i, j, w FROM folded UNION ALL SELECT j, i, w FROM folded)"
+_AGN = f"{V.with_views('cells', 'expr', 'lr')}, {EDGES}, {PAIRS}, folded AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM edges GROUP BY 1, 2), twice AS (SELECT i, j, w FROM folded UNION ALL SELECT j, i, w FROM folded)"
 _SCORES = "scores AS (SELECT g1, g2, sum(x.value * w * y.value) / CASE WHEN g1 = g2 THEN 2 ELSE 1 END AS c FROM twice JOIN expr x ON i = x.cell_id JOIN pairs ON x.gene = g1 JOIN expr y ON j = y.cell_id AND y.gene = g2 GROUP BY g1, g2)"
 _MOMENTS = "per AS (SELECT i, gene, sum(w * value) AS s FROM twice JOIN expr ON j = expr.cell_id GROUP BY 1, 2), moments AS (SELECT gene, sum(s * s) AS eg2 FROM per GROUP BY 1)"
 
 
 def _scores(spark, d):
-    return C.pair_scores(C.fold(_edges(spark, d)), V.expr(spark, d), _pairs(spark, d))
+    return C.pair_scores(C.fold(edges(spark, d)), V.expr(spark, d), pairs(spark, d))
 
 
 @query(f"{_AGN}, {_SCORES}\nSELECT g1, g2, round(c, 3) AS c FROM scores")
 def a10_pair_scores(spark, d):
-    return _rounded(_scores(spark, d), "c", digits=3)
+    return rounded(_scores(spark, d), "c", digits=3)
 
 
-@query(f"{V.with_views('cells', 'expr', 'lr')}, {_EDGES}, {_PAIRS}\nSELECT p.cell_type AS ct1, q.cell_type AS ct2, g1, g2, round(sum(x.value * w * y.value), 3) AS c FROM edges JOIN expr x ON i = x.cell_id JOIN pairs ON x.gene = g1 JOIN expr y ON j = y.cell_id AND y.gene = g2 JOIN cells p ON i = p.cell_id JOIN cells q ON j = q.cell_id GROUP BY 1, 2, 3, 4")
+@query(f"{V.with_views('cells', 'expr', 'lr')}, {EDGES}, {PAIRS}\nSELECT p.cell_type AS ct1, q.cell_type AS ct2, g1, g2, round(sum(x.value * w * y.value), 3) AS c FROM edges JOIN expr x ON i = x.cell_id JOIN pairs ON x.gene = g1 JOIN expr y ON j = y.cell_id AND y.gene = g2 JOIN cells p ON i = p.cell_id JOIN cells q ON j = q.cell_id GROUP BY 1, 2, 3, 4")
 def a11_typed_scores(spark, d):
-    return _rounded(C.typed_scores(_edges(spark, d), V.expr(spark, d), _pairs(spark, d), V.cells(spark, d)), "c", digits=3)
+    return rounded(C.typed_scores(edges(spark, d), V.expr(spark, d), pairs(spark, d), V.cells(spark, d)), "c", digits=3)
 
 
 @query(f"{_AGN}, {_MOMENTS}\nSELECT gene, round(eg2, 2) AS eg2 FROM moments")
 def a13_second_moment(spark, d):
-    return _rounded(C.second_moment(C.fold(_edges(spark, d)), V.expr(spark, d)), "eg2", digits=2)
+    return rounded(C.second_moment(C.fold(edges(spark, d)), V.expr(spark, d)), "eg2", digits=2)
 
 
 @query(f"{_AGN}, {_SCORES}, {_MOMENTS}\nSELECT g1, g2, round(least(c / sqrt(CASE WHEN a.eg2 = 0 THEN 1 ELSE a.eg2 END), c / sqrt(CASE WHEN b.eg2 = 0 THEN 1 ELSE b.eg2 END)), 5) AS z FROM scores JOIN moments a ON a.gene = g1 JOIN moments b ON b.gene = g2")
 def a14_z_scores(spark, d):
-    z = C.z_scores(_scores(spark, d), C.second_moment(C.fold(_edges(spark, d)), V.expr(spark, d)))
-    return _rounded(z.drop("c"), "z", digits=5)
+    z = C.z_scores(_scores(spark, d), C.second_moment(C.fold(edges(spark, d)), V.expr(spark, d)))
+    return rounded(z.drop("c"), "z", digits=5)
 
 
-@query(f"{V.with_views('cells')}, {_EDGES}, folded AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM edges GROUP BY 1, 2)\nSELECT node, round(sum(w), 6) AS degree FROM (SELECT i AS node, w FROM folded UNION ALL SELECT j, w FROM folded) x GROUP BY 1")
+@query(f"{V.with_views('cells')}, {EDGES}, folded AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM edges GROUP BY 1, 2)\nSELECT node, round(sum(w), 6) AS degree FROM (SELECT i AS node, w FROM folded UNION ALL SELECT j, w FROM folded) x GROUP BY 1")
 def a16_degrees(spark, d):
-    return _rounded(C.degrees(C.fold(_edges(spark, d))), "degree")
+    return rounded(C.degrees(C.fold(edges(spark, d))), "degree")
 
 
 @query(f"{V.with_views('betas', 'cells')}\nSELECT target, modulator, cell_type, round(avg(beta), 4) AS mean, round(stddev_samp(beta), 4) AS std, count(*) AS n FROM betas JOIN cells USING (cell_id) GROUP BY 1, 2, 3")
 def a5_beta_stats(spark, d):
     b = V.betas(spark, d).join(V.cells(spark, d).select("cell_id", "cell_type"), "cell_id")
-    return _rounded(T.beta_stats(b, ["target", "modulator", "cell_type"]), "mean", "std", digits=4)
+    return rounded(T.beta_stats(b, ["target", "modulator", "cell_type"]), "mean", "std", digits=4)
 
 
 @query(f"{V.with_views('betas')}\nSELECT modulator, round(avg(beta), 6) AS mean, min(beta) AS least, max(beta) AS most, round(sum(beta), 3) AS total, round(avg(greatest(beta, 0)), 6) AS positive, round(avg(least(beta, 0)), 6) AS negative FROM betas GROUP BY 1")
 def a6_interaction_summary(spark, d):
-    return _rounded(_rounded(T.interaction_summary(V.betas(spark, d), ["modulator"]), "mean", "positive", "negative"), "total", digits=3)
+    return rounded(rounded(T.interaction_summary(V.betas(spark, d), ["modulator"]), "mean", "positive", "negative"), "total", digits=3)
 
 
 @query(f"{V.with_views('expr')}, lim AS (SELECT gene, min(value) AS lo, max(value) AS hi FROM expr GROUP BY 1)\nSELECT gene, lo, hi, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / (hi - lo) * 10), 9) END AS BIGINT) AS bin, count(*) AS n FROM expr JOIN lim USING (gene) GROUP BY 1, 2, 3, 4")
@@ -132,7 +102,7 @@ def a7_histogram(spark, d):
 
 @query(f"{V.with_views('expr', 'cells')}, size AS (SELECT cell_type, count(*) AS n FROM cells GROUP BY 1), m AS (SELECT gene, cell_type, sum(value) AS s FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2)\nSELECT gene, round(max(s / n), 6) AS top_mean FROM m JOIN size USING (cell_type) GROUP BY 1 HAVING max(s / n) > 10")
 def f4_receptor_filter(spark, d):
-    return _rounded(T.receptor_filter(V.expr(spark, d), V.cells(spark, d), 10.0), "top_mean")
+    return rounded(T.receptor_filter(V.expr(spark, d), V.cells(spark, d), 10.0), "top_mean")
 
 
 @query(f"{V.with_views('expr', 'cells')}\nSELECT gene, count(*) AS n_cells FROM expr WHERE value > 0 GROUP BY 1 HAVING count(*) >= 0.2 * (SELECT count(*) FROM cells)")
@@ -142,7 +112,7 @@ def f7_frequent_genes(spark, d):
 
 @query(f"{V.with_views('expr')}\nSELECT cell_id, gene, round(ln(1 + value / sum(value) OVER (PARTITION BY cell_id) * 1000000), 6) AS value FROM expr")
 def a26_log_cpm(spark, d):
-    return _rounded(T.log_cpm(V.expr(spark, d)), "value")
+    return rounded(T.log_cpm(V.expr(spark, d)), "value")
 
 
 @query(f"{V.with_views('expr')}\nSELECT cell_id, sum(value) AS total, count(*) FILTER (value > 0) AS n_genes FROM expr GROUP BY 1")
@@ -167,7 +137,7 @@ def f1_modulator_groups(spark, d):
 
 @query(f"{V.with_views('expr')}, lim AS (SELECT gene, min(value) AS lo, max(value) AS hi FROM expr GROUP BY 1)\nSELECT cell_id, gene, round(CASE WHEN hi = lo THEN 0 ELSE (value - lo) / (hi - lo) END, 6) AS value FROM expr JOIN lim USING (gene)")
 def f18_min_max(spark, d):
-    return _rounded(T.min_max(V.expr(spark, d), "value", "gene"), "value")
+    return rounded(T.min_max(V.expr(spark, d), "value", "gene"), "value")
 
 
 @query(f"{V.with_views('cells')}\nSELECT cell_id, cell_type FROM (SELECT *, count(*) OVER (PARTITION BY cell_type) AS n FROM cells) x WHERE n >= 16")
@@ -177,23 +147,23 @@ def f16_drop_tiny(spark, d):
 
 @query(f"{V.with_views('links')}, b AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS m, row_number() OVER (PARTITION BY cluster ORDER BY p, source, target) AS r FROM links)\nSELECT cluster, source, target, p, round(least(1, min(p * m / r) OVER (PARTITION BY cluster ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS fdr FROM b")
 def a51_benjamini_hochberg(spark, d):
-    return _rounded(C.benjamini_hochberg(V.links(spark, d), by=["cluster"], tie=["source", "target"]).select("cluster", "source", "target", "p", "fdr"), "fdr", digits=8)
+    return rounded(C.benjamini_hochberg(V.links(spark, d), by=["cluster"], tie=["source", "target"]).select("cluster", "source", "target", "p", "fdr"), "fdr", digits=8)
 
 
 @query(f"{V.with_views('links')}, s AS (SELECT cluster, target, abs(coef_mean) / sum(abs(coef_mean)) OVER (PARTITION BY cluster, target) AS s FROM links WHERE coef_mean <> 0)\nSELECT cluster, target, round(CASE WHEN count(*) > 1 THEN -sum(s * ln(s)) / ln(count(*)) ELSE 0 END, 6) AS entropy, count(*) AS k FROM s GROUP BY 1, 2")
 def a44_network_entropy(spark, d):
-    return _rounded(T.network_entropy(V.links(spark, d)), "entropy")
+    return rounded(T.network_entropy(V.links(spark, d)), "entropy")
 
 
 @query(f"{V.with_views('links')}, e AS (SELECT cluster, source AS gene, 1 AS o, 0 AS i FROM links UNION ALL SELECT cluster, target, 0, 1 FROM links), n AS (SELECT cluster, count(DISTINCT gene) AS nodes FROM e GROUP BY 1)\nSELECT cluster, gene, CAST(sum(o) AS BIGINT) AS degree_out, CAST(sum(i) AS BIGINT) AS degree_in, CAST(count(*) AS BIGINT) AS degree_all, round(count(*) / CAST(greatest(max(nodes) - 1, 1) AS DOUBLE), 6) AS centrality FROM e JOIN n USING (cluster) GROUP BY 1, 2")
 def a43_network_degree(spark, d):
-    return _rounded(T.network_degree(V.links(spark, d)), "centrality")
+    return rounded(T.network_degree(V.links(spark, d)), "centrality")
 
 
 @query(f"{V.with_views('expr', 'lr', 'cells')}, s AS (SELECT gene, sum(value) AS s, sum(value * value) AS q FROM expr GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells), xy AS (SELECT ligand AS g1, receptor AS g2, coalesce(sum(x.value * y.value), 0) AS xy FROM lr LEFT JOIN expr x ON x.gene = ligand LEFT JOIN expr y ON y.gene = receptor AND y.cell_id = x.cell_id GROUP BY 1, 2)\nSELECT g1, g2, round((n * xy - a.s * b.s) / sqrt((n * a.q - a.s * a.s) * (n * b.q - b.s * b.s)), 6) AS r FROM xy JOIN s a ON a.gene = g1 JOIN s b ON b.gene = g2 CROSS JOIN n")
 def a23_correlation(spark, d):
     pairs = V.lr(spark, d).select(F.col("ligand").alias("g1"), F.col("receptor").alias("g2"))
-    return _rounded(T.correlate(V.expr(spark, d), V.cells(spark, d).count(), pairs), "r")
+    return rounded(T.correlate(V.expr(spark, d), V.cells(spark, d).count(), pairs), "r")
 
 
 @query(f"{V.with_views('links')}\nSELECT target, source, coef_mean, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY coef_mean DESC, source, cluster) AS rank FROM links) x WHERE rank <= 5")
@@ -203,14 +173,14 @@ def w1_top_sources(spark, d):
 
 @query(f"{V.with_views('cells')}\nSELECT CAST(floor(x / 100) AS BIGINT) AS gx, CAST(floor(y / 100) AS BIGINT) AS gy, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM cells GROUP BY 1, 2")
 def a38_grid_means(spark, d):
-    return _rounded(P.grid_means(V.cells(spark, d), ["x", "y"], 100.0), "x", "y")
+    return rounded(P.grid_means(V.cells(spark, d), ["x", "y"], 100.0), "x", "y")
 
 
-@query(f"{V.with_views('cells')}, {_NEAR}, s AS (SELECT i, j, exp((1 - d2 / {RADIUS * RADIUS}e0) / 0.5e0) AS e FROM near WHERE i <> j)\nSELECT i, j, round(e / sum(e) OVER (PARTITION BY i), 6) AS p FROM s")
+@query(f"{V.with_views('cells')}, {NEAR}, s AS (SELECT i, j, exp((1 - d2 / {RADIUS * RADIUS}e0) / 0.5e0) AS e FROM near WHERE i <> j)\nSELECT i, j, round(e / sum(e) OVER (PARTITION BY i), 6) AS p FROM s")
 def m19_transition_probabilities(spark, d):
     c = V.cells(spark, d)
     e = P.range_join(c, c, RADIUS).where("i <> j")
-    return _rounded(P.transition_probabilities(e, 1 - F.col("d2") / (RADIUS * RADIUS), 0.5).select("i", "j", "p"), "p")
+    return rounded(P.transition_probabilities(e, 1 - F.col("d2") / (RADIUS * RADIUS), 0.5).select("i", "j", "p"), "p")
 
 
 @query(f"{V.with_views('links', 'expr')}, c AS (SELECT source, target, avg(coef_mean) AS coef FROM links GROUP BY 1, 2), d0 AS (SELECT cell_id, gene, -value AS d FROM expr WHERE gene = 'Brand#11'), m AS (SELECT cell_id, target AS gene, sum(d * coef) AS d FROM d0 JOIN c ON gene = source GROUP BY 1, 2)\nSELECT coalesce(m.cell_id, h.cell_id) AS cell_id, coalesce(m.gene, h.gene) AS gene, round(coalesce(h.d, greatest(m.d, -coalesce(e.value, 0))), 5) AS d FROM m FULL JOIN d0 h ON m.cell_id = h.cell_id AND m.gene = h.gene LEFT JOIN expr e ON e.cell_id = coalesce(m.cell_id, h.cell_id) AND e.gene = coalesce(m.gene, h.gene)")
@@ -218,7 +188,7 @@ def m13_propagation(spark, d):
     coef = V.links(spark, d).groupBy("source", "target").agg(F.avg("coef_mean").alias("coef"))
     e = V.expr(spark, d)
     delta = e.where("gene = 'Brand#11'").select("cell_id", "gene", (-F.col("value")).alias("d"))
-    return _rounded(M.propagate(delta, coef, e, 1), "d", digits=5)
+    return rounded(M.propagate(delta, coef, e, 1), "d", digits=5)
 
 
 @query(f"{V.with_views('links')}, e AS (SELECT DISTINCT source, target FROM links), h1 AS (SELECT DISTINCT target AS node FROM e WHERE source = 'Brand#11' AND target <> 'Brand#11'), h2 AS (SELECT DISTINCT target AS node FROM e JOIN h1 ON source = node WHERE target <> 'Brand#11' AND target NOT IN (SELECT node FROM h1))\nSELECT 'Brand#11' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2")
@@ -251,7 +221,7 @@ def m10_bagging_ridge(spark, d):
 
 @query(f"{V.with_views('betas')}\nSELECT target, modulator, round(avg(beta), 6) AS mean, round(var_pop(beta), 6) AS var, round(quantile_cont(beta, 0.025), 6) AS lo, round(quantile_cont(beta, 0.975), 6) AS hi, round(avg(CASE WHEN beta <> 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS selected, round(least(1, 2 * least(avg(CASE WHEN beta <= 0 THEN 1.0e0 ELSE 0.0e0 END), avg(CASE WHEN beta >= 0 THEN 1.0e0 ELSE 0.0e0 END))), 6) AS p_stability FROM betas GROUP BY 1, 2")
 def a53_bootstrap_summary(spark, d):
-    return _rounded(M.bootstrap_summary(V.betas(spark, d), ["target", "modulator"]), "mean", "var", "lo", "hi", "selected", "p_stability")
+    return rounded(M.bootstrap_summary(V.betas(spark, d), ["target", "modulator"]), "mean", "var", "lo", "hi", "selected", "p_stability")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -260,10 +230,10 @@ def x1_windowed_events(spark, d):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
