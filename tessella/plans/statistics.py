@@ -43,9 +43,9 @@ def a32_mann_whitney(spark, d):
     return rounded(X.mann_whitney_greater(V.expr(spark, d), V.cells(spark, d), F.col("cell_type") == "BUILDING").drop("p"), "z", "d")
 
 
-@query(f"{V.with_views('links')}, degs AS (SELECT cluster AS batch, source AS gene, avg(coef_mean) AS log2fc, sum(coef_mean) AS score, least(1, avg(p)) AS pval, least(1, avg(p) / 4) AS pval_adj FROM links GROUP BY 1, 2), g AS (SELECT gene, avg(log2fc) AS log2fc, avg(score) AS score, count(log2fc) AS n_batches, count(*) FILTER (pval_adj < 0.05) AS n_batches_sig, greatest(count(*) FILTER (log2fc > 0), count(*) FILTER (log2fc < 0)) / CAST(count(log2fc) AS DOUBLE) AS sc, sum(-ln(greatest(pval, 1e-300))) AS x FROM degs GROUP BY 1)\nSELECT gene, round(log2fc, 6) AS log2fc, round(score, 6) AS score, n_batches, n_batches_sig, round(sc, 6) AS sign_consistency, round(exp(-x) * (1 + x + x * x / 2), 8) AS pval FROM g WHERE sc >= 0.6 AND n_batches_sig >= 0.3 * 3")
+@query(f"{V.with_views('links')}, degs AS (SELECT cluster AS batch, source AS gene, avg(coef_mean) AS log2fc, sum(coef_mean) AS score, least(1, avg(p)) AS pval, min(p) AS pval_adj FROM links GROUP BY 1, 2), g AS (SELECT gene, avg(log2fc) AS log2fc, avg(score) AS score, count(log2fc) AS n_batches, count(*) FILTER (pval_adj < 0.05) AS n_batches_sig, greatest(count(*) FILTER (log2fc > 0), count(*) FILTER (log2fc < 0)) / CAST(count(log2fc) AS DOUBLE) AS sc, sum(-ln(greatest(pval, 1e-300))) AS x FROM degs GROUP BY 1)\nSELECT gene, round(log2fc, 6) AS log2fc, round(score, 6) AS score, n_batches, n_batches_sig, round(sc, 6) AS sign_consistency, round(exp(-x) * (1 + x + x * x / 2), 8) AS pval FROM g WHERE sc >= 0.6 AND n_batches_sig >= 0.3 * 3")
 def a31_combined_degs(spark, d):
-    by = V.links(spark, d).groupBy(F.col("cluster").alias("batch"), F.col("source").alias("gene")).agg(F.avg("coef_mean").alias("log2fc"), F.sum("coef_mean").alias("score"), F.least(F.lit(1.0), F.avg("p")).alias("pval"), F.least(F.lit(1.0), F.avg("p") / 4).alias("pval_adj"))
+    by = V.links(spark, d).groupBy(F.col("cluster").alias("batch"), F.col("source").alias("gene")).agg(F.avg("coef_mean").alias("log2fc"), F.sum("coef_mean").alias("score"), F.least(F.lit(1.0), F.avg("p")).alias("pval"), F.min("p").alias("pval_adj"))
     return rounded(rounded(X.combine_degs(by, 3, 0.6, 0.3), "log2fc", "score", "sign_consistency"), "pval", digits=8)
 
 
@@ -64,10 +64,10 @@ def a54_penalty_path(spark, d):
     return rounded(X.penalty_path(V.betas(spark, d).withColumnRenamed("cell_id", "penalty"), ["target", "modulator"]), "frac_zero")
 
 
-@query(f"{V.with_views('betas')}, s AS (SELECT target, modulator, quantile_cont(beta, 0.2) AS lo, quantile_cont(beta, 0.8) AS hi FROM betas GROUP BY 1, 2)\nSELECT target, modulator FROM s WHERE lo >= 0 OR hi <= 0")
+@query(f"{V.with_views('betas')}, s AS (SELECT target, modulator, quantile_cont(beta, 0.45) AS lo, quantile_cont(beta, 0.55) AS hi FROM betas GROUP BY 1, 2)\nSELECT target, modulator FROM s WHERE lo >= 0 OR hi <= 0")
 def f13_sign_stable(spark, d):
-    s = X.interval_stats(V.betas(spark, d), ["target", "modulator"], "beta", (0.2, 0.8))
-    return s.where(X.sign_stable(F.col("p20"), F.col("p80"))).select("target", "modulator")
+    s = X.interval_stats(V.betas(spark, d), ["target", "modulator"], "beta", (0.45, 0.55))
+    return s.where(X.sign_stable(F.col("p45"), F.col("p55"))).select("target", "modulator")
 
 
 @query(f"{V.with_views('expr')}\nSELECT cell_id, gene, round(ln(1 + value / sum(value) OVER (PARTITION BY cell_id) * 10000), 6) AS value FROM expr")

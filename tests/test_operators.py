@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators import communication as C
+from tessella.operators import factors as X
 from tessella.operators import models as M
 from tessella.operators import spatial as P
+from tessella.operators import statistics as Q
 from tessella.operators import tables as T
 
 
@@ -58,3 +60,71 @@ def test_interval_overlap_makes_each_pair_once(spark):
     a = spark.createDataFrame([("c", 0, 500, 1), ("c", 900, 1000, 2)], "chrom string, start long, end long, id long")
     b = spark.createDataFrame([("c", 100, 950, 7), ("d", 0, 10, 8), ("c", 500, 600, 9)], "chrom string, start long, end long, id long")
     assert sorted((r.a_id, r.b_id) for r in P.interval_overlap(a, b, 100).collect()) == [(1, 7), (2, 7)]
+
+
+def test_perturbation_equals_matrices(spark):
+    """Ligand L, receptor R, regulator U, target T and a plain factor, over four cells, hop by hop with dense arrays."""
+    rng = np.random.default_rng(3)
+    genes, names = ["L", "R", "U", "T"], {"T": ["L$R", "L#U", "U"], "R": ["U"]}
+    x = rng.integers(0, 5, (4, 4)).astype(float)
+    xy = np.array([[0, 0], [10, 0], [0, 20], [300, 300]], float)
+    beta = {(t, m): rng.normal(size=4) for t in names for m in names[t]}
+    d2 = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    kernel = np.where(d2 <= 900, np.exp(-d2 / (2 * S.sigma(30.0) ** 2)), 0) / 4
+    given = np.zeros((4, 4))
+    given[:, 0] = 7 - x[:, 0]
+    top, w0 = x.max(0), kernel @ x[:, 0]
+    now, got, delta = x, w0, given
+    for _ in range(3):
+        slope = {g: np.zeros((4, 4)) for g in "TR"}
+        slope["R"][:, 2] = beta["R", "U"]
+        slope["T"][:, 0] = beta["T", "L$R"] * now[:, 1] + beta["T", "L#U"] * now[:, 2]
+        slope["T"][:, 1] = np.where(now[:, 1] > 0, beta["T", "L$R"] * got, 0)
+        slope["T"][:, 2] = beta["T", "L#U"] * got + beta["T", "U"]
+        now = x + delta
+        got = kernel @ now[:, 0]
+        step = delta.copy()
+        step[:, 0] = got - w0
+        moved = np.zeros((4, 4))
+        moved[:, 3], moved[:, 1] = (slope["T"] * step).sum(1), (slope["R"] * step).sum(1)
+        delta = np.clip(x + np.where(given != 0, given, moved), 0, top) - x
+    want = x + delta
+    want[:, 0] = 7
+    cells = spark.createDataFrame([(i, *map(float, xy[i])) for i in range(4)], "cell_id long, x double, y double")
+    expr = spark.createDataFrame([(i, g, float(x[i, k])) for i in range(4) for k, g in enumerate(genes) if x[i, k]], "cell_id long, gene string, value double")
+    betas = spark.createDataFrame([(t, i, m, float(b[i])) for (t, m), b in beta.items() for i in range(4)], "target string, cell_id long, modulator string, beta double")
+    levels = spark.createDataFrame([(i, "L", 7.0) for i in range(4)], "cell_id long, gene string, level double")
+    out = np.zeros((4, 4))
+    for r in X.perturb(expr, cells, betas, levels, 30.0, hops=3).collect():
+        out[r.cell_id, genes.index(r.gene)] = r.value
+    assert np.allclose(out, want)
+
+
+def test_combined_p_follows_fisher(spark):
+    rows = [(b, "g", 1.0, 1.0, p, 0.01) for b, p in zip("abc", [0.1, 0.02, 0.5])]
+    df = spark.createDataFrame([*rows, ("a", "h", 1.0, 1.0, 0.5, 0.5)], "batch string, gene string, log2fc double, score double, pval double, pval_adj double")
+    (r,) = Q.combine_degs(df, 3).collect()
+    half = -math.log(0.1 * 0.02 * 0.5)
+    assert r.gene == "g" and math.isclose(r.pval, math.exp(-half) * (1 + half + half**2 / 2))
+
+
+def test_empty_tables(spark):
+    cells = spark.createDataFrame([], "cell_id long, cell_type string, x double, y double")
+    expr = spark.createDataFrame([], "cell_id long, gene string, value double")
+    assert Q.standardise_counts(expr, cells).count() == 0
+    assert Q.rank_sum_degs(expr, cells, F.col("cell_type") == "a").count() == 0
+    assert P.received(cells, expr, 30.0, 1).count() == 0
+
+
+def test_readers(spark, tmp_path):
+    from tessella.sources import readers as R
+
+    spark.createDataFrame([("c0", 1.0, 2.0, 0.5, 3.0)], "cell string, beta0 double, `beta_metab@G` double, `beta_A$B` double, beta_TF double").write.parquet(str(tmp_path / "b" / "CD4_betadata.parquet"))
+    long = R.read_wide_betas(spark, str(tmp_path / "b" / "*_betadata.parquet"), "lr")
+    assert "modulator" in long.columns and [(r.modulator, r.beta, r.grp) for r in long.collect()] == [("A$B", 0.5, "lr")]
+    (tmp_path / "s.json").write_text('{"metabolites": [{"name": "m", "gene_pairs": [["a", "b"]]}, {"name": "m", "gene_pairs": [["c", "d"]]}]}')
+    assert [(r.metabolite, r.g1, r.pos) for r in R.read_selection(spark, str(tmp_path / "s.json")).collect()] == [("m", "a", 0), ("m", "c", 1)]
+    (tmp_path / "r.csv").write_text(",Metabolite,C_p,selected\n0,m,1.5,True\n1,n,,False\n")
+    assert [(r.metabolite, r.C_p, r.selected) for r in R.read_result_csv(spark, str(tmp_path / "r.csv")).collect()] == [("m", 1.5, True), ("n", None, False)]
+    peaks = spark.createDataFrame([("chr_Un_1_10_20",)], "peak_id string")
+    assert R.peak_columns(peaks).select("chrom", "start", "end").first() == ("chr_Un_1", 10, 20)
