@@ -160,7 +160,9 @@ def _repeated(buckets: int):
 def _runs(least_words: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(pdf["records"]), RECORD)
-        r = r[np.lexsort((r["kept"], r["start"], r["key"], r["doc"]))]
+        r = r[np.lexsort((r["ref"], r["kept"], r["start"], r["key"], r["doc"]))]
+        # a repeated row's chunks come once from each task that held it
+        r = r[np.r_[True, (r["doc"][1:] != r["doc"][:-1]) | (r["key"][1:] != r["key"][:-1]) | (r["start"][1:] != r["start"][:-1])]]
         new = np.r_[True, (r["doc"][1:] != r["doc"][:-1]) | (r["key"][1:] != r["key"][:-1]) | (r["kept"][1:] != r["kept"][:-1]) | (r["start"][1:] != r["end"][:-1])]
         at = np.flatnonzero(new)
         words = np.add.reduceat(r["words"], at)
