@@ -1,9 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-Candidates are runs of 16 or more key-like characters with a digit.  The forest reads length, character classes and transitions
+Candidates are values assigned to a secret's keyword, whatever they are (quoted to the closing quote, else to a space or the next separator),
+and runs of 16 or more key-like characters with a digit, which end at ``=`` unless it is padding at their end.  The forest reads length, character classes and transitions
 between them, share of characters in dictionary fragments, whether the candidate looks like part of a path, and the
 words around it.  It is trained on labelled findings (a table of before, candidate, after, label); without such a table a fixed set
-of made-up findings is used, a documented bound of the classifier's fit.  Every whole text is scanned.
+of made-up texts is used, cut by the scan's own pattern; a documented bound of the classifier's fit.  Every whole text is scanned.
 
 Defined cases: null and empty texts have no candidates; rows with the same id are scanned one by one; a null id stays null in the
 result; an empty table gives an empty result; other columns pass through ``redact`` unchanged.
@@ -18,8 +19,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = r"A-Za-z0-9_+/=\-"
-CANDIDATE = rf"(?<![{KEY}])(?=[A-Za-z_+/=\-]*[0-9])[{KEY}]{{16,}}+"
+KEY = r"A-Za-z0-9_+/\-"
+# Names that a secret's value is assigned to.
+NAMES = "token|secret|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|password|passwd|pwd|passphrase|credentials?"
+# The cheap look-behinds come first: the name is looked for only behind an assignment.
+ASSIGNED = rf"""(?<=[=:>\s"'])(?<=[=:]>?[ \t]{{0,3}}["']?)(?<=(?i:{NAMES})["']?[ \t]{{0,3}}(?:=>|:=|[=:])[ \t]{{0,3}}["']?)"""
+QUOTED = r"""(?<=")[^"\r\n]{4,}+(?=")|(?<=')[^'\r\n]{4,}+(?=')"""
+BARE = r"""(?<!["'])[^\s"'&;,<>=:][^\s"'&;,<>]{3,}+"""
+CANDIDATE = rf"{ASSIGNED}(?:{QUOTED}|{BARE})|(?<![{KEY}])(?=[A-Za-z_+/\-]*[0-9])[{KEY}]{{16,}}+(?:={{1,2}}(?![{KEY}=]))?"
 #: Characters of context on either side.
 CONTEXT = 48
 MARK = "[SECRET]"
@@ -27,7 +34,9 @@ MARK = "[SECRET]"
 NEAR_SECRET = "token|secret|api_?key|apikey|access_?key|password|passwd|pwd|auth|bearer|credential|private_?key|client_?secret"
 NEAR_HARMLESS = "commit|sha\\d*|md5|hash|checksum|digest|uuid|guid|etag|revision|version|build|example|sample|test|dummy|order|phone|card|call|isbn|id"
 FRAGMENTS = "the|and|ing|ion|ent|for|ver|ter|con|pro|com|per|int|est|all|file|name|data|page|image|user|time|date|index|test|main|home|example|placeholder|changeme|your|here|xxxx|abcd|1234|0000"
-FEATURES = ("length", "digits", "lowers", "uppers", "symbols", "distinct", "class_steps", "case_steps", "repeats", "hex", "covered", "vowels", "slashes", "path", "known", "near_secret", "near_harmless", "assigned", "quoted")
+# Values that stand for a secret or name its kind.
+BLANK = "^(none|null|nil|true|false|undefined|string|str|text|bytes|int|required|optional|empty|unknown|hidden|redacted|removed|invalid|missing|expired|bearer|basic|field|value|input|the|this|that|your|must|never|please)\\b|^<|>$|placeholder|change_?me|example|your[_-]|_here|xxxx|^\\W+$"
+FEATURES = ("length", "digits", "lowers", "uppers", "symbols", "distinct", "class_steps", "case_steps", "repeats", "hex", "covered", "vowels", "slashes", "path", "known", "near_secret", "near_harmless", "assigned", "quoted", "blank", "named", "code")
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -45,7 +54,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "digits": _count(x, "[0-9]") / n,
         "lowers": _count(x, "[a-z]") / n,
         "uppers": _count(x, "[A-Z]") / n,
-        "symbols": _count(x, r"[_+/=\-]") / n,
+        "symbols": _count(x, r"[^A-Za-z0-9]") / n,
         "distinct": F.size(F.array_distinct(F.split(x, "(?!^)"))).cast("double") / n,
         "class_steps": _count(x, r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])") / n,
         "case_steps": _count(x, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n,
@@ -60,6 +69,9 @@ def with_features(found: DataFrame) -> DataFrame:
         "near_harmless": flag(near.rlike(rf"\b({NEAR_HARMLESS})\b")),
         "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(before.rlike(r"[\"']$") & after.rlike(r"^[\"']")),
+        "blank": flag(F.lower(x).rlike(BLANK)),
+        "named": flag(before.rlike(rf"({NAMES})[\"']?\s*(=>|:=|[=:])\s*[\"']?$")),
+        "code": flag(x.rlike(r"^(\$|%|\*|\{|\(|\[|\.)|\(|\$\{|\{\{|\[.*\]|\*{3}|^[a-z_]+(\.[a-z_]+)+$")),
     })
 
 
@@ -78,20 +90,38 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         F.lpad(F.conv(F.substring(h("f"), 1, 13), 16, 10), 16, "4"), F.concat_ws("/", F.lit("/usr"), word("p"), word("q"), F.lit("v2"), F.lit("index")), F.concat_ws("_", word("p"), word("q"), word("r"), F.lit("2024")),
         F.concat(F.lit("your_api_key_here_"), F.lit("12345")), F.concat(F.lit("EXAMPLE0000"), F.lit("KEYKEYKEY")), F.concat_ws("-", F.lit("2024-05-17T10-22-33"), word("p")), F.concat(F.lit("+49170"), F.lpad(F.conv(F.substring(h("f"), 1, 9), 16, 10), 11, "1")),
     ), (F.pmod(F.xxhash64(F.lit("u"), "id"), F.lit(10)) + 1).cast("int"))
-    good_before = pick("gb", ['token = "', "api_key: ", 'secret="', "password = '", "Authorization: Bearer ", "export ACCESS_KEY=", 'const apiKey = "', "client_secret=", 'words before token = "', "passwd "])
+    good_before = pick("gb", ['token = "', "api_key: ", 'secret="', "password = '", "Authorization: Bearer ", "export ACCESS_KEY=", 'const apiKey = "', "client_secret=", 'words before token = "', "passwd ", "GITHUB_TOKEN=", "https://example.com/x?token=", "a line\nAWS_SECRET_ACCESS_KEY="])
     good_after = pick("ga", ['"', "", '" more words', "'", "\n", '";', "&x=1", '" )', '"### more', "'"])
-    bad_before = pick("bb", ["commit ", "sha1 checksum ", "the order ", "call me at ", "see ", "https://example.com/", "with card ", "md5: ", "request id ", "some words before "])
-    bad_after = pick("ba", ["", " and more", ".", ".html", " words", "\n", ", then", ")", " of", " was"])
-    rows = spark.range(n)
-    bad = F.pmod(F.col("id"), F.lit(2)) == 0
+    bad_before = pick("bb", ["commit ", "sha1 checksum ", "the order ", "call me at ", "see ", "https://example.com/", "with card ", "md5: ", "request id ", "some words before ", "id=", "version=", "page?ref=", 'checksum = "', "etag: "])
+    bad_after = pick("ba", ["", " and more", ".", ".html", " words", "\n", ", then", ")", " of", " was", "&x=1"])
+    # keys that are known by their form alone, and assigned values that are no keys
+    own = F.element_at(F.array(
+        F.concat(F.lit("AKIA"), F.upper(F.substring(h("s"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(base, "[+/]", "x"), 1, 36)), F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(base, "[+/]", "k"), 1, 24)),
+    ), (F.pmod(F.xxhash64(F.lit("o"), "id"), F.lit(3)) + 1).cast("int"))
+    plain_before = pick("pb", ["", "words before ", "some text\n", "it was ", "(", "see ", "the key is ", "and then "])
+    plain_after = pick("pa", ["", " and more", ".", "\n", ")", ", then", " was"])
+    word2 = pick("w2", ["hunter", "dragon", "monkey", "Sommer", "letmein", "correct", "Tr0ub4dor", "football", "qwerty", "sunshine"])
+    short = F.element_at(F.array(
+        F.concat(word2, F.substring(h("n"), 1, 2)), F.concat(word2, F.lit("!"), F.substring(h("n"), 1, 3)), word2, F.substring(base, 1, 10), F.concat(F.initcap(word("p")), F.lit("@"), F.initcap(word("q")), F.lit("9")), F.concat_ws("-", word("p"), word("q"), word2),
+    ), (F.pmod(F.xxhash64(F.lit("v"), "id"), F.lit(6)) + 1).cast("int"))
+    phrase = F.concat_ws(" ", word("p"), word2, word("q"), word("r"))
+    name = pick("nm", ["password", "passwd", "DB_PASSWORD", "secret", "pwd", "client_secret", "access_token", "api_key", "passphrase", "apiKey"])
+    blank = pick("bl", ["none", "null", "your_password_here", "string", "required", "${DB_PASSWORD}", "os.environ", "get_token()", "<password>", "changeme", "********", "placeholder", "true", "config.password", "undefined", "{{ secret }}", "the", "never", "optional", "EXAMPLE_VALUE"])
+    bare, quote = F.concat(name, pick("as", ["=", ": ", " = ", ":"])), pick("q", ['"', "'"])
+    kind, bad = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(10)), F.pmod(F.col("id"), F.lit(2)) == 0
     # a made-up placeholder stays harmless even in an assignment
     holder = harmless.startswith("your_") | harmless.startswith("EXAMPLE")
-    return rows.select(
-        F.when(bad & holder, good_before).when(bad, bad_before).otherwise(good_before).alias("before"),
-        F.when(bad, harmless).otherwise(secret).alias("candidate"),
-        F.when(bad, bad_after).otherwise(good_after).alias("after"),
+    some = lambda good, ill: F.when(bad, ill).otherwise(good)
+    made = spark.range(n).select(
+        F.when(kind < 5, some(good_before, F.when(holder, good_before).otherwise(bad_before))).when(kind < 7, some(plain_before, bad_before)).when(kind == 7, F.concat(bare, quote)).otherwise(bare).alias("b"),
+        F.when(kind < 5, some(secret, harmless)).when(kind < 7, some(own, harmless)).when(kind == 7, some(phrase, blank)).otherwise(some(short, blank)).alias("value"),
+        F.when(kind < 5, some(good_after, bad_after)).when(kind < 7, some(plain_after, bad_after)).when(kind == 7, quote).otherwise(pick("sa", ["", "\n", "&x=1", " ", "; then"])).alias("a"),
         F.when(bad, 0.0).otherwise(1.0).alias("label"),
     )
+    # what the scan cuts out of the made-up texts; only the part that is the value is a secret
+    found = _found(made.select("b", "value", "label", F.concat("b", "value", "a").alias("text")), "text", ["b", "value", "label"])
+    inside = (F.col("start") > F.length("b")) & (F.col("start") <= F.length("b") + F.length("value"))
+    return found.select("before", "candidate", "after", F.when(inside, F.col("label")).otherwise(0.0).alias("label"))
 
 
 def train(labelled: DataFrame, trees: int = 20, depth: int = 6) -> PipelineModel:
