@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the fixed-size bitmaps that are sent to all executors (1 MB, whatever the input).
-BITMAP_BITS = 1 << 23
+#: Bits of the bitmaps that are sent to all executors, as powers of two: a few kB to 16 MB, by the number of things in them.
+LEAST_BITS, MOST_BITS = 16, 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; where a session has none, as in
-    local tests, one is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  A local session, whose executors share
+    the machine's disk, gets a folder of its own where none is named; a cluster without one is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of ``names`` that no column of ``df`` has, whatever the case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def hashed_id(name: str = "doc_id"):
     """crc32 of the id as text, as a non-negative number; a null id counts as 'null'."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("null")).cast("binary"))
@@ -47,12 +60,17 @@ def trim() -> None:
         pass  # another C library: its allocator decides
 
 
-# ---------------------------------------------------------------- fixed-size bitmaps
+# ---------------------------------------------------------------- bitmaps
 
 
-def bit_rows(hashes: np.ndarray) -> pa.RecordBatch:
+def bits_for(things: int) -> int:
+    """Bits (a power of two) of a bitmap of so many things: 16 or more for each, within the bounds; a fuller map only finds too much."""
+    return min(MOST_BITS, max(LEAST_BITS, int(16 * things).bit_length()))
+
+
+def bit_rows(hashes: np.ndarray, power: int) -> pa.RecordBatch:
     """Rows (word, bits) that together set the bit of every hash."""
-    at = np.unique(hashes >> np.uint64(41))
+    at = np.unique(hashes >> np.uint64(64 - power))
     word = (at >> np.uint64(6)).astype(np.int64)
     bits = np.uint64(1) << (at & np.uint64(63))
     if len(word):
@@ -61,18 +79,33 @@ def bit_rows(hashes: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(bits.view(np.int64), pa.int64())], ["word", "bits"])
 
 
-def bitmaps(rows: DataFrame, levels: int = 1) -> list[np.ndarray]:
-    """The bitmaps that rows (level, word, bits) make: at most BITMAP_BITS/64 rows a level come to the driver."""
+def bitmaps(rows: DataFrame, power: int, levels: int = 1) -> list[np.ndarray]:
+    """The bitmaps that rows (level, word, bits) make: at most one row a 64 bits and level comes to the driver."""
     t = rows.groupBy("level", "word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    out = [np.zeros(BITMAP_BITS // 64, np.uint64) for _ in range(levels)]
+    out = [np.zeros(max(1, (1 << power) // 64), np.uint64) for _ in range(levels)]
     level, word, bits = t["level"].to_numpy(), t["word"].to_numpy(), t["bits"].to_numpy().view(np.uint64)
     for k, m in enumerate(out):
         m[word[level == k]] = bits[level == k]
     return out
 
 
+def bitmap_of(hashes: DataFrame, power: int) -> np.ndarray:
+    """The bitmap of a column of 64-bit hashes."""
+
+    def run(batches):
+        for b in batches:
+            yield bit_rows(b.column(0).to_numpy().view(np.uint64), power)
+
+    return bitmaps(hashes.mapInArrow(run, "word bigint, bits bigint").withColumn("level", F.lit(0)), power)[0]
+
+
+def filled(bits: np.ndarray) -> float:
+    """The share of bits that are set."""
+    return float(np.bitwise_count(bits).sum()) / (64 * len(bits))
+
+
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(41)
+    at = hashes >> np.uint64(64 - int(64 * len(bits)).bit_length() + 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
