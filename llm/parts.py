@@ -26,20 +26,3 @@ def parts(batches: Iterator[pa.RecordBatch], text: int | str = "text", most: int
             yield piece, piece.column(text).to_pylist()
             at = to
 
-
-def summed(df, keys: list[str], blob: str = "blob", fan: int = 256):
-    """Sum of int64 vectors held as binaries, by ``keys``, in two levels so that no group gathers a vector per task."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
-    fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys)
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf[blob].iat[0], np.int64).copy()
-        for x in pdf[blob].iloc[1:]:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({k: [pdf[k].iat[0]] for k in pdf.columns if k != blob} | {blob: [total.tobytes()]})
-
-    one = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(fan))).groupBy(*keys, "_part").applyInPandas(add, f"{schema}, _part int, {blob} binary")
-    return one.drop("_part").groupBy(*keys).applyInPandas(add, f"{schema}, {blob} binary")
