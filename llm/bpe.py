@@ -1,12 +1,16 @@
 """Byte-level BPE encoding and decoding by merge replay over a corpus of words.
 
-The distinct pre-tokens of a part of the corpus that are not yet known are laid out as one vector of symbols with links to
-their neighbours.  An inverted index from the rank of a token pair to the positions where it stands applies every merge in
-rank order over all these words at once; a merge touches only its two neighbours, whose new pairs enter the index.  Texts are
-then put together from their words' ids.  Ranks, pattern and file path are parameters; nothing is trained.
+The corpus's pre-tokens are counted once: each task names its distinct ones, and those that several tasks hold are, up to a bound
+on the table, replayed once for the whole corpus and their ids broadcast.  Words of a single task gain nothing from that, and ids of
+all words could only come back to their texts by a shuffle of every text; so a word that the table lacks is replayed by the worker
+that meets it, once a cache.  Either replay lays its words out as one vector of symbols with links to their neighbours.  An inverted
+index from the rank of a token pair to the positions where it stands applies every merge in rank order over all these words at
+once; a merge touches only its two neighbours, whose new pairs enter the index.  Texts are then put together from their words'
+ids.  Tables and caches decide what an id costs, never which id it is.  Ranks, pattern and file path are parameters; nothing is trained.
 
 Defined cases: null text is empty text, with no ids; every text round-trips to its UTF-8 bytes; rows with the same id are rows
-of their own; an empty table gives an empty result; other columns are ignored.
+of their own; an empty table gives an empty result; other columns pass ``encode`` and ``decode`` unchanged, and a new column whose
+name is taken gets underscores at its end; ``round_trip`` ignores them.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from llm.common import trim
+from llm.common import fresh, trim
 from llm.parts import PART_BYTES, parts
 
 #: Entries in each of a worker's caches, which are emptied when they are full.
@@ -31,6 +37,11 @@ REPLAY_BYTES = 200_000
 LEARN_PIECES = 20_000
 #: Characters of a piece that is kept in a cache; longer ones are encoded wherever they occur, so that caches are bounded in bytes.
 LONG = 64
+#: Words whose ids are broadcast (no longer than LONG characters each), and distinct pieces that a task holds while it looks for words.
+TABLE_WORDS = 65_536
+HELD_PIECES = 400_000
+#: Fixed value: the pattern for which a cut at a space before a character that is no white space is a cut between pre-tokens.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 
@@ -48,12 +59,13 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
-def units(text: str) -> list[str] | None:
+def units(text: str, pattern: str = SPACED) -> list[str] | None:
     """The pieces of ``text`` between single spaces, or None where such a cut might not be a cut between pre-tokens.
 
-    A space before a character that is no white space always starts a pre-token of the pattern, which is what lets whole pieces be looked up.
+    Under SPACED a space before a character that is no white space always starts a pre-token, which is what lets whole pieces be
+    looked up; under another pattern no cut is taken.
     """
-    return None if _UNSAFE.search(text) else text.split(" ")
+    return None if pattern != SPACED or _UNSAFE.search(text) else text.split(" ")
 
 
 class Replay:
@@ -189,8 +201,10 @@ class Replay:
 class Encoder:
     """Texts to ids with a bounded cache of pieces; one per Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE, table: dict[str, bytes] | None = None) -> None:
         self.cache = cache
+        self.pattern = pattern
+        self.table = table or {}
         self.replay = Replay(ranks, cache)
         self.find = regex.compile(pattern).findall
         self.first: dict[str, bytes] = {}  # ids of pieces at the start of a text
@@ -203,12 +217,12 @@ class Encoder:
             split = [self.find(lead + p) for p in part]
             if len(self.words) > self.cache:
                 self.words.clear()
-            known = self.words
-            corpus = list({w for s in split for w in s} - known.keys())
-            known.update(zip(corpus, (x.tobytes() for x in self.replay.words([w.encode("utf-8", "replace") for w in corpus]))))
+            known, table = self.words, self.table
+            fresh_words = list({w for s in split for w in s} - known.keys() - table.keys())
+            known.update(zip(fresh_words, (x.tobytes() for x in self.replay.words([w.encode("utf-8", "replace") for w in fresh_words]))))
             for p, s in zip(part, split):
-                into[p] = known[s[0]] if len(s) == 1 else b"".join([known[w] for w in s])
-            for w in corpus:
+                into[p] = b"".join([known[w] if w in known else table[w] for w in s])
+            for w in fresh_words:
                 if len(w) > LONG:
                     del known[w]
 
@@ -218,7 +232,7 @@ class Encoder:
             self.later.clear()
         if len(self.first) > self.cache // 4:
             self.first.clear()
-        split = [units(t) for t in texts]
+        split = [units(t, self.pattern) for t in texts]
         # where no cut is safe, the whole text is one piece
         split = [[t] if s is None else s for s, t in zip(split, texts)]
         new = {s[0] for s in split} - self.first.keys()
@@ -245,21 +259,80 @@ _encoders: dict = {}
 
 def _encoder(shared) -> Encoder:
     """This worker's encoder, which outlives a task."""
-    data, pattern, cache = shared.value
-    key = (hashlib.sha256(data).digest(), pattern, cache)
+    data, pattern, cache, table = shared.value
+    key = (hashlib.sha256(data).digest(), pattern, cache, hashlib.sha256(repr(sorted(table)[:: max(1, len(table) // 64)]).encode()).digest(), len(table))
     if key not in _encoders:
         _encoders.clear()
         trim()
-        _encoders[key] = Encoder(parse_ranks(data), pattern, cache)
+        _encoders[key] = Encoder(parse_ranks(data), pattern, cache, table)
     return _encoders[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", cache: int = CACHE, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` with a column ``ids`` (array of int) of the text's token ids.
+def _words(shared, text_col: str, part_bytes: int):
+    """The distinct words of a task that are no token themselves, once each for every HELD_PIECES distinct pieces."""
 
-    Where memory is short: ``cache`` bounds the entries a worker keeps, ``part_bytes`` the text it works on at once.
+    def run(batches):
+        ranks, pattern = shared.value
+        ranks, find = parse_ranks(ranks).keys(), regex.compile(pattern).findall
+        starts: set[str] = set()
+        later: set[str] = set()
+
+        def out():
+            words = {w for p in starts for w in find(p)} | {w for p in later for w in find(" " + p)}
+            starts.clear()
+            later.clear()
+            words = [w for w in words if len(w) <= LONG and w.encode("utf-8", "replace") not in ranks]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+
+        for _, texts in parts(batches, text_col, part_bytes):
+            for t in filter(None, texts):
+                u = units(t, pattern)
+                if u is None:
+                    for w in find(t):
+                        starts.add(w) if not w.startswith(" ") else later.add(w[1:])
+                else:
+                    starts.add(u[0])
+                    later.update(u[1:])
+                if len(starts) + len(later) > HELD_PIECES:
+                    yield out()
+        yield out()
+
+    return run
+
+
+def _replayed(shared):
+    def run(batches):
+        replay = Replay(parse_ranks(shared.value[0]))
+        for b in batches:
+            ids = replay.words([w.encode("utf-8", "replace") for w in b.column("word").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([x.tobytes() for x in ids], pa.binary())], ["word", "ids"])
+
+    return run
+
+
+def corpus_table(docs: DataFrame, data: bytes, pattern: str, text_col: str = "text", words: int = TABLE_WORDS, part_bytes: int = PART_BYTES) -> dict[str, bytes]:
+    """Ids of the words that most tasks hold, each replayed once, ``words`` of them at most."""
+    if not words:
+        return {}
+    shared = docs.sparkSession.sparkContext.broadcast((data, pattern))
+    held = docs.select(text_col).mapInArrow(_words(shared, text_col, part_bytes), "word string").groupBy("word").agg(F.count("*").alias("tasks"))
+    top = held.where("tasks > 1").orderBy(F.desc("tasks"), "word").limit(words).select("word")
+    t = top.repartition(max(1, words // 16_384), "word").mapInArrow(_replayed(shared), "word string, ids binary").toArrow()
+    return dict(zip(t["word"].to_pylist(), t["ids"].to_pylist()))
+
+
+def _shared(docs: DataFrame, ranks_path: str, pattern: str, cache: int, table_words: int, text_col: str = "text", part_bytes: int = PART_BYTES):
+    data = read_file(docs.sparkSession, ranks_path)
+    return docs.sparkSession.sparkContext.broadcast((data, pattern, cache, corpus_table(docs, data, pattern, text_col, table_words, part_bytes)))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", cache: int = CACHE, table_words: int = TABLE_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``docs`` with a last column (``ids_col``, or a name like it that is free) of the text's token ids, an array of int.
+
+    Where memory is short: ``cache`` and ``table_words`` bound the entries a worker keeps, ``part_bytes`` the text it works on at once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((read_file(docs.sparkSession, ranks_path), pattern, cache))
+    shared = _shared(docs, ranks_path, pattern, cache, table_words, text_col, part_bytes)
+    (name,) = fresh(docs, ids_col)
 
     def run(batches):
         e = _encoder(shared)
@@ -267,35 +340,28 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             ids = [np.frombuffer(x, "<u4") for x in e.encode([t or "" for t in texts])]
             cut = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             col = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, "ids"])
-
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.drop("ids").schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if "ids" not in docs.columns else _clash("ids"))
-
-
-def _clash(name: str):
-    raise ValueError(f"the table already has a column {name}")
+            yield pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, name])
 
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``encoded`` (with ``ids``) with a column ``decoded`` (binary)."""
-    from pyspark.sql import types as T
 
-    shared = encoded.sparkSession.sparkContext.broadcast((read_file(encoded.sparkSession, ranks_path), pattern, CACHE))
+def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``encoded`` with a last column (``decoded_col``, or a name like it that is free) of the bytes of ``ids_col``; null ids give no bytes."""
+    shared = _shared(encoded, ranks_path, pattern, CACHE, 0)
+    (name,) = fresh(encoded, decoded_col)
 
     def run(batches):
         e = _encoder(shared)
         for b in batches:
-            col = pa.array([e.replay.decode(np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, "decoded"])
+            col = pa.array([e.replay.decode(np.array(x or [], np.int64)) for x in b.column(ids_col).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, col], [*b.schema.names, name])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())]))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField(name, T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids, in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast((read_file(docs.sparkSession, ranks_path), pattern, CACHE))
+    shared = _shared(docs, ranks_path, pattern, CACHE, table_words)
 
     def run(batches):
         e = _encoder(shared)
