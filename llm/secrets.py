@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.common import fresh
+
 KEY = r"A-Za-z0-9_+/\-"
 # Names that a secret's value is assigned to.
 NAMES = "token|secret|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|password|passwd|pwd|passphrase|credentials?"
@@ -30,7 +32,7 @@ CANDIDATE = rf"{ASSIGNED}(?:{QUOTED}|{BARE})|(?<![{KEY}])(?=[A-Za-z_+/\-]*[0-9])
 #: Characters of context on either side.
 CONTEXT = 48
 MARK = "[SECRET]"
-# Words beside a secret, words beside a harmless value, and dictionary fragments.
+# Words beside a secret, words beside a harmless value, and dictionary fragments.
 NEAR_SECRET = "token|secret|api_?key|apikey|access_?key|password|passwd|pwd|auth|bearer|credential|private_?key|client_?secret"
 NEAR_HARMLESS = "commit|sha\\d*|md5|hash|checksum|digest|uuid|guid|etag|revision|version|build|example|sample|test|dummy|order|phone|card|call|isbn|id"
 FRAGMENTS = "the|and|ing|ion|ent|for|ver|ter|con|pro|com|per|int|est|all|file|name|data|page|image|user|time|date|index|test|main|home|example|placeholder|changeme|your|here|xxxx|abcd|1234|0000"
@@ -96,8 +98,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     bad_after = pick("ba", ["", " and more", ".", ".html", " words", "\n", ", then", ")", " of", " was", "&x=1"])
     # keys that are known by their form alone, and assigned values that are no keys
     own = F.element_at(F.array(
-        F.concat(F.lit("AKIA"), F.upper(F.substring(h("s"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(base, "[+/]", "x"), 1, 36)), F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(base, "[+/]", "k"), 1, 24)),
-    ), (F.pmod(F.xxhash64(F.lit("o"), "id"), F.lit(3)) + 1).cast("int"))
+        F.concat(F.lit("AKIA"), F.upper(F.substring(h("s"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(base, "[+/]", "x"), 1, 36)), F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(base, "[+/]", "k"), 1, 24)), F.concat(F.lit("ghp_"), F.substring(h("g"), 1, 36)),
+    ), (F.pmod(F.xxhash64(F.lit("o"), "id"), F.lit(4)) + 1).cast("int"))
     plain_before = pick("pb", ["", "words before ", "some text\n", "it was ", "(", "see ", "the key is ", "and then "])
     plain_after = pick("pa", ["", " and more", ".", "\n", ")", ", then", " was"])
     word2 = pick("w2", ["hunter", "dragon", "monkey", "Sommer", "letmein", "correct", "Tr0ub4dor", "football", "qwerty", "sunshine"])
@@ -131,14 +133,36 @@ def train(labelled: DataFrame, trees: int = 20, depth: int = 6) -> PipelineModel
     return PipelineModel([assembler, forest])
 
 
+#: Candidates whose lengths are summed at once, so that positions of many candidates take few steps.
+_STEP = 256
+
+
+def _before(lengths: Column) -> Column:
+    """Of an array of numbers, the sum of those before each."""
+    some = lambda k: F.slice(lengths, k * _STEP + 1, _STEP)
+    zero = F.lit(0).cast("long")
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(lengths) / _STEP).cast("int") - 1)
+
+    def running(x: Column, start: Column) -> Column:
+        state = F.aggregate(x, F.struct(F.array().cast("array<bigint>").alias("a"), start.alias("s")), lambda acc, y: F.struct(F.concat(acc["a"], F.array(acc["s"])).alias("a"), (acc["s"] + y).alias("s")))
+        return state["a"]
+
+    heads = running(F.transform(blocks, lambda k: F.aggregate(some(k), zero, lambda acc, y: acc + y)), zero)
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("k"), heads.alias("h")), lambda b: running(some(b["k"]), b["h"])))
+
+
 def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """One row per candidate: the columns ``keep``, its number in the text, position, before, candidate, after."""
-    cands = F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), 0)
-    rows = docs.where(F.col(text).rlike(CANDIDATE)).select(*keep, F.split(F.col(text), CANDIDATE, -1).alias("_pieces"), cands.alias("_cands"))
-    rows = rows.select(*keep, F.posexplode(F.arrays_zip("_pieces", "_cands", F.slice("_pieces", F.lit(2), F.size("_pieces")).alias("_next"))).alias("_no", "_c"), "_pieces", "_cands")
-    # characters of all pieces and candidates before this one
-    start = F.aggregate(F.slice("_pieces", F.lit(1), F.col("_no") + 1), F.lit(1), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("_cands", F.lit(1), F.col("_no")), F.lit(0), lambda a, x: a + F.length(x))
-    return rows.where(F.col("_c._cands").isNotNull()).select(*keep, "_no", start.alias("start"), F.substring(F.col("_c._pieces"), -CONTEXT, CONTEXT).alias("before"), F.col("_c._cands").alias("candidate"), F.substring(F.coalesce(F.col("_c._next"), F.lit("")), 1, CONTEXT).alias("after"))
+    """One row per candidate: the columns ``keep``, and no (its number in the text), start, before, candidate, after.
+
+    All that a candidate needs is cut out before the rows are made, so a row holds its own surroundings and never the text.
+    """
+    p, c, n, at, one = (F.col(x) for x in ("_pieces", "_cands", "_lengths", "_at", "_one"))
+    rows = docs.where(F.col(text).rlike(CANDIDATE)).select(*keep, F.split(F.col(text), CANDIDATE, -1).alias("_pieces"), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), 0).alias("_cands"))
+    rows = rows.withColumn("_lengths", F.transform(c, lambda x, i: (F.length(F.get(p, i)) + F.length(x)).cast("long"))).withColumn("_at", _before(n))
+    one_each = F.transform(c, lambda x, i: F.struct(
+        i.alias("no"), (F.get(at, i) + F.length(F.get(p, i)) + 1).alias("start"), F.substring(F.get(p, i), -CONTEXT, CONTEXT).alias("before"), x.alias("candidate"), F.substring(F.coalesce(F.get(p, i + 1), F.lit("")), 1, CONTEXT).alias("after"),
+    ))
+    return rows.select(*keep, F.explode(one_each).alias("_one")).select(*keep, *[one[x].alias(x) for x in ("no", "start", "before", "candidate", "after")])
 
 
 def scan(docs: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:
@@ -155,17 +179,18 @@ def redact(docs: DataFrame, model: PipelineModel, threshold: float = 0.5) -> Dat
     texts without candidates pass by the join.
     """
     cols = docs.columns
+    h1, h2, nos = fresh(docs, "_h1", "_h2", "_nos")
     one, two = F.xxhash64("text"), F.xxhash64(F.lit(11), "text")
     has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
     found = with_features(_found(docs.select("text", one.alias("_h1"), two.alias("_h2")), "text", ["_h1", "_h2"]))
     scored = model.transform(found).withColumn("_secret", vector_to_array("probability")[1] >= threshold).where("_secret")
-    secret = scored.groupBy("_h1", "_h2").agg(F.collect_set("_no").alias("_nos"))
-    rows = docs.where(has).withColumns({"_h1": one, "_h2": two}).join(secret, ["_h1", "_h2"], "left")
+    secret = scored.groupBy(F.col("_h1").alias(h1), F.col("_h2").alias(h2)).agg(F.collect_set("no").alias(nos))
+    rows = docs.where(has).withColumns({h1: one, h2: two}).join(secret, [h1, h2], "left")
     pieces, cands = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), 0)
-    parts = F.transform(F.arrays_zip(pieces.alias("p"), cands.alias("c")), lambda x, i: F.concat(x["p"], F.when(F.array_contains("_nos", i), F.lit(MARK)).otherwise(F.coalesce(x["c"], F.lit("")))))
-    text = F.when(F.col("_nos").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
+    parts = F.transform(F.arrays_zip(pieces.alias("p"), cands.alias("c")), lambda x, i: F.concat(x["p"], F.when(F.array_contains(nos, i), F.lit(MARK)).otherwise(F.coalesce(x["c"], F.lit("")))))
+    text = F.when(F.col(nos).isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
     rows = rows.withColumn("text", text)
     if "n_chars" in cols:
         kind = dict(docs.dtypes)["n_chars"]
-        rows = rows.withColumn("n_chars", F.when(F.col("_nos").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        rows = rows.withColumn("n_chars", F.when(F.col(nos).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return rows.select(*cols).union(docs.where(~has))
