@@ -3,7 +3,8 @@
 A gear hash rolls over the last 16 bytes; a chunk ends where its top bits are zero, so an insertion moves only the chunks
 around it.  Chunks are known by a 64-bit digest.  Within a task each later occurrence of a digest is settled on the spot, so one row per
 digest and task meets in a bucket, however common the chunk.  Neighbouring repeated chunks are joined to runs, and runs of
-at least ``least_words`` words are the result: short coincidences and stock lines stay.
+at least ``least_words`` words, or of LEAST_BYTES bytes where few spaces divide them, are the result: short coincidences and stock
+lines stay.
 
 Defined cases: null and empty texts have no chunks; rows with a null id are left out, as the result could not name them; rows with
 equal id and text are one text, with equal id and other text texts of their own (``text_key`` tells them apart); an empty table gives an
@@ -17,14 +18,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from llm.common import checkpointed  # noqa: F401
+from llm.common import fresh
 from llm.parts import parts
 from llm.shingles import mix
 
 LEAST, MOST = 16, 256
 CUT_BITS = 4
 LEAST_WORDS = 20
+#: A run of so many bytes counts whatever its words, for text without spaces between words.
+LEAST_BYTES = 400
 BUCKET_CHUNKS = 1_000_000
 #: Chunks that a task settles at once.
 HELD = 4_000_000
@@ -167,7 +171,7 @@ def _runs(least_words: int):
         at = np.flatnonzero(new)
         words = np.add.reduceat(r["words"], at)
         end = r["end"][np.r_[at[1:], len(r)] - 1]
-        ok = words >= least_words
+        ok = (words >= least_words) | (end - r["start"][at] >= LEAST_BYTES)
         f = r[at[ok]]
         return pd.DataFrame({"doc_id": f["doc"].astype(np.int64), "start_byte": f["start"].astype(np.int64), "end_byte": end[ok].astype(np.int64), "n_words": words[ok].astype(np.int64), "first_doc_id": f["ref"].astype(np.int64), "kept": f["kept"] == 1, "text_key": f["key"].astype(np.int64)})
 
@@ -188,9 +192,12 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
 def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` (doc_id, text, others) with the repeated runs that are not kept cut out of the text.
 
-    Rows with equal ids and other texts are matched by the text's key, which is computed beside the row.
+    Rows with equal ids and other texts are matched by the text's key, which is computed beside the row; other columns pass
+    unchanged, whatever their names.
     """
-    spans = repeated_spans(docs, least_words).where("not kept").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
+    key, doc, other, cuts = fresh(docs, "_key", "_doc", "_other", "_spans")
+    spans = repeated_spans(docs, least_words).where("not kept").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(other))
+    spans = spans.agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(cuts))
     schema = docs.schema
 
     def keyed(batches):
@@ -199,24 +206,22 @@ def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             for d, t in zip(b.column("doc_id").to_pylist(), texts):
                 r = chunk_records([d or 0], [t.encode("utf-8", "surrogatepass")]) if t else []
                 keys.append(int(r["key"][0]) if len(r) else 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], [*b.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], [*b.schema.names, key])
 
-    from pyspark.sql import types as T
-
-    rows = docs.mapInArrow(keyed, T.StructType([*schema, T.StructField("_key", T.LongType())]))
-    joined = rows.join(spans.withColumnsRenamed({"doc_id": "_doc", "text_key": "_k"}), (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_k")), "left")
+    rows = docs.mapInArrow(keyed, T.StructType([*schema, T.StructField(key, T.LongType())]))
+    joined = rows.join(spans, (F.col("doc_id") == F.col(doc)) & (F.col(key) == F.col(other)), "left")
 
     def cut(batches):
         for b, texts in parts(batches):
             out = []
-            for t, spans in zip(texts, b.column("_spans").to_pylist()):
-                if spans and t is not None:
+            for t, some in zip(texts, b.column(cuts).to_pylist()):
+                if some and t is not None:
                     raw, at, kept = t.encode("utf-8", "surrogatepass"), 0, []
-                    for s in spans:
+                    for s in some:
                         kept.append(raw[at : s["start_byte"]])
                         at = s["end_byte"]
                     t = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in schema.names], schema.names)
 
-    return joined.drop("_doc", "_k", "_key").mapInArrow(cut, schema)
+    return joined.drop(doc, other, key).mapInArrow(cut, schema)
