@@ -41,14 +41,16 @@ def contains_ci(c: Column, query: str) -> Column:
     return F.contains(F.lower(c), F.lit(query.lower()))
 
 
+# Chebyshev coefficients of erfc, lowest order first.
+ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+
+
 def normal_sf(z: Column) -> Column:
     """Upper tail of the standard normal, by the complementary error function's rational approximation (error below 1.2e-7)."""
     x = F.abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.5 * x)
-    # Chebyshev coefficients of erfc, lowest order first.
-    c = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    p = F.lit(c[-1])
-    for k in reversed(c[:-1]):
+    p = F.lit(ERFC[-1])
+    for k in reversed(ERFC[:-1]):
         p = p * t + k
     tail = t * F.exp(-x * x + p) / 2
     return F.when(z >= 0, tail).otherwise(1 - tail)
@@ -56,3 +58,42 @@ def normal_sf(z: Column) -> Column:
 
 def unordered_pair(a: Column, b: Column) -> Column:
     return F.array_sort(F.array(a, b))
+
+
+# ---------------------------------------------------------------- texts of numbers
+
+
+def strength_text(v: Column) -> Column:
+    """A strength as text: none from 100 up, one decimal from 1 up, else two significant digits."""
+    a = F.abs(v)
+    places = F.greatest(F.lit(0), 1 - F.floor(F.log10(a)).cast("int"))
+    small = F.element_at(F.array(*[F.format_string(f"%.{k}f", v.cast("double")) for k in range(13)]), F.least(places, F.lit(12)) + 1)
+    return F.when(v.isNull() | F.isnan(v), "—").when(a == 0, "0").when(a >= 100, F.format_string("%.0f", v.cast("double"))).when(a >= 1, F.format_string("%.1f", v.cast("double"))).otherwise(small)
+
+
+def exponent_text(v: Column, signed: bool = False) -> Column:
+    """One decimal and a plain exponent, such as 4.5e-3, with a plus if ``signed``."""
+    e = F.format_string("%.1e", v.cast("double"))
+    text = F.concat(F.substring_index(e, "e", 1), F.lit("e"), F.substring_index(e, "e", -1).cast("int").cast("string"))
+    return F.when(F.lit(signed) & (v > 0), F.concat(F.lit("+"), text)).otherwise(text)
+
+
+def rate_text(v: Column) -> Column:
+    """A rate or p: three decimals, scientific below a thousandth."""
+    return F.when(v.isNull() | F.isnan(v), "—").when(v == 0, "0").when(v < 0.001, exponent_text(v)).otherwise(F.format_string("%.3f", v.cast("double")))
+
+
+def beta_text(v: Column, floor: float = 0.0) -> Column:
+    """A coefficient: none, 0, about 0 at or under the floor, else signed with an exponent."""
+    return F.when(v.isNull(), "—").when(v == 0, "0").when(F.abs(v) <= floor, "≈0").otherwise(exponent_text(v, signed=True))
+
+
+def slug(c: Column) -> Column:
+    """Letters and digits, other runs as one underscore, none at the ends."""
+    return F.regexp_replace(F.trim(F.regexp_replace(c, "[^0-9A-Za-z]+", " ")), " ", "_")
+
+
+def chi2_even_sf(x: Column, half: int) -> Column:
+    """Upper tail of chi-squared with 2 * ``half`` degrees of freedom, summed in closed form."""
+    terms = sum(((F.pow(x / 2, F.lit(i)) / math.factorial(i)) for i in range(1, half)), F.lit(1.0))
+    return F.least(F.lit(1.0), F.exp(-x / 2) * terms)

@@ -1,54 +1,151 @@
-"""Scores of gene pairs over a weighted cell graph, their significance, and summaries."""
+"""Scores of gene pairs over a weighted cell graph, their moments, significance and summaries."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import cut
+from tessella.functions.scalars import normal_sf
+from tessella.operators.spatial import packed
+
 
 def fold(edges: DataFrame) -> DataFrame:
     """Weights of both directions of an edge summed on (smaller, larger)."""
     return edges.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum("w").alias("w"))
 
 
+def both_ways(folded: DataFrame) -> DataFrame:
+    return folded.union(folded.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+
+
 def degrees(folded: DataFrame) -> DataFrame:
     return folded.select(F.explode(F.array(F.struct(F.col("i").alias("node"), "w"), F.struct(F.col("j").alias("node"), "w"))).alias("e")).groupBy("e.node").agg(F.sum("e.w").alias("degree"))
 
 
-def _sides(edges: DataFrame, expr: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per pair and edge both genes' values; edges meet only cells that express the gene."""
+def genes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("g1", "g2")).alias("gene")).distinct()
+
+
+def neighbour_sums(edges: DataFrame, expr: DataFrame, genes: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
+    """(i, gene, s): weighted sum of each gene over a cell's out-neighbours, with ``types`` (cell_id, cell_type) per type ct2 of theirs.
+
+    An edge meets its end's values once, packed in one row; scores and moments of all pairs come from these sums.
+    """
+    e = expr.join(genes, "gene", "left_semi") if genes is not None else expr
+    end = packed(e).withColumnRenamed("cell_id", "j")
+    if types is not None:
+        end = end.join(types.select(F.col("cell_id").alias("j"), F.col("cell_type").alias("ct2")), "j")
+    met = edges.join(end, "j").withColumn("g", F.explode("genes"))
+    return met.groupBy("i", F.col("g.gene").alias("gene"), *(["ct2"] if types is not None else [])).agg(F.sum(F.col("w") * F.col("g.value")).alias("s"))
+
+
+def _parts(sums: DataFrame, expr: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each cell's own value of the first gene times its neighbours' sum of the second, as c."""
     one = expr.select(F.col("cell_id").alias("i"), F.col("gene").alias("g1"), F.col("value").alias("v1"))
-    two = expr.select(F.col("cell_id").alias("j"), F.col("gene").alias("g2"), F.col("value").alias("v2"))
-    return edges.join(one, "i").join(pairs, "g1").join(two, ["j", "g2"])
+    met = one.join(pairs.select("g1", "g2").distinct(), "g1").join(sums.withColumnRenamed("gene", "g2"), ["i", "g2"])
+    return met.withColumn("c", F.col("v1") * F.col("s"))
+
 
+def _halved(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("c", F.when(F.col("g1") == F.col("g2"), F.col("c") / 2).otherwise(F.col("c")))
 
-def pair_scores(folded: DataFrame, expr: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def pair_scores(folded: DataFrame, expr: DataFrame, pairs: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """Score of each gene pair over the folded graph taken both ways; pairs of one gene with itself count half."""
-    both = folded.union(folded.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    s = _sides(both, expr, pairs).groupBy("g1", "g2").agg(F.sum(F.col("v1") * F.col("w") * F.col("v2")).alias("c"))
-    return s.withColumn("c", F.when(F.col("g1") == F.col("g2"), F.col("c") / 2).otherwise(F.col("c")))
+    sums = neighbour_sums(both_ways(folded), expr, genes_of(pairs)) if sums is None else sums
+    return _halved(_parts(sums, expr, pairs).groupBy("g1", "g2").agg(F.sum("c").alias("c")))
+
+
+def cell_scores(folded: DataFrame, expr: DataFrame, pairs: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """Each cell's part of a pair's score over the folded graph taken both ways; cells without a part have no row."""
+    sums = neighbour_sums(both_ways(folded), expr, genes_of(pairs)) if sums is None else sums
+    return _halved(_parts(sums, expr, pairs).select(F.col("i").alias("cell_id"), "g1", "g2", "c"))
 
 
 def typed_scores(edges: DataFrame, expr: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """Score of each gene pair per ordered pair of cell types, over the directed graph as it is."""
     t1 = cells.select(F.col("cell_id").alias("i"), F.col("cell_type").alias("ct1"))
-    t2 = cells.select(F.col("cell_id").alias("j"), F.col("cell_type").alias("ct2"))
-    return _sides(edges, expr, pairs).join(t1, "i").join(t2, "j").groupBy("ct1", "ct2", "g1", "g2").agg(F.sum(F.col("v1") * F.col("w") * F.col("v2")).alias("c"))
+    return _parts(neighbour_sums(edges, expr, genes_of(pairs), cells), expr, pairs).join(t1, "i").groupBy("ct1", "ct2", "g1", "g2").agg(F.sum("c").alias("c"))
+
+
+def typed_cell_scores(edges: DataFrame, expr: DataFrame, pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Each cell's part of a pair's score toward neighbours of each type, over the directed graph: (cell_id, ct1, ct2, g1, g2, c)."""
+    t1 = cells.select(F.col("cell_id").alias("i"), F.col("cell_type").alias("ct1"))
+    return _parts(neighbour_sums(edges, expr, genes_of(pairs), cells), expr, pairs).join(t1, "i").select(F.col("i").alias("cell_id"), "ct1", "ct2", "g1", "g2", "c")
+
+
+def label(scores: DataFrame) -> DataFrame:
+    """(cell_id, label, c) without entities that are 0 in every cell."""
+    s = scores.select("cell_id", F.concat("ct1", F.lit(" - "), "ct2", F.lit(": "), "g1", F.lit("_"), "g2").alias("label"), "c")
+    live = s.where("c <> 0").select("label").distinct()
+    return s.join(live, "label", "left_semi")
 
 
-def second_moment(folded: DataFrame, expr: DataFrame) -> DataFrame:
+def every_cell(scores: DataFrame, cells: DataFrame, entity: str = "label") -> DataFrame:
+    """Scores with a row for every cell and entity, absent ones and dropped cells as 0; entities are a table of results."""
+    every = cells.select("cell_id").crossJoin(F.broadcast(scores.select(entity).distinct()))
+    return every.join(scores, ["cell_id", entity], "left").fillna(0.0, ["c"])
+
+
+def second_moment(folded: DataFrame, expr: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """Per gene the sum over cells of its squared weighted neighbourhood sum."""
-    both = folded.union(folded.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    per = both.join(expr.withColumnRenamed("cell_id", "j"), "j").groupBy("i", "gene").agg(F.sum(F.col("w") * F.col("value")).alias("s"))
-    return per.groupBy("gene").agg(F.sum(F.col("s") * F.col("s")).alias("eg2"))
+    sums = neighbour_sums(both_ways(folded), expr) if sums is None else sums
+    return sums.groupBy("gene").agg(F.sum(F.col("s") * F.col("s")).alias("eg2"))
+
+
+def squared_weights(folded: DataFrame) -> float:
+    return float(folded.agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0)
+
+
+def pair_moments(pairs: DataFrame, moments: DataFrame, w2: float) -> DataFrame:
+    """(g1, g2, a, b): the moments of a pair's two sides; of a gene with itself both are the sum of squared weights."""
+    m1, m2 = moments.toDF("g1", "_a"), moments.toDF("g2", "_b")
+    same = F.col("g1") == F.col("g2")
+    j = pairs.select("g1", "g2").distinct().join(m1, "g1", "left").join(m2, "g2", "left")
+    pick = lambda c: F.when(same, F.lit(w2)).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
+    return j.select("g1", "g2", pick("_a").alias("a"), pick("_b").alias("b"))
+
+
+def typed_moments(edges: DataFrame, expr: DataFrame, pairs: DataFrame, cells: DataFrame, fix: str | None = None) -> DataFrame:
+    """(ct1, ct2, g1, g2, eg2) over the squared weights of each ordered pair of types.
+
+    ``fix`` None: their sum, alike for all pairs; "ct": weighted by the first gene's squared values at the far end; "gp": by the squared
+    values of both genes at their ends.
+    """
+    squared = edges.select("i", "j", (F.col("w") * F.col("w")).alias("w"))
+    if fix is None:
+        t = lambda c, z: cells.select(F.col("cell_id").alias(c), F.col("cell_type").alias(z))
+        every = squared.join(t("i", "ct1"), "i").join(t("j", "ct2"), "j").groupBy("ct1", "ct2").agg(F.sum("w").alias("eg2"))
+        return every.crossJoin(F.broadcast(pairs.select("g1", "g2").distinct()))  # both are tables of results
+    e2 = expr.select("cell_id", "gene", (F.col("value") * F.col("value")).alias("value"))
+    if fix == "gp":
+        return typed_scores(squared, e2, pairs, cells).withColumnRenamed("c", "eg2")
+    t1 = cells.select(F.col("cell_id").alias("i"), F.col("cell_type").alias("ct1"))
+    s = neighbour_sums(squared, e2, pairs.select(F.col("g1").alias("gene")).distinct(), cells).join(t1, "i").groupBy("ct1", "ct2", "gene").agg(F.sum("s").alias("eg2"))
+    return s.withColumnRenamed("gene", "g1").join(pairs.select("g1", "g2").distinct(), "g1").select("ct1", "ct2", "g1", "g2", "eg2")
+
+
+def _root(c: Column) -> Column:
+    return F.sqrt(F.when(F.coalesce(c, F.lit(0.0)) == 0, 1.0).otherwise(c))
 
 
 def z_scores(scores: DataFrame, moments: DataFrame) -> DataFrame:
-    """The smaller of the two Z of each pair, one per side's moment; a moment of 0 counts as 1."""
-    root = lambda c: F.sqrt(F.when(F.col(c) == 0, 1.0).otherwise(F.coalesce(F.col(c), F.lit(1.0))))
-    m1, m2 = moments.toDF("g1", "m1"), moments.toDF("g2", "m2")
-    j = scores.join(m1, "g1", "left").join(m2, "g2", "left")
-    return j.select("g1", "g2", "c", F.least(F.col("c") / root("m1"), F.col("c") / root("m2")).alias("z"))
+    """The Z of smaller size of each pair's two, one per side's moment (a, b), and that moment; a moment of 0 counts as 1."""
+    j = scores.join(moments, ["g1", "g2"]).withColumns({"_za": F.col("c") / _root(F.col("a")), "_zb": F.col("c") / _root(F.col("b"))})
+    first = F.abs("_za") < F.abs("_zb")
+    return j.select("g1", "g2", "c", F.when(first, F.col("_za")).otherwise(F.col("_zb")).alias("z"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("eg2"))
+
+
+def metabolite_z(z: DataFrame, members: DataFrame) -> DataFrame:
+    """Z of each metabolite: the sum of its pairs' scores over the root of the sum of their moments."""
+    m = members.select("metabolite", "g1", "g2").distinct().join(z, ["g1", "g2"]).groupBy("metabolite").agg(F.sum("c").alias("c"), F.sum("eg2").alias("eg2"))
+    return m.select("metabolite", "c", (F.col("c") / _root(F.col("eg2"))).alias("z"))
+
+
+def tested(z: DataFrame, tie: list[str]) -> DataFrame:
+    """``z`` with the upper tail p of the normal and its false discovery rate over all rows."""
+    return benjamini_hochberg(z.withColumn("p", normal_sf(F.col("z"))), tie=tie)
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "fdr", by: list[str] = (), tie: list[str] = ()) -> DataFrame:
@@ -61,11 +158,50 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "fdr", by: list[s
     return q.withColumn(out, F.least(F.lit(1.0), F.min("_q").over(rest))).drop("_p", "_r", "_m", "_q")
 
 
+def adjusted_over_cells(df: DataFrame, p: str = "p", out: str = "fdr") -> DataFrame:
+    """Benjamini-Hochberg over any number of rows, in any number of tasks: rows are counted by distinct p first.
+
+    Permutations give few distinct p, so the window runs over the table of p values, and equal p get equal rates.
+    """
+    counts = df.groupBy(F.coalesce(F.col(p), F.lit(1.0)).alias("_p")).agg(F.count("*").alias("_c"))
+    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rates = counts.withColumn("_q", F.col("_p") * F.sum("_c").over(whole) / F.sum("_c").over(up))
+    rates = rates.select("_p", F.least(F.lit(1.0), F.min("_q").over(Window.orderBy("_p").rowsBetween(0, Window.unboundedFollowing))).alias(out))
+    return df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0))).join(rates, "_p").drop("_p")
+
+
 def selected(fdr: Column, c: Column, threshold: float = 0.05, parametric: bool = False) -> Column:
+    """Whether a result is significant: its rate (or p) below the threshold, without a parametric test also a positive score."""
     ok = F.coalesce(fdr < threshold, F.lit(False))
     return ok if parametric else ok & (c > 0)
 
 
+def select_significant(results: DataFrame, test: str = "parametric", use_fdr: bool = True, threshold: float = 0.05) -> DataFrame:
+    """``results`` with ``selected``, from the columns Z_FDR, Z_pval, C_p of one test or FDR_np, pval_np, C_np of the other."""
+    if test not in ("parametric", "non-parametric"):
+        raise ValueError('test must be "parametric" or "non-parametric"')
+    key = ("Z_FDR" if use_fdr else "Z_pval", "C_p") if test == "parametric" else ("FDR_np" if use_fdr else "pval_np", "C_np")
+    return results.withColumn("selected", selected(F.col(key[0]), F.col(key[1]), threshold, test == "parametric"))
+
+
 def max_score(degree: DataFrame, expr: DataFrame) -> DataFrame:
     """Half the degree-weighted sum of squares per gene, the largest score it can reach with itself."""
     return degree.withColumnRenamed("node", "cell_id").join(expr, "cell_id").groupBy("gene").agg((F.sum(F.col("degree") * F.col("value") * F.col("value")) / 2).alias("max_score"))
+
+
+def gene_sides(pairs: DataFrame, expr: DataFrame, mean: str = "algebraic") -> DataFrame:
+    """Values of sides made of several genes: pairs (side, genes array) to (cell_id, gene = side, value), the mean of the genes' values.
+
+    ``mean`` is algebraic or geometric (of value + 1e-8); an absent value counts as 0.
+    """
+    one = pairs.select("side", F.size("genes").alias("_n"), F.explode("genes").alias("gene"))
+    log = F.log(F.col("value") + 1e-8)
+    met = expr.join(one, "gene").groupBy("cell_id", "side", "_n").agg(F.sum("value").alias("_s"), F.sum(log).alias("_l"), F.count("*").alias("_c"))
+    value = F.col("_s") / F.col("_n") if mean == "algebraic" else F.exp((F.col("_l") + (F.col("_n") - F.col("_c")) * F.log(F.lit(1e-8))) / F.col("_n"))
+    return met.select("cell_id", F.col("side").alias("gene"), value.alias("value"))
+
+
+def cached_sums(folded: DataFrame, expr: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Neighbour sums of the genes of ``pairs``, written once for scores, moments and cells alike."""
+    return cut(neighbour_sums(both_ways(folded), expr, genes_of(pairs)))

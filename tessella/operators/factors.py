@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import cut
 from tessella.functions.scalars import modulator_group
 from tessella.operators.spatial import received
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session; an own folder serves where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def known_pairs(pairs: DataFrame, genes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Pairs with both sides among ``genes``; with ``targets``, for each target the pairs without it."""
     g = genes.select("gene").distinct()
     p = pairs.join(g.withColumnRenamed("gene", "ligand"), "ligand", "left_semi").join(g.withColumnRenamed("gene", "receptor"), "receptor", "left_semi")
     if targets is None:
         return p
-    return targets.select("target").join(F.broadcast(p)).where("ligand <> target and receptor <> target")
+    return targets.select("target").distinct().join(p, (F.col("ligand") != F.col("target")) & (F.col("receptor") != F.col("target")))
 
 
 def regulators(links: DataFrame, genes: DataFrame, alpha: float) -> DataFrame:
@@ -33,6 +24,18 @@ def regulators(links: DataFrame, genes: DataFrame, alpha: float) -> DataFrame:
     return links.where((F.col("p") < alpha) & (F.col("source") != F.col("target"))).join(genes.select(F.col("gene").alias("source")).distinct(), "source", "left_semi").select("target", "source").distinct()
 
 
+def targets_of(links: DataFrame, genes: DataFrame, alpha: float) -> DataFrame:
+    """Distinct (source, target) over clusters with p below ``alpha``, of known target genes."""
+    return links.where(F.col("p") < alpha).join(genes.select(F.col("gene").alias("target")).distinct(), "target", "left_semi").select("source", "target").distinct()
+
+
+def base_regulators(grn: DataFrame, genes: DataFrame) -> DataFrame:
+    """(target, tf): candidates of a base network (target, tf, flag), the largest flag over its peaks above 0, both known, none its own."""
+    known = genes.select("gene").distinct()
+    best = grn.groupBy("target", "tf").agg(F.max("flag").alias("flag")).where("flag > 0 and tf <> target")
+    return best.join(known.withColumnRenamed("gene", "tf"), "tf", "left_semi").join(known.withColumnRenamed("gene", "target"), "target", "left_semi").select("target", "tf")
+
+
 def mask_by_links(betas: DataFrame, links: DataFrame, cells: DataFrame, alpha: float) -> DataFrame:
     """Coefficients of plain factors set to 0 where the cell's cluster has no link (p below ``alpha``); other groups stay."""
     have = links.where(F.col("p") < alpha).select("cluster", F.col("target"), F.col("source").alias("modulator")).distinct().withColumn("_h", F.lit(True))
@@ -60,12 +63,37 @@ def typed_pairs(pairs: DataFrame, present: DataFrame) -> DataFrame:
     return pairs.join(one, "g1").join(two, "g2").select("ct1", "ct2", "g1", "g2")
 
 
-def transporter_pairs(roles: DataFrame) -> DataFrame:
-    """Pairs of genes (metabolite, gene, role) of a metabolite, each with itself too, in name order; two exporters or two importers (role 1 or -1) make no pair."""
+def transporter_pairs(roles: DataFrame, ordered: bool = False) -> DataFrame:
+    """Pairs of genes (metabolite, gene, role) of a metabolite, each with itself too, in name order, or both orders if ``ordered``.
+
+    Two exporters or two importers (role 1 or -1) make no pair.
+    """
     a = roles.select("metabolite", F.col("gene").alias("g1"), F.col("role").alias("r1"))
     b = roles.select("metabolite", F.col("gene").alias("g2"), F.col("role").alias("r2"))
     same = (F.col("r1") == F.col("r2")) & F.col("r1").isin(1, -1)
-    return a.join(b, "metabolite").where((F.col("g1") <= F.col("g2")) & ~same).select("metabolite", "g1", "g2").distinct()
+    pairs = a.join(b, "metabolite").where(~same)
+    return (pairs if ordered else pairs.where("g1 <= g2")).select("metabolite", "g1", "g2").distinct()
+
+
+def receptor_pairs(lr: DataFrame, ordered: bool = False) -> DataFrame:
+    """(metabolite, g1, g2) of ligands and receptors (name, ligand, receptor), both orders if ``ordered``."""
+    one = lr.where("ligand is not null and receptor is not null").select(F.col("name").alias("metabolite"), F.col("ligand").alias("g1"), F.col("receptor").alias("g2"))
+    return (one.union(one.select("metabolite", "g2", "g1")) if ordered else one).distinct()
+
+
+def motif_table(hits: DataFrame, motifs: DataFrame) -> DataFrame:
+    """Distinct (peak, tf): hits (peak, motif) by the factors of each motif (motif, tfs array)."""
+    return hits.select("peak", "motif").distinct().join(motifs.select("motif", F.explode("tfs").alias("tf")), "motif").select("peak", "tf").distinct()
+
+
+def peak_targets(table: DataFrame, tss: DataFrame) -> DataFrame:
+    """(target, tfs): factors of each gene over its peaks (peak, gene), sorted."""
+    return table.join(tss, "peak").groupBy(F.col("gene").alias("target")).agg(F.array_sort(F.collect_set("tf")).alias("tfs"))
+
+
+def inverse_lists(lists: DataFrame, key: str, member: str, out: str) -> DataFrame:
+    """The lists of keys of each member: (key, member array) turned round."""
+    return lists.select(key, F.explode(member).alias("_m")).groupBy(F.col("_m").alias(member)).agg(F.array_sort(F.collect_set(key)).alias(out))
 
 
 def motif_hits(hits: DataFrame, threshold: float, summed: bool = False) -> DataFrame:
@@ -75,6 +103,16 @@ def motif_hits(hits: DataFrame, threshold: float, summed: bool = False) -> DataF
     return hits.groupBy("peak", "motif").agg(F.sum("score").alias("score")).where(F.col("score") >= threshold)
 
 
+def top_ligands(weights: DataFrame, cutoff: float, k: int = 5, feedback: DataFrame | None = None) -> DataFrame:
+    """The k heaviest (tf, ligand, weight) of each tf, then those above ``cutoff``, without the pairs of ``feedback`` (tf, ligand).
+
+    Nothing moves up into a place that cutoff or feedback empty.
+    """
+    order = Window.partitionBy("tf").orderBy(F.desc("weight"), "ligand")
+    top = weights.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("weight") > cutoff))
+    return top if feedback is None else top.join(feedback, ["tf", "ligand"], "left_anti")
+
+
 def top_then_back_fill(weights: DataFrame, cutoff: float, k: int, without: Column | None = None) -> DataFrame:
     """The k heaviest (tf, ligand, weight) of each tf after cutoff and exclusion, so that others take excluded places."""
     w = weights.where(F.col("weight") > cutoff)
@@ -88,13 +126,19 @@ def interface_counts(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
     return s.groupBy(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).agg(F.count_distinct("ct1", "ct2").alias("n_sig"), F.max("c").alias("c_max"))
 
 
-def splash(betas: DataFrame, expr: DataFrame, got: DataFrame, scale: float = 1.0, cap: float | None = None) -> DataFrame:
+def splash(betas: DataFrame, expr: DataFrame, got: DataFrame, scale: float = 1.0, cap: float | None = None, allowed: DataFrame | None = None, zero_tf: bool = False) -> DataFrame:
     """(target, cell_id, gene, d): derivative of each target by each gene, from its factors' coefficients.
 
     A factor of ligand and receptor adds beta times received ligand to the receptor, where that is expressed, and beta times the
     receptor to the ligand; ligand and regulator likewise, expressed or not; a plain factor its beta, unscaled.  One pass over the
-    coefficients makes both sides of a factor.  Metabolites and the intercept have no part.
+    coefficients makes both sides of a factor.  Metabolites and the intercept have no part.  ``allowed`` (target, source) keeps only
+    these plain factors; ``zero_tf`` drops all of them.
     """
+    if allowed is not None or zero_tf:
+        plain = modulator_group(F.col("modulator")) == "tf"
+        kept = betas.where(plain & (F.col("modulator") != "(intercept)"))
+        kept = kept.limit(0) if zero_tf else kept.join(allowed.select("target", F.col("source").alias("modulator")).distinct(), ["target", "modulator"], "left_semi")
+        betas = betas.where(~plain).unionByName(kept.select(*betas.columns))
     part = F.split("modulator", "[$#]", 2)
     b = betas.withColumn("_grp", modulator_group(F.col("modulator"))).where("_grp <> 'metab' and modulator <> '(intercept)'").select("target", "cell_id", "beta", "_grp", part[0].alias("_l"), F.get(part, F.lit(1)).alias("_r"))
     b = b.join(expr.select("cell_id", F.col("gene").alias("_r"), F.col("value").alias("_x")), ["cell_id", "_r"], "left")
@@ -107,23 +151,25 @@ def splash(betas: DataFrame, expr: DataFrame, got: DataFrame, scale: float = 1.0
     return d if cap is None else d.withColumn("d", F.least(F.greatest("d", F.lit(-cap)), F.lit(cap)))
 
 
-def perturb(expr: DataFrame, cells: DataFrame, betas: DataFrame, levels: DataFrame, radius: float, hops: int = 4, scale: float = 1.0, cap: float | None = None) -> DataFrame:
+def perturb(expr: DataFrame, cells: DataFrame, betas: DataFrame, levels: DataFrame, radius: float, hops: int = 4, scale: float = 1.0, cap: float | None = None, mask: DataFrame | None = None, deltas: str | None = None) -> DataFrame:
     """(cell_id, gene, value) after setting ``levels`` (cell_id, gene, level) and letting the change spread ``hops`` times.
 
     Each hop takes derivatives at the state before it, replaces the change of a ligand by the change of what is received of it, sums
     over each target's factors, restores the given changes and keeps values between 0 and the gene's largest one.  A gene
-    without coefficients does not change.  Every hop is checkpointed, so plans stay short and lost executors cost one hop.
+    without coefficients does not change.  Every hop is checkpointed, so plans stay short and lost executors cost one hop.  With
+    ``mask`` (cell_id, gene) only entries in it are sent; with ``deltas``, a folder, each hop's change is written there as hop=k.
     """
     n = cells.count()
     ligands = cut(betas.where(modulator_group(F.col("modulator")).isin("lr", "ltf")).select(F.split("modulator", "[$#]")[0].alias("gene")).distinct())
-    take = lambda x: received(cells, x.join(ligands, "gene", "left_semi"), radius, n, scale)
+    sent = lambda x: x if mask is None else x.join(mask, ["cell_id", "gene"], "left_semi")
+    take = lambda x: received(cells, sent(x).join(ligands, "gene", "left_semi"), radius, n, scale)
     plus = lambda x, y: x.unionByName(y).groupBy("cell_id", "gene").agg(F.sum("value").alias("value"))
     minus = lambda x: x.select("cell_id", "gene", (-F.col("value")).alias("value"))
     given = levels.join(expr, ["cell_id", "gene"], "left").select("cell_id", "gene", (F.col("level") - F.coalesce("value", F.lit(0.0))).alias("value")).where("value <> 0")
     most = expr.groupBy("gene").agg(F.max("value").alias("_max"))
     got0 = got = cut(take(expr))
     now, delta = expr, given
-    for _ in range(hops):
+    for hop in range(hops):
         slopes = splash(betas, now, got, cap=cap)
         now = cut(plus(expr, delta))
         got = cut(take(now))
@@ -133,5 +179,18 @@ def perturb(expr: DataFrame, cells: DataFrame, betas: DataFrame, levels: DataFra
         at = kept.join(expr.withColumnRenamed("value", "_x"), ["cell_id", "gene"], "left").join(most, "gene", "left").fillna(0.0, ["_x", "_max"])
         x = F.least(F.greatest(F.col("_x") + F.col("value"), F.lit(0.0)), F.col("_max"))
         delta = cut(at.select("cell_id", "gene", (x - F.col("_x")).alias("value")))
+        if deltas is not None:
+            delta.write.mode("overwrite").parquet(f"{deltas}/hop={hop + 1}")
     forced = levels.select("cell_id", "gene", F.col("level").alias("value"))
     return plus(expr, delta).join(levels, ["cell_id", "gene"], "left_anti").unionByName(forced)
+
+
+def mean_splash(betas: DataFrame, cells: DataFrame, expr: DataFrame, got: DataFrame, scale: float = 1.0) -> DataFrame:
+    """``splash`` with each modulator's mean coefficient over the cells that have it, in every cell."""
+    mean = betas.groupBy("target", "modulator").agg(F.avg("beta").alias("beta"))
+    return splash(cells.select("cell_id").crossJoin(F.broadcast(mean)), expr, got, scale)  # a table of coefficients
+
+
+def masked_perturb(expr: DataFrame, cells: DataFrame, betas: DataFrame, levels: DataFrame, mask: DataFrame, radius: float, **kw) -> DataFrame:
+    """``perturb`` where a cell sends a gene only if (cell_id, gene) is in ``mask``."""
+    return perturb(expr, cells, betas, levels, radius, mask=mask, **kw)

@@ -1,83 +1,433 @@
-"""Grouped regressions and iterative operators."""
+"""Grouped regressions from sums of products, and iterative operators.
+
+All that a linear fit needs of its cells are sums of products of its columns.  They are made once for all targets by a map-combined
+aggregate over cells, zeros included through a column of ones; a target's fit then is a small problem on its own columns.
+Resampled cells are weights of the same sums, unpenalised covariates are columns that are projected out of them.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FIT = "target string, factor string, coef double, r2 double, n long"
+from tessella.functions.lineage import cut, numbered
+from tessella.functions.scalars import modulator_group
+from tessella.functions.tails import normal_tail, student_two_sided
+
+ONE = "(1)"
+FIT = "target string, factor string, grp string, beta double, r double, r2 double, model_r2 double, n_cells long"
+METHODS = ("OLS", "ridge", "l1", "elastic")
+
+
+def products(cells: DataFrame, values: DataFrame, weights: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
+    """(keys, f1, f2, xy) with f1 <= f2: sums over cells of products of columns, the column of ones among them.
+
+    values: (cell_id, factor, x), absent entries 0; ``by`` are columns of ``cells`` that split them; weights: (rep, cell_id, w) repeat
+    the sums for each rep, a cell counting w times.
+    """
+    entry = lambda f, x: F.struct(F.col(f).alias("f") if isinstance(f, str) else f.alias("f"), x.cast("double").alias("x"))
+    packed = values.groupBy("cell_id").agg(F.collect_list(entry("factor", F.col("x"))).alias("_e"))
+    ones = F.array(entry(F.lit(ONE), F.lit(1.0)))
+    rows = cells.select("cell_id", *by).join(packed, "cell_id", "left").withColumn("_e", F.concat(ones, F.coalesce("_e", F.array().cast("array<struct<f:string,x:double>>"))))
+    w = F.lit(1.0)
+    if weights is not None:
+        rows, w = rows.join(weights.where("w <> 0"), "cell_id"), F.col("w").cast("double")
+    keys = [*by, *(["rep"] if weights is not None else [])]
+    met = rows.select(*keys, w.alias("_w"), F.explode("_e").alias("a"), "_e").select(*keys, "_w", "a", F.explode("_e").alias("b")).where("a.f <= b.f")
+    return met.groupBy(*keys, F.col("a.f").alias("f1"), F.col("b.f").alias("f2")).agg(F.sum(F.col("_w") * F.col("a.x") * F.col("b.x")).alias("xy"))
+
 
+def one_hot(cells: DataFrame, label: str) -> DataFrame:
+    """(cell_id, factor, x) of the columns ``label[value]``."""
+    return cells.where(F.col(label).isNotNull()).select("cell_id", F.concat(F.lit(f"{label}["), F.col(label).cast("string"), F.lit("]")).alias("factor"), F.lit(1.0).alias("x"))
 
-def _design(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    wide = pdf.pivot_table(index="cell_id", columns="factor", values="x", fill_value=0.0, aggfunc="sum").sort_index(axis=1)
-    y = pdf.drop_duplicates("cell_id").set_index("cell_id")["y"].reindex(wide.index)
-    return wide.to_numpy(float), y.to_numpy(float), list(wide.columns)
 
+def _solve(g: np.ndarray, c: np.ndarray, n: float, method: str, penalty: float, l1_ratio: float) -> np.ndarray:
+    """Coefficients from centred sums of products, under the objectives of each method."""
+    if method == "OLS":
+        return np.linalg.lstsq(g, c, rcond=1e-12)[0]  # the least-norm one of several
+    if method == "ridge":
+        return np.linalg.solve(g + penalty * np.eye(len(g)), c)
+    ratio = 1.0 if method == "l1" else l1_ratio
+    gram, corr, beta = g / n, c / n, np.zeros(len(c))
+    for _ in range(2000):  # cyclic coordinate descent on the covariance
+        before = beta.copy()
+        for k in range(len(beta)):
+            low = gram[k, k] + penalty * (1 - ratio)
+            rho = corr[k] - gram[k] @ beta + gram[k, k] * beta[k]
+            beta[k] = np.sign(rho) * max(abs(rho) - penalty * ratio, 0) / low if low > 0 else 0.0
+        if np.abs(beta - before).max(initial=0) < 1e-10:
+            break
+    return beta
 
-def fit_linear(design: DataFrame, alpha: float = 0.0) -> DataFrame:
-    """Least squares (alpha 0) or ridge with an intercept per target; design has (target, cell_id, factor, x, y).
 
-    A target's design is one task's work: cells times its factors, which the caller keeps to a cluster or sample.
+class Sums:
+    """Sums of products of a group's columns, by name."""
+
+    def __init__(self, f1: list[str], f2: list[str], xy: np.ndarray) -> None:
+        self.at = {f: i for i, f in enumerate(dict.fromkeys([*f1, *f2]))}
+        self.m = np.zeros((len(self.at) + 1, len(self.at) + 1))  # the last row stands for columns that are 0 throughout
+        i, j = [self.at[f] for f in f1], [self.at[f] for f in f2]
+        self.m[i, j] = self.m[j, i] = xy
+
+    def of(self, a: list[str], b: list[str]) -> np.ndarray:
+        none = len(self.at)
+        return self.m[np.ix_([self.at.get(f, none) for f in a], [self.at.get(f, none) for f in b])]
+
+
+def _reduced(s: Sums, factors: list[str], groups: dict[str, list[str]], standardize: bool) -> tuple[list[str], np.ndarray, set[str]]:
+    """Names and columns (as combinations of ``factors``) after each group's factors became one sum, z-scored by the sample deviation if asked for."""
+    grouped = {f for g in groups.values() for f in g}
+    names, cols, multi = [f for f in factors if f not in grouped], [], set()
+    place = {f: i for i, f in enumerate(factors)}
+    cols = [np.eye(len(factors))[place[f]] for f in names]
+    n = s.of([ONE], [ONE])[0, 0]
+    for key in sorted(groups):
+        members = [f for f in groups[key] if f in place]
+        if not members:
+            continue
+        col = np.zeros(len(factors))
+        for f in members:
+            sd = 1.0
+            if standardize and n > 1:
+                q, t = s.of([f], [f])[0, 0], s.of([ONE], [f])[0, 0]
+                sd = math.sqrt(max(q - t * t / n, 0) / (n - 1)) or 1.0
+            col[place[f]] = 1 / sd
+        names.append("+".join(members))
+        cols.append(col)
+        if len(members) > 1:
+            multi.add(names[-1])
+    return names, np.array(cols).reshape(len(names), len(factors)), multi
+
+
+def fit_sums(s: Sums, target: str, factors: list[str], labels: list[str] = (), method: str = "OLS", penalty: float = 1.0, l1_ratio: float = 0.5, standardize: bool = False, groups: dict | None = None) -> list[tuple] | None:
+    """(factor, kind, beta, r, model R^2, n) of each column; None where there are too few cells.
+
+    ``labels`` are covariates without penalty, the first of them the reference, whose coefficient is 0: they and the intercept are
+    projected out of columns and response, and their own coefficients follow from what is left.
     """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    names, a, multi = _reduced(s, list(factors), groups or {}, standardize)
+    n = s.of([ONE], [ONE])[0, 0]
+    dummies = list(labels)[1:]
+    if n < len(names) + len(dummies) + 1:
+        return None
+    own, y = list(factors), [target]
+    mean = lambda f: s.of([ONE], f)[0] / n
+    centred = lambda f, g: s.of(f, g) - n * np.outer(mean(f), mean(g))
+    gram, corr, yy = a @ centred(own, own) @ a.T, a @ centred(own, y)[:, 0], float(centred(y, y)[0, 0])
+    var = np.diag(gram).copy()
+    whole_gram, whole_corr = gram, corr
+    if dummies:
+        dd, dx, dy = centred(dummies, dummies), centred(dummies, own) @ a.T, centred(dummies, y)[:, 0]
+        inv = np.linalg.pinv(dd, rcond=1e-12)
+        gram, corr = gram - dx.T @ inv @ dx, corr - dx.T @ inv @ dy
+    scale = np.ones(len(names))
+    if standardize:
+        scale = np.sqrt(np.maximum(var, 0) / n)
+        scale[scale < 1e-12] = 1.0
+    beta = _solve(gram / np.outer(scale, scale), corr / scale, n, method, penalty, l1_ratio) if names else np.zeros(0)
+    raw = beta / scale
+    left = yy - 2 * raw @ whole_corr + raw @ whole_gram @ raw
+    extra = np.zeros(0)
+    if dummies:
+        extra = inv @ (dy - dx @ raw)
+        left = left - 2 * extra @ dy + 2 * extra @ dx @ raw + extra @ dd @ extra
+    r2 = 1 - left / yy if yy > 1e-12 else 0.0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.where(var * yy > 1e-18, whole_corr / np.sqrt(np.maximum(var * yy, 1e-300)), 0.0)
+    out = [(f, "cluster" if f in multi else None, float(b), float(x), float(r2), int(n)) for f, b, x in zip(names, beta, r)]
+    for i, f in enumerate(labels):
+        q, c = float(centred([f], [f])[0, 0]), float(centred([f], y)[0, 0])
+        out.append((f, "onehot", 0.0 if i == 0 else float(extra[i - 1]), c / math.sqrt(q * yy) if q * yy > 1e-18 else 0.0, float(r2), int(n)))
+    return out
+
+
+def _per_target(sums: DataFrame, design: DataFrame, keys: list[str], labels: list[str]):
+    """Rows of each target's own columns: its factors, itself, ones and labels."""
+    names = design.select("target", F.col("factor").alias("f")).union(design.select("target", F.col("target"))).distinct()
+    for extra in (ONE, *labels):
+        names = names.union(design.select("target", F.lit(extra)).distinct())
+    one, two = names.toDF("target", "f1"), names.toDF("target", "f2")
+    mine = sums.join(one, "f1").join(two, ["target", "f2"])
+    # a row for each factor too, as a column of zeros has no product
+    return mine.select(*keys, "target", "f1", "f2", "xy", F.lit(None).cast("int").alias("pos"))
+
+
+def fit_betas(sums: DataFrame, design: DataFrame, keys: list[str] = (), labels: list[str] = (), **kw) -> DataFrame:
+    """Tidy fits (keys, target, factor, grp, beta, r, r2, model_r2, n_cells) of every target on its factors.
+
+    design: (target, factor, pos), and with ``cluster`` the group that a factor is summed into, none where it is null; sums: ``products``
+    of all columns, those of ``labels`` among them.  A target with too few cells has no rows.  Further parameters are those of ``fit_sums``.
+    """
+    keys, labels = list(keys), list(labels)
+    cluster = F.col("cluster").cast("long") if "cluster" in design.columns else F.lit(None).cast("long")
+    listed = F.array_sort(F.collect_list(F.struct("pos", "factor", cluster.alias("cluster"))))
+    factors = design.groupBy("target").agg(listed.alias("_l")).select("target", F.col("_l.factor").alias("_factors"), F.col("_l.cluster").alias("_clusters"))
+    types = {f.name: f.dataType.simpleString() for f in sums.schema}
+    schema = "".join(f"{k} {types[k]}, " for k in keys) + FIT
+    kind = {"@": "metab", "$": "lr", "#": "ltf"}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = Sums(pdf["f1"].tolist(), pdf["f2"].tolist(), pdf["xy"].to_numpy(float))
+        target = pdf["target"].iat[0]
+        names, groups = list(pdf["_factors"].iat[0]), {}
+        for f, k in zip(names, pdf["_clusters"].iat[0]):
+            if k is not None and not pd.isna(k):
+                groups.setdefault(int(k), []).append(f)
+        rows = fit_sums(s, target, names, labels, groups=groups, **kw) or []
+        grp = lambda f, g: g or next((v for c, v in kind.items() if c in f), "tf")
+        out = pd.DataFrame([(target, f, grp(f, g), b, r, r * r, m, n) for f, g, b, r, m, n in rows], columns=[c.split()[0] for c in FIT.split(", ")])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iat[0])
+        return out
+
+    rows = _per_target(sums, design, keys, labels).drop("pos").join(F.broadcast(factors), "target")
+    return rows.groupBy(*keys, "target").applyInPandas(run, schema)
+
+
+def resample_weights(cells: DataFrame, replicates: int, seed0: int = 0) -> DataFrame:
+    """(rep, cell_id, w): how often a cell is drawn when as many cells as there are are drawn with replacement, from seed0 + rep.
+
+    The draws are those of numpy's generator over the cells in id order; each replicate's are made in one task of their own.
+    """
+    at = cut(numbered(cells.select("cell_id"), ["cell_id"], "_r"))
+    n = at.count()
+    if not n:
+        raise ValueError("there are no cells to resample")
+
+    def draw(frames):
+        for f in frames:
+            for rep in f["id"].tolist():
+                w = np.bincount(np.random.default_rng(seed0 + rep).integers(0, n, size=n), minlength=n)
+                live = np.flatnonzero(w)
+                yield pd.DataFrame({"rep": rep, "_r": live, "w": w[live]})
+
+    drawn = cells.sparkSession.range(0, replicates, 1, replicates).mapInPandas(draw, "rep long, _r long, w long")
+    return drawn.join(at, "_r").select("rep", "cell_id", "w")
+
+
+def bootstrap_betas(cells: DataFrame, values: DataFrame, design: DataFrame, replicates: int, seed0: int = 0, labels: list[str] = (), skip: bool = False, **kw) -> DataFrame:
+    """(rep, target, factor, grp, beta, r, ...) over resampled cells; a resample without one of the labels is an error, or skipped."""
+    sums = products(cells, values, resample_weights(cells, replicates, seed0))
+    if labels:
+        sums = cut(sums)
+        have = sums.where(F.col("f1").isin(ONE, *labels) & (F.col("f1") == F.col("f2"))).groupBy("rep").agg(F.count_if(F.col("f1") != ONE).alias("c"))
+        whole = have.where(F.col("c") == len(labels)).select("rep")
+        if whole.count() < replicates:
+            if not skip:
+                raise ValueError("a resample lacks a label; skip=True leaves such resamples out")
+            sums = sums.join(whole, "rep", "left_semi")
+    return fit_betas(sums, design, ["rep"], labels, **kw)
+
+
+def sweep_betas(sums: DataFrame, design: DataFrame, penalties: list[float], keys: list[str] = (), **kw) -> DataFrame:
+    """``fit_betas`` at each penalty, with the column ``penalty``; sums with a rep give every penalty the same draws."""
+    sums, out = cut(sums), None
+    for p in penalties:
+        one = fit_betas(sums, design, keys, penalty=p, **kw).withColumn("penalty", F.lit(float(p)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rank_coefficients(betas: DataFrame) -> DataFrame:
+    """Places by size of the coefficient inside a target, ties by name."""
+    return betas.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc(F.abs("beta")), "factor")))
+
+
+def linkage_groups(distance: np.ndarray, threshold: float) -> list[int]:
+    """Flat clusters (numbered from 1 by first member) of average linkage cut at ``threshold``."""
+    d = distance.astype(float).copy()
+    n = len(d)
+    np.fill_diagonal(d, np.inf)
+    size, members, live = np.ones(n), [[i] for i in range(n)], np.ones(n, bool)
+    while live.sum() > 1:
+        flat = np.where(live[:, None] & live[None], d, np.inf)
+        i, j = sorted(np.unravel_index(int(flat.argmin()), flat.shape))
+        if flat[i, j] > threshold:
+            break
+        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i], d[i, i] = row, row, np.inf
+        size[i] += size[j]
+        members[i] += members[j]
+        live[j] = False
+    out = [0] * n
+    for k, i in enumerate(sorted(np.flatnonzero(live).tolist(), key=lambda x: min(members[x])), 1):
+        for m in members[i]:
+            out[m] = k
+    return out
+
+
+def cluster_factors(sums: DataFrame, design: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(target, factor, cluster): each target's factors grouped by average linkage on 1 - correlation; constant factors are left out."""
+    factors = design.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "factor"))), lambda x: x["factor"]).alias("_factors"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, names = _design(pdf)
-        mx, my = x.mean(0), y.mean()
-        xc, yc = x - mx, y - my
-        beta = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc) if alpha else np.linalg.lstsq(xc, yc, rcond=None)[0]
-        total = float((yc**2).sum())
-        r2 = 1 - float(((yc - xc @ beta) ** 2).sum()) / total if total else 0.0
-        return pd.DataFrame({"target": pdf["target"].iat[0], "factor": ["(intercept)", *names], "coef": [my - mx @ beta, *beta], "r2": r2, "n": len(y)})
+        s = Sums(pdf["f1"].tolist(), pdf["f2"].tolist(), pdf["xy"].to_numpy(float))
+        names = list(pdf["_factors"].iat[0])
+        n, total = s.of([ONE], [ONE])[0, 0], s.of([ONE], names)[0]
+        cov = s.of(names, names) - np.outer(total, total) / n
+        live = [i for i in range(len(names)) if cov[i, i] > 1e-9]
+        sd = np.sqrt(np.diag(cov)[live])
+        groups = linkage_groups(1 - cov[np.ix_(live, live)] / np.outer(sd, sd), threshold) if len(live) > 1 else list(range(1, len(live) + 1))
+        return pd.DataFrame({"target": pdf["target"].iat[0], "factor": [names[i] for i in live], "cluster": groups})
+
+    rows = _per_target(sums, design, [], []).drop("pos").join(F.broadcast(factors), "target")
+    return rows.groupBy("target").applyInPandas(run, "target string, factor string, cluster long")
+
+
+def group_lasso(g: np.ndarray, c: np.ndarray, n: float, groups: list[list[int]], penalty: float, rounds: int = 3000) -> np.ndarray:
+    """Minimum of half the mean squared error plus penalty times the roots of group sizes times the groups' norms, by proximal gradient."""
+    gram, corr = g / n, c / n
+    step = 1 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12) if len(c) else 1.0
+    beta = look = np.zeros(len(c))
+    t = 1.0
+    for _ in range(rounds):
+        z = look - step * (gram @ look - corr)
+        new = np.zeros(len(c))
+        for at in groups:
+            size = np.linalg.norm(z[at])
+            if size > 0:
+                new[at] = max(0.0, 1 - step * penalty * math.sqrt(len(at)) / size) * z[at]
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        look = new + (t - 1) / t2 * (new - beta)
+        if np.abs(new - beta).max(initial=0) < 1e-10:
+            beta = new
+            break
+        beta, t = new, t2
+    return beta
 
-    return design.groupBy("target").applyInPandas(run, FIT)
 
+def anchor_betas(sums: DataFrame, design: DataFrame, keys: list[str] = (), penalty: float = 0.01, least_r2: float = 0.15) -> DataFrame:
+    """Anchors by group lasso over the kinds of modulators, per target and ``keys``; all 0 where R^2 is below ``least_r2``.
 
-def fit_elastic_net(design: DataFrame, alpha: float, l1_ratio: float = 1.0, rounds: int = 1000, tol: float = 1e-8) -> DataFrame:
-    """Lasso and elastic net with an intercept, by cyclic coordinate descent on the covariance."""
+    Without a network that varies them over space they are the coefficients themselves.
+    """
+    keys = list(keys)
+    factors = design.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "factor"))), lambda x: x["factor"]).alias("_factors"))
+    types = {f.name: f.dataType.simpleString() for f in sums.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, names = _design(pdf)
-        n = len(y)
-        mx, my = x.mean(0), y.mean()
-        xc, yc = x - mx, y - my
-        gram, corr = xc.T @ xc / n, xc.T @ yc / n
-        beta = np.zeros(x.shape[1])
-        for _ in range(rounds):
-            before = beta.copy()
-            for k in range(len(beta)):
-                rho = corr[k] - gram[k] @ beta + gram[k, k] * beta[k]
-                low = gram[k, k] + alpha * (1 - l1_ratio)
-                beta[k] = np.sign(rho) * max(abs(rho) - alpha * l1_ratio, 0) / low if low else 0.0
-            if np.abs(beta - before).max(initial=0) < tol:
-                break
-        total = float((yc**2).sum())
-        r2 = 1 - float(((yc - xc @ beta) ** 2).sum()) / total if total else 0.0
-        return pd.DataFrame({"target": pdf["target"].iat[0], "factor": ["(intercept)", *names], "coef": [my - mx @ beta, *beta], "r2": r2, "n": n})
-
-    return design.groupBy("target").applyInPandas(run, FIT)
-
-
-def bagging_ridge(design: DataFrame, bags: int = 20, alpha: float = 5.0, share: float = 0.8, seed: int = 123) -> DataFrame:
-    """Mean coefficient over bags of resampled rows and a share of the factors, with its one-sample t statistic."""
+        s = Sums(pdf["f1"].tolist(), pdf["f2"].tolist(), pdf["xy"].to_numpy(float))
+        target, names = pdf["target"].iat[0], list(pdf["_factors"].iat[0])
+        n = s.of([ONE], [ONE])[0, 0]
+        mean = s.of([ONE], names)[0] / n
+        my, g = s.of([ONE], [target])[0, 0] / n, s.of(names, names)
+        g = g - n * np.outer(mean, mean)
+        c, yy = s.of(names, [target])[:, 0] - n * mean * my, s.of([target], [target])[0, 0] - n * my * my
+        sd = np.sqrt(np.maximum(np.diag(g), 0) / n)
+        sd[sd < 1e-12] = 1.0
+        kind = [next((k for k in "@$#" if k in f), "") for f in names]
+        beta = group_lasso(g / np.outer(sd, sd), c / sd, n, [[i for i, k in enumerate(kind) if k == x] for x in sorted(set(kind))], penalty) / sd
+        r2 = 1 - (yy - 2 * beta @ c + beta @ g @ beta) / yy if yy > 1e-12 else 0.0
+        if r2 < least_r2:
+            beta = np.zeros(len(beta))
+        out = pd.DataFrame({"target": target, "factor": ["(intercept)", *names], "beta": [my - mean @ beta, *beta], "r2": r2})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iat[0])
+        return out
+
+    rows = _per_target(sums, design, keys, []).drop("pos").join(F.broadcast(factors), "target")
+    return rows.groupBy(*keys, "target").applyInPandas(run, "".join(f"{k} {types[k]}, " for k in keys) + "target string, factor string, beta double, r2 double")
+
+
+# ---------------------------------------------------------------- links of a network
+
+LINKS = "source string, target string, coef_mean double, coef_abs double, coef_variance double, p double, neg_log_p double"
+
+
+def _centred(s: Sums, target: str, names: list[str], scaled: bool):
+    n = s.of([ONE], [ONE])[0, 0]
+    mean, my = s.of([ONE], names)[0] / n, s.of([ONE], [target])[0, 0] / n
+    g = s.of(names, names) - n * np.outer(mean, mean)
+    c, yy = s.of(names, [target])[:, 0] - n * mean * my, s.of([target], [target])[0, 0] - n * my * my
+    sd = np.sqrt(np.maximum(np.diag(g), 0) / n) if scaled else np.ones(len(names))
+    sd[sd < 1e-12] = 1.0
+    return n, g / np.outer(sd, sd), c / sd, float(yy)
+
+
+def bayesian_ridge(g: np.ndarray, c: np.ndarray, yy: float, n: float, rounds: int = 300, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of the coefficients by evidence maximisation with flat gamma priors."""
+    small = 1e-6
+    value, vector = np.linalg.eigh(g)
+    value, vc = np.maximum(value, 0), vector.T @ c
+    alpha, lam, coef = 1 / (yy / n + np.finfo(float).eps), 1.0, np.zeros(len(c))
+    for k in range(rounds):
+        before = coef
+        coef = vector @ (vc / (value + lam / alpha))
+        left = max(yy - 2 * coef @ c + coef @ g @ coef, 0)
+        gamma = float((alpha * value / (lam + alpha * value)).sum())
+        lam = (gamma + 2 * small) / (float(coef @ coef) + 2 * small)
+        alpha = (n - gamma + 2 * small) / (left + 2 * small)
+        if k and np.abs(before - coef).sum() < tol:
+            break
+    coef = vector @ (vc / (value + lam / alpha))
+    return coef, ((vector**2) / (alpha * value + lam)).sum(1)
+
+
+def infer_links(cells: DataFrame, expr: DataFrame, candidates: DataFrame, by: list[str] = (), method: str = "bagging_ridge", alpha: float = 1.0, bags: int = 20, share: float = 0.8, seed: int = 123, scaled: bool = False) -> DataFrame:
+    """(keys, source, target, coef_mean, coef_abs, coef_variance, p, neg_log_p) of every candidate (target, source), per cluster.
+
+    "bagging_ridge": mean over bags of resampled cells and a share of the sources, with the p of a one-sample t test over bags and
+    -log10 p (a p that is none counts as 1 there).  "bayesian_ridge": evidence maximisation, p twice the normal's mass beyond 0 and
+    -ln p.  A target that is its own candidate is left out.
+    """
+    by = list(by)
+    map_ = candidates.where("source <> target").select("target", F.col("source").alias("factor"), F.dense_rank().over(Window.partitionBy("target").orderBy("source")).alias("pos")).distinct()
+    values = expr.select("cell_id", F.col("gene").alias("factor"), F.col("value").alias("x"))
+    bagged = method == "bagging_ridge"
+    weights = resample_weights(cells, bags, seed) if bagged else None
+    sums = products(cells, values, weights, by)
+    mine = _per_target(sums, map_, [*by, *(["rep"] if bagged else [])], []).drop("pos")
+    factors = map_.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "factor"))), lambda x: x["factor"]).alias("_factors"))
+    types = {f.name: f.dataType.simpleString() for f in cells.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, names = _design(pdf)
-        rng = np.random.default_rng(seed)
-        take = max(1, int(share * x.shape[1]))
-        coef = np.full((bags, x.shape[1]), np.nan)
-        for b in range(bags):
-            rows, cols = rng.integers(0, len(y), len(y)), rng.permutation(x.shape[1])[:take]
-            xb = x[rows][:, cols] - x[rows][:, cols].mean(0)
-            coef[b, cols] = np.linalg.solve(xb.T @ xb + alpha * np.eye(take), xb.T @ (y[rows] - y[rows].mean()))
-        n = (~np.isnan(coef)).sum(0)
-        mean = np.nansum(coef, 0) / np.maximum(n, 1)
-        sd = np.sqrt(np.nansum((coef - mean) ** 2, 0) / np.maximum(n - 1, 1))
-        t = np.divide(mean, sd / np.sqrt(np.maximum(n, 1)), out=np.zeros_like(mean), where=sd > 0)
-        return pd.DataFrame({"target": pdf["target"].iat[0], "factor": names, "coef_mean": mean, "coef_abs": abs(mean), "t": t, "bags": n})
-
-    return design.groupBy("target").applyInPandas(run, "target string, factor string, coef_mean double, coef_abs double, t double, bags long")
+        target, names = pdf["target"].iat[0], list(pdf["_factors"].iat[0])
+        if bagged:
+            take = max(1, int(share * len(names)))
+            coef = np.full((bags, len(names)), np.nan)
+            for b, one in pdf.groupby("rep"):
+                cols = np.sort(np.random.default_rng([seed, int(b)]).permutation(len(names))[:take])
+                s = Sums(one["f1"].tolist(), one["f2"].tolist(), one["xy"].to_numpy(float))
+                n, g, c, _ = _centred(s, target, [names[i] for i in cols], scaled)
+                coef[int(b), cols] = np.linalg.solve(g + alpha * np.eye(take), c)
+            k = (~np.isnan(coef)).sum(0)
+            mean = np.nansum(coef, 0) / np.maximum(k, 1)
+            var = np.nansum((coef - mean) ** 2, 0) / np.maximum(k - 1, 1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                p = student_two_sided(np.where(k > 1, mean / np.sqrt(var / np.maximum(k, 1)), np.nan), np.maximum(k - 1, 0))
+            neg = -np.log10(np.where(np.isnan(p), 1.0, np.maximum(p, 1e-300)))
+            mean[k == 0] = np.nan
+        else:
+            s = Sums(pdf["f1"].tolist(), pdf["f2"].tolist(), pdf["xy"].to_numpy(float))
+            n, g, c, yy = _centred(s, target, names, scaled)
+            mean, var = bayesian_ridge(g, c, yy, n)
+            p = 2 * normal_tail(np.abs(mean) / np.sqrt(np.maximum(var, 1e-300)))
+            neg = -np.log(np.maximum(p, 1e-300))
+        out = pd.DataFrame({"source": names, "target": target, "coef_mean": mean, "coef_abs": abs(mean), "coef_variance": var, "p": p, "neg_log_p": neg})
+        for k in reversed(by):
+            out.insert(0, k, pdf[k].iat[0])
+        return out
+
+    return mine.join(F.broadcast(factors), "target").groupBy(*by, "target").applyInPandas(run, "".join(f"{k} {types[k]}, " for k in by) + LINKS)
+
+
+def ridge_coefficients(cells: DataFrame, expr: DataFrame, candidates: DataFrame, by: list[str] = (), alpha: float = 1.0) -> DataFrame:
+    """(keys, source, target, coef): the network's weights for a simulation, by ridge on each target's own candidates."""
+    by = list(by)
+    map_ = candidates.where("source <> target").select("target", F.col("source").alias("factor"), F.dense_rank().over(Window.partitionBy("target").orderBy("source")).alias("pos")).distinct()
+    sums = products(cells, expr.select("cell_id", F.col("gene").alias("factor"), F.col("value").alias("x")), None, by)
+    fits = fit_betas(sums, map_, by, method="ridge", penalty=alpha)
+    return fits.select(*by, F.col("factor").alias("source"), "target", F.col("beta").alias("coef"))
+
+
+# ---------------------------------------------------------------- summaries and iterations
 
 
 def bootstrap_summary(samples: DataFrame, keys: list[str], value: str = "beta") -> DataFrame:
@@ -92,15 +442,17 @@ def bootstrap_summary(samples: DataFrame, keys: list[str], value: str = "beta")
 def propagate(delta: DataFrame, coef: DataFrame, base: DataFrame, steps: int) -> DataFrame:
     """Change of expression through a network: delta times coefficients, perturbed genes restored, results kept at 0 or above.
 
-    delta: (cell_id, gene, d) of the perturbed genes; coef: (source, target, coef); base: (cell_id, gene, value).
+    delta: (cell_id, gene, d) of the perturbed genes; coef: (source, target, coef); base: (cell_id, gene, value).  Each step but the last
+    is written, so plans stay short and a lost executor costs one step.
     """
     held = delta.select("cell_id", "gene", F.col("d").alias("held"))
     now = delta
-    for _ in range(steps):
+    for k in range(steps):
         moved = now.join(coef, F.col("gene") == F.col("source")).groupBy("cell_id", F.col("target").alias("gene")).agg(F.sum(F.col("d") * F.col("coef")).alias("d"))
         now = moved.join(held, ["cell_id", "gene"], "full").join(base, ["cell_id", "gene"], "left")
         value = F.coalesce("value", F.lit(0.0))
-        now = now.select("cell_id", "gene", F.coalesce("held", F.greatest(F.col("d"), -value)).alias("d"))
+        now = now.select("cell_id", "gene", F.greatest(F.coalesce("held", "d"), -value).alias("d"))
+        now = cut(now) if k < steps - 1 else now
     return now
 
 
@@ -108,19 +460,28 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """Nodes within a number of hops of the start nodes, with the least number."""
     seen = front = start.select("node", F.lit(0).alias("hop"))
     for h in range(1, hops + 1):
-        front = front.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(h).alias("hop")).distinct().join(seen.select("node"), "node", "left_anti")
+        front = cut(front.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(h).alias("hop")).distinct().join(seen.select("node"), "node", "left_anti"))
         seen = seen.union(front)
     return seen
 
 
-def markov_step(p: DataFrame, state: DataFrame) -> DataFrame:
-    """One step of a distribution (i, mass) over transition probabilities (i, j, p)."""
-    return state.join(p, "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
+def principal_components(expr: DataFrame, genes: DataFrame, cells: DataFrame, most: int = 50, drop: float = 0.002) -> tuple[DataFrame, int]:
+    """((cell_id, pcs), number of components up to the elbow): components of cells by genes, absent entries 0.
 
+    The elbow is the first place where the second difference of the cumulative variance exceeds ``drop`` in size.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-def permutation_p(observed: DataFrame, permuted: DataFrame, keys: list[str]) -> DataFrame:
-    """(number of permuted scores above the observed one + 1) / (permutations + 1)."""
-    j = permuted.join(observed, keys)
-    return j.groupBy(*keys).agg(((F.count_if(F.col("score_perm") > F.col("score")) + 1) / (F.count("*") + 1)).alias("p"))
+    at = {r["gene"]: i for i, r in enumerate(genes.select("gene").distinct().orderBy("gene").collect())}  # one entry a gene
+    vec = F.udf(lambda rows: Vectors.sparse(len(at), sorted((at[r["gene"]], float(r["value"])) for r in rows or [] if r["gene"] in at)), VectorUDT())
+    rows = cells.select("cell_id").join(expr.groupBy("cell_id").agg(F.collect_list(F.struct("gene", "value")).alias("e")), "cell_id", "left").select("cell_id", vec("e").alias("v"))
+    model = PCA(k=min(most, len(at)), inputCol="v", outputCol="pcs").fit(rows)
+    share = np.cumsum(model.explainedVariance.toArray())
+    second = np.abs(np.diff(np.diff(share)))
+    high = np.flatnonzero(second > drop)
+    return model.transform(rows).select("cell_id", "pcs"), int(high[-1]) + 1 if len(high) else len(share)
 
 
+def modulator_kinds(design: DataFrame) -> DataFrame:
+    return design.withColumn("grp", modulator_group(F.col("factor")))

@@ -2,44 +2,146 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import cut
 from tessella.functions.scalars import gaussian
 
+#: Places of a square that the side of the search for neighbours starts from, in multiples of k, and at most.
+SQUARE_PLACES = 2
+CROWDED = 64
+
+
+def _squares(df: DataFrame, side: float, *keep: Column | str) -> DataFrame:
+    """Rows in the square of their own, as (gx, gy)."""
+    return df.select(*keep, F.floor(F.col("x") / side).alias("gx"), F.floor(F.col("y") / side).alias("gy"))
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """Rows of a square sent to the 3 x 3 squares around it."""
+    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    at = df.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
+    return at.withColumns({"gx": F.col("gx") + F.col("_dx"), "gy": F.col("gy") + F.col("_dy")}).drop("_dx", "_dy")
 
-def range_join(left: DataFrame, right: DataFrame, radius: float, strict: bool = False) -> DataFrame:
-    """(i, j, d2) for points at most ``radius`` apart, self included.
+
+def squared_distance() -> Column:
+    return (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2")) + (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2"))
+
+
+def range_join(left: DataFrame, right: DataFrame, radius: float, strict: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(i, j, d2) for points at most ``radius`` apart, self included; ``carry`` are columns of the right side that come along.
 
     Points fall into squares as wide as the radius; the right side goes to the 3 x 3 squares around its own, so the join is an equi
     join with a distance left over, and no pair is made of points farther than two squares apart.
     """
-    gx, gy = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
-    a = left.select(F.col("cell_id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), gx.alias("gx"), gy.alias("gy"))
-    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    b = right.select(F.col("cell_id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), gx.alias("hx"), gy.alias("hy"))
-    b = b.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select("j", "x2", "y2", (F.col("hx") + F.col("dx")).alias("gx"), (F.col("hy") + F.col("dy")).alias("gy"))
-    d2 = (F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2")) + (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2"))
-    near = d2 < radius * radius if strict else d2 <= radius * radius
-    return a.join(b, ["gx", "gy"]).withColumn("d2", d2).where(near).select("i", "j", "d2")
+    a = _squares(left, radius, F.col("cell_id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    b = _around(_squares(right, radius, F.col("cell_id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), *carry))
+    near = F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius
+    return a.join(b, ["gx", "gy"]).withColumn("d2", squared_distance()).where(near).select("i", "j", "d2", *carry)
+
+
+def packed(values: DataFrame, out: str = "genes") -> DataFrame:
+    """One row a cell with its (gene, value) entries in an array, which a join moves once however many neighbours meet it."""
+    return values.groupBy("cell_id").agg(F.collect_list(F.struct("gene", F.col("value").cast("double").alias("value"))).alias(out))
 
 
 def received(cells: DataFrame, expr: DataFrame, radius: float, n_cells: int, scale: float = 1.0) -> DataFrame:
-    """What each cell receives of each gene: kernel-weighted sum over its neighbours, itself included, over the number of all cells."""
-    w = range_join(cells, cells, radius).withColumn("w", gaussian(F.col("d2"), radius))
-    return w.join(expr.withColumnRenamed("cell_id", "j"), "j").groupBy(F.col("i").alias("cell_id"), "gene").agg((F.sum(F.col("w") * F.col("value")) * (scale / n_cells)).alias("value"))
+    """What each cell receives of each gene: kernel-weighted sum over its neighbours, itself included, over the number of all cells.
+
+    A cell stays in its square, so all its sums are partly made where it stands and one row a gene goes on.
+    """
+    full = cells.select("cell_id", "x", "y").join(packed(expr), "cell_id")
+    near = range_join(cells, full, radius, carry=("genes",)).select("i", gaussian(F.col("d2"), radius).alias("w"), F.explode("genes").alias("g"))
+    return near.groupBy(F.col("i").alias("cell_id"), F.col("g.gene").alias("gene")).agg((F.sum(F.col("w") * F.col("g.value")) * (scale / n_cells)).alias("value"))
+
+
+def ligand_radii(pairs: DataFrame, secreted: float, contact: float) -> DataFrame:
+    """(gene, radius) by the signaling of a ligand's first row: pairs has (ligand, signaling, ord)."""
+    first = pairs.groupBy("ligand").agg(F.min_by("signaling", "ord").alias("s"))
+    return first.select(F.col("ligand").alias("gene"), F.when(F.col("s") == "Secreted Signaling", secreted).otherwise(contact).alias("radius"))
+
+
+def received_by_radius(cells: DataFrame, expr: DataFrame, radii: DataFrame, n_cells: int, scale: float = 1.0) -> DataFrame:
+    """Received ligands, each within its own radius; radii (gene, radius) hold a few distinct values."""
+    out = None
+    for (r,) in sorted(radii.select("radius").distinct().collect()):
+        one = received(cells, expr.join(radii.where(F.col("radius") == r), "gene", "left_semi"), r, n_cells, scale)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else expr.select("cell_id", "gene", "value").limit(0)
+
+
+def received_tables(cells: DataFrame, expr: DataFrame, mask: DataFrame | None, radius: float, n_cells: int, scale: float = 100.0) -> DataFrame:
+    """(cell_id, gene, value, masked): what is received of all values, and with a mask (cell_id, gene) of those in it too."""
+    out = received(cells, expr, radius, n_cells, scale).withColumn("masked", F.lit(False))
+    if mask is None:
+        return out
+    return out.unionByName(received(cells, expr.join(mask, ["cell_id", "gene"], "left_semi"), radius, n_cells, scale).withColumn("masked", F.lit(True)))
 
 
 def neighbour_types(cells: DataFrame, radius: float) -> DataFrame:
     """Number of neighbours of each type within the radius, self included."""
-    types = cells.select(F.col("cell_id").alias("j"), F.col("cell_type").alias("nbr_type"))
-    return range_join(cells, cells, radius).join(types, "j").groupBy(F.col("i").alias("cell_id"), "nbr_type").agg(F.count("*").alias("n"))
+    return range_join(cells, cells.withColumnRenamed("cell_type", "nbr_type"), radius, carry=("nbr_type",)).groupBy(F.col("i").alias("cell_id"), "nbr_type").agg(F.count("*").alias("n"))
 
 
-def nearest(cells: DataFrame, k: int, radius: float) -> DataFrame:
-    """The k nearest other cells within the radius, ties to the smaller id."""
-    order = Window.partitionBy("i").orderBy("d2", "j")
-    return range_join(cells, cells, radius).where("i <> j").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "j", "d2", "rank")
+def demographics(cells: DataFrame, radius: float) -> DataFrame:
+    """``neighbour_types`` with a row for every cell and type, absent ones as 0."""
+    every = cells.select("cell_id").crossJoin(F.broadcast(cells.select(F.col("cell_type").alias("nbr_type")).distinct()))  # types are few
+    return every.join(neighbour_types(cells, radius), ["cell_id", "nbr_type"], "left").fillna(0, ["n"])
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, with_self: bool = False) -> DataFrame:
+    """(i, j, d2, rank): the k nearest points of each query, ties to the smaller id; a point of the query's own id only if asked for.
+
+    Distinct places are searched, each with its smallest ids, so points piled on one place cost no more than k.  A place
+    looks into the 3 x 3 squares around it; where its k-th distance is not certain to be covered by them, it looks again in wider
+    squares, until it is.  Squares start small enough for the most crowded part of the plane.  Rows without coordinates take no part.
+    """
+    need = k if with_self else k + 1
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    asked = queries.where(known).select(F.col("cell_id").alias("i"), F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"))
+    held = points.where(known).select(F.col("cell_id").alias("j"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    held = held.withColumn("_n", F.row_number().over(Window.partitionBy("x", "y").orderBy("j"))).where(F.col("_n") <= need)
+    places = cut(held.groupBy("x", "y").agg(F.array_sort(F.collect_list("j")).alias("ids")))
+    left = cut(asked.select(F.col("x1").alias("x"), F.col("y1").alias("y")).distinct())
+    n, x0, x1, y0, y1 = places.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    empty = asked.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d2"), F.lit(1).alias("rank")).limit(0)
+    if not n:
+        return empty
+    a0, a1, b0, b1 = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if a0 is None:
+        return empty
+    whole = max(x1, a1) - min(x0, a0), max(y1, b1) - min(y0, b0)
+    extent = max(*whole, 1e-9)
+    side = math.sqrt(max(whole[0], extent * 1e-3) * max(whole[1], extent * 1e-3) * SQUARE_PLACES * need / n)
+    for _ in range(40):  # a crowded part asks for smaller squares
+        most = _squares(places, side).groupBy("gx", "gy").count().agg(F.max("count")).first()[0]
+        if most <= CROWDED * need:
+            break
+        side /= 2
+    found = None
+    order = Window.partitionBy("x1", "y1").orderBy("d2", "j")
+    while True:
+        a = _around(_squares(left, side, F.col("x").alias("x1"), F.col("y").alias("y1")))
+        b = _squares(places, side, F.col("x").alias("x2"), F.col("y").alias("y2"), "ids")
+        near = a.join(b, ["gx", "gy"]).select("x1", "y1", squared_distance().alias("d2"), F.explode("ids").alias("j"))
+        top = cut(near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= need))
+        if side > extent:
+            found = top if found is None else found.union(top)
+            break
+        sure = top.groupBy("x1", "y1").agg(F.count("*").alias("c"), F.max("d2").alias("m")).where((F.col("c") >= need) & (F.col("m") < side * side)).select("x1", "y1")
+        sure = cut(sure)
+        done = top.join(sure, ["x1", "y1"], "left_semi")
+        found = done if found is None else found.union(done)
+        left = cut(left.join(sure.toDF("x", "y"), ["x", "y"], "left_anti"))
+        if left.isEmpty():
+            break
+        side *= 3
+    met = asked.join(found.drop("_r"), ["x1", "y1"])
+    met = met if with_self else met.where("i <> j")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).where(F.col("rank") <= k).select("i", "j", "d2", "rank")
 
 
 def within_of(cells: DataFrame, seeds: DataFrame, radius: float, strict: bool = False) -> DataFrame:
@@ -61,8 +163,70 @@ def grid_means(points: DataFrame, cols: list[str], width: float) -> DataFrame:
     return points.groupBy(F.floor(F.col("x") / width).alias("gx"), F.floor(F.col("y") / width).alias("gy")).agg(*[F.avg(c).alias(c) for c in cols], F.count("*").alias("n"))
 
 
+def box_members(grid: DataFrame, points: DataFrame, hx: float, hy: float) -> DataFrame:
+    """(cell_id of the grid point, point) for points at most hx and hy off along the axes, borders included.
+
+    Coordinates are bucketed by the box's width, so a point meets the grid points of the buckets beside its own alone.
+    """
+    bucket = lambda df: df.select(F.col("cell_id"), "x", "y", F.floor(F.col("x") / (2 * hx)).alias("gx"), F.floor(F.col("y") / (2 * hy)).alias("gy"))
+    g = bucket(grid).select(F.col("cell_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), "gx", "gy")
+    p = _around(bucket(points).select(F.col("cell_id").alias("point"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy"))
+    return g.join(p, ["gx", "gy"]).where((F.abs(F.col("x1") - F.col("x2")) <= hx) & (F.abs(F.col("y1") - F.col("y2")) <= hy)).select("cell_id", "point")
+
+
 def transition_probabilities(edges: DataFrame, score: Column, temperature: float = 0.05) -> DataFrame:
     """Softmax of a score over each cell's edges (i, j); a score that is null or not a number counts as 1."""
     s = F.when(score.isNull() | F.isnan(score), 1.0).otherwise(score)
     e = edges.withColumn("_w", F.exp(s / temperature))
     return e.withColumn("p", F.col("_w") / F.sum("_w").over(Window.partitionBy("i"))).drop("_w")
+
+
+def change_correlation(edges: DataFrame, expr: DataFrame, change: DataFrame, n_genes: int) -> DataFrame:
+    """``edges`` (i, j) with r, the correlation over genes of i's change and the difference of j's and i's expression, null without spread.
+
+    Sparse vectors meet as arrays of one row a cell; absent entries count as 0 through the number of genes.
+    """
+    vec = lambda df, c: df.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", F.col("value").cast("double")))).alias(c), F.sum("value").alias(f"{c}1"), F.sum(F.col("value") * F.col("value")).alias(f"{c}2"))
+    x, d = vec(expr, "x"), vec(change, "d")
+    nothing = F.create_map().cast("map<string,double>")
+    own = x.join(d, "cell_id", "full").select(F.col("cell_id").alias("i"), F.coalesce("x", nothing).alias("xi"), F.coalesce("d", nothing).alias("di"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("x1", "x2", "d1", "d2")])
+    other = x.select(F.col("cell_id").alias("j"), F.col("x").alias("xj"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
+
+    def dot(entries: Column, m: Column) -> Column:
+        return F.aggregate(F.map_entries(entries), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(m, e["key"]), F.lit(0.0)))
+
+    own = own.withColumn("xd", dot(F.col("di"), F.col("xi")))
+    e = edges.join(own, "i", "left").join(other, "j", "left").withColumns({"xi": F.coalesce("xi", nothing), "di": F.coalesce("di", nothing), "xj": F.coalesce("xj", nothing)}).fillna(0.0, ["x1", "x2", "d1", "d2", "xd", "y1", "y2"])
+    a1, a2 = F.col("y1") - F.col("x1"), F.col("y2") + F.col("x2") - 2 * dot(F.col("xi"), F.col("xj"))
+    ab = dot(F.col("di"), F.col("xj")) - F.col("xd")
+    var = (n_genes * a2 - a1 * a1) * (n_genes * F.col("d2") - F.col("d1") * F.col("d1"))
+    r = F.when(var > 1e-9, (n_genes * ab - a1 * F.col("d1")) / F.sqrt(var))
+    return e.select(*edges.columns, r.alias("r"))
+
+
+def even_neighbours(cells: DataFrame, per_type: int, seed: int = 0) -> DataFrame:
+    """(i, j): for each cell ``per_type`` other cells of each type, by a hash of seed and both ids.
+
+    Each type's cells are dealt into slots by a hash; a cell reads ``per_type`` slots' worth from a place of its own, so no cell meets
+    all others.
+    """
+    return _dealt(cells.select("cell_id", F.col("cell_type").alias("_t")), per_type, seed)
+
+
+def random_neighbours(cells: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(i, j): k other cells for each cell, alike in reruns."""
+    return _dealt(cells.select("cell_id", F.lit(0).alias("_t")), k, seed)
+
+
+def _dealt(cells: DataFrame, k: int, seed: int) -> DataFrame:
+    from tessella.functions.lineage import numbered
+
+    # places inside a type come from the places in the order of type and hash
+    at = numbered(cells.withColumn("_h", F.xxhash64(F.lit(seed), "cell_id")), ["_t", "_h", "cell_id"], "_n")
+    size = at.groupBy("_t").agg(F.min("_n").alias("_first"), F.count("*").alias("_size"))  # types are few
+    at = cut(at.join(F.broadcast(size), "_t").withColumn("_n", F.col("_n") - F.col("_first")))
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), "i", "_t"), F.col("_size"))
+    want = cells.select(F.col("cell_id").alias("i")).crossJoin(F.broadcast(size.select("_t", "_size")))
+    want = want.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), F.col("_size") - 1)))).withColumn("_n", F.pmod(start + F.col("_k"), F.col("_size")))
+    met = want.join(at.select("_t", "_n", F.col("cell_id").alias("j")), ["_t", "_n"]).where("i <> j")
+    return met.withColumn("_r", F.row_number().over(Window.partitionBy("i", "_t").orderBy("_k"))).where(F.col("_r") <= k).select("i", "j")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import normal_sf
+from tessella.functions.tails import student_p
+from tessella.operators.communication import benjamini_hochberg
 
 
 def standardise_counts(expr: DataFrame, cells: DataFrame, group: str | None = None, eps: float = 1e-10) -> DataFrame:
@@ -116,3 +119,197 @@ def penalty_path(path: DataFrame, keys: list[str]) -> DataFrame:
 def sign_stable(lo: Column, hi: Column, strict: bool = False) -> Column:
     """Whether an interval lies on one side of zero; ``strict`` leaves out those that touch it."""
     return (lo > 0) | (hi < 0) if strict else (lo >= 0) | (hi <= 0)
+
+
+def adjusted_degs(degs: DataFrame, p: str = "p", by: list[str] = ()) -> DataFrame:
+    """``degs`` (gene, p, ...) with p_adj over all genes of a batch."""
+    return benjamini_hochberg(degs, p, "p_adj", by, ["gene"])
+
+
+def combined_and_adjusted(degs: DataFrame, n_batches: int, **kw) -> DataFrame:
+    """``combine_degs`` with the combined p adjusted over the genes that are kept."""
+    return benjamini_hochberg(combine_degs(degs, n_batches, **kw), "pval", "pval_adj", tie=["gene"])
+
+
+def type_gene_filter(expr: DataFrame, cells: DataFrame, share: float | None = 0.2, alpha: float | None = None) -> DataFrame:
+    """(cell_type, gene): genes that a type expresses in at least ``share`` of its cells, and with ``alpha`` that a one-sided rank test
+    against all other cells (adjusted over the type's genes) and a positive effect size single out."""
+    size = cells.groupBy("cell_type").agg(F.count("*").alias("_n"))  # types are few
+    t = cells.select("cell_id", "cell_type")
+    every = size.select("cell_type").crossJoin(expr.select("gene").distinct())
+    out = every
+    if share is not None:
+        n = expr.where("value > 0").join(t, "cell_id").groupBy("cell_type", "gene").agg(F.count("*").alias("_c")).join(F.broadcast(size), "cell_type")
+        out = out.join(n.where(F.col("_c") >= share * F.col("_n")).select("cell_type", "gene"), ["cell_type", "gene"], "left_semi")
+    if alpha is not None:
+        tests = None
+        for (name,) in sorted(size.select("cell_type").collect()):
+            one = mann_whitney_greater(expr, cells, F.col("cell_type") == name).withColumn("cell_type", F.lit(name))
+            tests = one if tests is None else tests.unionByName(one)
+        tests = benjamini_hochberg(tests, by=["cell_type"], tie=["gene"]).where((F.col("fdr") < alpha) & (F.col("d") > 0))
+        out = out.join(tests.select("cell_type", "gene"), ["cell_type", "gene"], "left_semi")
+    return out
+
+
+def conditional_log(expr: DataFrame, over: float = 100.0) -> DataFrame:
+    """log1p of all values if the largest of them exceeds ``over``, else the values as they are."""
+    most = expr.agg(F.max("value")).first()[0]
+    return expr.withColumn("value", F.log1p("value")) if most is not None and most > over else expr
+
+
+# ---------------------------------------------------------------- correlation of tables
+
+
+def shifted_ranks(values: DataFrame, key: str, n_cells: int) -> DataFrame:
+    """Average ranks over all cells less the rank of an absent value (0), which stays 0: correlations of these are those of ranks."""
+    v = values.where("value <> 0")
+    by = v.groupBy(key, "value").agg(F.count("*").alias("_m"))
+    w = Window.partitionBy(key)
+    zeros = n_cells - F.sum("_m").over(w)
+    before = F.coalesce(F.sum("_m").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("_m"))).over(w), F.lit(0))
+    rank = before + F.when(F.col("value") > 0, zeros).otherwise(0) + (F.col("_m") + 1) / 2
+    ranks = by.withColumn("_s", (rank - (below + (zeros + 1) / 2)).cast("double"))
+    return v.join(ranks.select(key, "value", "_s"), [key, "value"]).select("cell_id", key, F.col("_s").alias("value"))
+
+
+def table_correlation(scores: DataFrame, modules: DataFrame, n_cells: int, method: str = "pearson") -> DataFrame:
+    """(entity, module, r, p, fdr) of every entity (cell_id, entity, value) with every module (cell_id, module, value) over all cells.
+
+    Absent values are 0.  Without spread r is 0 and p is 1; rates are over all pairs.  Scaling an entity to its extremes first, as the
+    reference offers, changes no correlation.
+    """
+    if method not in ("pearson", "spearman"):
+        raise ValueError('method must be "pearson" or "spearman"')
+    a, b = scores.select("cell_id", "entity", "value"), modules.select("cell_id", "module", "value")
+    if method == "spearman":
+        a, b = shifted_ranks(a, "entity", n_cells), shifted_ranks(b, "module", n_cells)
+    one = a.groupBy("entity").agg(F.sum("value").alias("_s1"), F.sum(F.col("value") * F.col("value")).alias("_q1"))
+    two = b.groupBy("module").agg(F.sum("value").alias("_s2"), F.sum(F.col("value") * F.col("value")).alias("_q2"))
+    names = scores.select("entity").distinct().join(one, "entity", "left").crossJoin(F.broadcast(modules.select("module").distinct().join(two, "module", "left")))  # tables of names
+    xy = a.join(b.withColumnRenamed("value", "_v"), "cell_id").groupBy("entity", "module").agg(F.sum(F.col("value") * F.col("_v")).alias("_xy"))
+    j = names.join(xy, ["entity", "module"], "left").fillna(0.0, ["_s1", "_q1", "_s2", "_q2", "_xy"])
+    n = float(n_cells)
+    var = (n * F.col("_q1") - F.col("_s1") * F.col("_s1")) * (n * F.col("_q2") - F.col("_s2") * F.col("_s2"))
+    r = F.when(var > 1e-9, F.greatest(F.least((n * F.col("_xy") - F.col("_s1") * F.col("_s2")) / F.sqrt(var), F.lit(1.0)), F.lit(-1.0)))
+    j = j.select("entity", "module", r.alias("r"))
+    t = F.col("r") * F.sqrt(F.try_divide(F.lit(n - 2), 1 - F.col("r") * F.col("r")))
+    j = j.withColumn("p", F.when(F.col("r").isNull(), 1.0).when(F.abs("r") >= 1, 0.0).otherwise(student_p(t, F.lit(n - 2)))).fillna(0.0, ["r"])
+    return benjamini_hochberg(j, tie=["entity", "module"])
+
+
+def type_correlations(one: DataFrame, two: DataFrame, cells: DataFrame, n_genes: int) -> DataFrame:
+    """(type1, type2, r): mean correlation over genes of cells of type1 in one table with cells of type2 in another, less that of type1
+    with itself in the first.
+
+    A mean over all pairs of cells is the product of the mean standardised vectors, so no pair is ever made.
+    """
+
+    def mean_vectors(values: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        s = values.groupBy("cell_id").agg(F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_q"))
+        m = F.col("_s") / n_genes
+        s = s.select("cell_id", m.alias("_m"), F.sqrt(F.greatest(F.col("_q") / n_genes - m * m, F.lit(0.0))).alias("_d")).where("_d > 1e-12")
+        size = cells.groupBy("cell_type").agg(F.count("*").alias("_n"))
+        at = s.join(cells.select("cell_id", "cell_type"), "cell_id")
+        off = at.groupBy("cell_type").agg(F.sum(F.col("_m") / F.col("_d")).alias("_off"))
+        up = values.join(at, "cell_id").groupBy("cell_type", "gene").agg(F.sum(F.col("value") / F.col("_d")).alias("_up"))
+        base = size.join(off, "cell_type", "left").fillna(0.0, ["_off"])
+        # (type, gene) sums of the nonzero part, and what every gene has besides
+        return up.join(F.broadcast(base), "cell_type").select(F.col("cell_type").alias(name), "gene", (F.col("_up") / F.col("_n")).alias("_u")), base.select(F.col("cell_type").alias(name), (F.col("_off") / F.col("_n")).alias("_o"))
+
+    def products(a, b, x, y):
+        (u, o), (v, w) = a, b
+        uv = u.join(v.withColumnRenamed("_u", "_v"), "gene").groupBy(x, y).agg(F.sum(F.col("_u") * F.col("_v")).alias("_uv"))
+        su = u.groupBy(x).agg(F.sum("_u").alias("_su")).join(o.withColumnRenamed("_o", "_ou"), x, "right").fillna(0.0, ["_su"])
+        sv = v.groupBy(y).agg(F.sum("_u").alias("_sv")).join(w.withColumnRenamed("_o", "_ov"), y, "right").fillna(0.0, ["_sv"])
+        every = su.crossJoin(F.broadcast(sv)).join(uv, [x, y], "left").fillna(0.0, ["_uv"])  # tables of types
+        return every.select(x, y, ((F.col("_uv") - F.col("_su") * F.col("_ov") - F.col("_sv") * F.col("_ou") + n_genes * F.col("_ou") * F.col("_ov")) / n_genes).alias("r"))
+
+    cross = products(mean_vectors(one, "type1"), mean_vectors(two, "type2"), "type1", "type2")
+    own = products(mean_vectors(one, "type1"), mean_vectors(one, "_t"), "type1", "_t").where("type1 = _t").select("type1", F.col("r").alias("_own"))
+    return cross.join(own, "type1").select("type1", "type2", (F.col("r") - F.col("_own")).alias("r"))
+
+
+# ---------------------------------------------------------------- paired and variation tests
+
+
+def signed_rank(pairs: DataFrame, greater: bool, keys: list[str] = ()) -> DataFrame:
+    """(keys, n, w, z, p): Wilcoxon's signed rank test of x - y, one-sided, by the normal with ties corrected; differences of 0 are left out.
+
+    Rows are counted by difference first, so a window sorts distinct sizes.
+    """
+    keys = list(keys)
+    d = pairs.select(*keys, (F.col("x") - F.col("y")).alias("_d")).where("_d <> 0")
+    by = d.groupBy(*keys, F.abs("_d").alias("_a")).agg(F.count("*").alias("_m"), F.count_if(F.col("_d") > 0).alias("_p"))
+    w = Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.withColumn("_r", F.coalesce(F.sum("_m").over(w), F.lit(0)) + (F.col("_m") + 1) / 2)
+    m = F.col("_m").cast("double")
+    g = by.groupBy(*keys).agg(F.sum("_m").cast("double").alias("n"), F.sum(F.col("_p") * F.col("_r")).alias("w"), F.sum(m * m * m - m).alias("_t"))
+    mean, var = F.col("n") * (F.col("n") + 1) / 4, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("_t") / 48
+    z = F.when(var > 0, (F.col("w") - mean) / F.sqrt(var)).otherwise(0.0)
+    return g.select(*keys, F.col("n").cast("long").alias("n"), "w", z.alias("z")).withColumn("p", normal_sf(F.col("z") if greater else -F.col("z")))
+
+
+def clipped(score: Column, positive: bool) -> Column:
+    return F.greatest(score, F.lit(0.0)) if positive else F.least(score, F.lit(0.0))
+
+
+def variable_genes(expr: DataFrame, n_cells: int, most: int, least_cells: int = 2, most_mean: float = 20.0, least_mean: float = 0.0, genes: DataFrame | None = None) -> DataFrame:
+    """(gene, score, selected): log2 CV over a parabola in log2 mean fitted by least squares; the ``most`` highest and one, with ties.
+
+    Genes outside the limits take no part in the fit and get a score just below the least.  (The reference fits by support vectors.)
+    """
+    v = variation_fit(expr, n_cells).withColumn("_mean", F.pow(F.lit(2.0), F.col("log_mean")))
+    ok = (F.col("detected") > least_cells) & (F.col("_mean") < most_mean) & (F.col("_mean") > least_mean) & F.col("log_cv").isNotNull()
+    x, y = F.col("log_mean"), F.col("log_cv")
+    sums = v.where(ok).agg(*[F.sum(F.pow(x, F.lit(k))) for k in range(5)], *[F.sum(F.pow(x, F.lit(k)) * y) for k in range(3)]).first()
+    every = expr.select("gene").distinct() if genes is None else genes.select("gene").distinct()
+    if sums[0] is None or sums[0] < 3:
+        return every.select("gene", F.lit(None).cast("double").alias("score"), F.lit(False).alias("selected"))
+    c = np.linalg.lstsq(np.array([[sums[i + j] for j in range(3)] for i in range(3)]), np.array(sums[5:]), rcond=None)[0].tolist()
+    scored = v.where(ok).select("gene", (y - (c[0] + c[1] * x + c[2] * x * x)).alias("score"))
+    n = min(most, int(sums[0]) - 1)
+    low = scored.agg(F.min("score")).first()[0]
+    nth = scored.orderBy(F.desc("score")).limit(n + 1).agg(F.min("score")).first()[0]
+    out = every.join(scored, "gene", "left").withColumn("score", F.coalesce("score", F.lit(low - 1e-16)))
+    return out.withColumn("selected", F.col("score") >= nth)
+
+
+def winsorised(expr: DataFrame, n_cells: int, low: float = 0.01, high: float = 0.995) -> DataFrame:
+    """Values clipped to each gene's quantiles over all cells, absent ones counted as 0; values must be 0 or more."""
+    v = expr.where("value > 0")
+    n = v.groupBy("gene").agg(F.count("*").alias("_n"))
+    # place of the quantile among all cells' sorted values, zeros first
+    ranked = v.join(n, "gene").withColumn("_i", n_cells - F.col("_n") + F.row_number().over(Window.partitionBy("gene").orderBy("value", "cell_id")) - 1)
+
+    def quantile(q: float, name: str) -> DataFrame:
+        at = q * (n_cells - 1)
+        lo, part = math.floor(at), at - math.floor(at)
+        a, b = F.coalesce(F.max(F.when(F.col("_i") == lo, F.col("value"))), F.lit(0.0)), F.coalesce(F.max(F.when(F.col("_i") == lo + 1, F.col("value"))), F.lit(0.0))
+        return ranked.groupBy("gene").agg((a + (F.when(F.lit(lo + 1 < n_cells), b).otherwise(a) - a) * part).alias(name))
+
+    lim = quantile(low, "_lo").join(quantile(high, "_hi"), "gene")
+    return v.join(lim, "gene").select("cell_id", "gene", F.greatest(F.least("value", "_hi"), "_lo").alias("value"))
+
+
+def highly_variable(expr: DataFrame, n_cells: int, most: int) -> DataFrame:
+    """(gene, mean, dispersion, norm, rank) of the ``most`` genes of highest dispersion (variance over mean) normalised inside its bin of
+    means: less the bin's median, over its scaled median absolute deviation.  Bins are the twentieths of means from the tenth percentile on."""
+    g = expr.groupBy("gene").agg((F.sum("value") / n_cells).alias("mean"), F.sum(F.col("value") * F.col("value")).alias("_q"))
+    g = g.withColumn("_v", (F.col("_q") - n_cells * F.col("mean") * F.col("mean")) / (n_cells - 1)).where("mean > 0")
+    g = g.select("gene", "mean", (F.col("_v") / F.col("mean")).alias("dispersion"))
+    cuts = g.agg(F.percentile("mean", F.array(*[F.lit(k / 100) for k in range(10, 105, 5)]))).first()[0] or []
+    bin_ = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda acc, c: acc + F.when(F.col("mean") > c, 1).otherwise(0)) if cuts else F.lit(0)
+    g = g.withColumn("_b", bin_)
+    med = g.groupBy("_b").agg(F.percentile("dispersion", 0.5).alias("_m"))
+    g = g.join(med, "_b")
+    mad = g.groupBy("_b").agg((F.percentile(F.abs(F.col("dispersion") - F.col("_m")), 0.5) / 0.6744897501960817).alias("_d"))
+    g = g.join(mad, "_b").withColumn("norm", F.when(F.col("_d") > 0, (F.col("dispersion") - F.col("_m")) / F.col("_d")))
+    order = Window.orderBy(F.round("norm", 9).desc_nulls_last(), "gene")  # one row a gene; the order of a sum decides no place
+    return g.select("gene", "mean", "dispersion", "norm", F.row_number().over(order).alias("rank")).where((F.col("rank") <= most) & F.col("norm").isNotNull())
+
+
+def mitochondrial_free(expr: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """``expr`` without genes named MT- in any case and, given the cells, without cells that have no label."""
+    kept = expr.where(~F.upper("gene").startswith("MT-"))
+    return kept if cells is None else kept.join(cells.where(F.col("cell_type").isNotNull()).select("cell_id"), "cell_id", "left_semi")

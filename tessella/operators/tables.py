@@ -11,17 +11,20 @@ def beta_stats(betas: DataFrame, keys: list[str]) -> DataFrame:
     return betas.where(F.col("beta").isNotNull() & ~F.isnan("beta")).groupBy(*keys).agg(F.avg("beta").alias("mean"), F.stddev_samp("beta").alias("std"), F.count("*").alias("n"))
 
 
-def interaction_summary(betas: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, least, most, sum; positive and negative are means with values of the other sign as 0."""
-    return betas.groupBy(*keys).agg(F.avg("beta").alias("mean"), F.min("beta").alias("least"), F.max("beta").alias("most"), F.sum("beta").alias("total"), F.avg(F.greatest("beta", F.lit(0.0))).alias("positive"), F.avg(F.least("beta", F.lit(0.0))).alias("negative"))
+def interaction_summary(betas: DataFrame, keys: list[str], above: float = 0.0) -> DataFrame:
+    """Mean, least, most, sum of coefficients of size over ``above``, without the intercept; positive and negative are means with values of
+    the other sign as 0."""
+    return betas.where((F.abs("beta") > above) & ~F.col("modulator").isin("(intercept)", "beta0")).groupBy(*keys).agg(F.avg("beta").alias("mean"), F.min("beta").alias("least"), F.max("beta").alias("most"), F.sum("beta").alias("total"), F.avg(F.greatest("beta", F.lit(0.0))).alias("positive"), F.avg(F.least("beta", F.lit(0.0))).alias("negative"))
 
 
 def histogram(df: DataFrame, value: str, key: str, bins: int) -> DataFrame:
-    """Counts in equal bins between each group's extremes; the last bin is closed."""
+    """Counts in equal bins between each group's extremes, empty bins as 0; the last bin is closed."""
     lim = df.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     j = df.join(lim, key)
     k = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
-    return j.groupBy(key, "lo", "hi", k.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    n = j.where(F.col(value).isNotNull()).groupBy(key, k.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    every = lim.where("lo is not null").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    return every.join(n, [key, "bin"], "left").fillna(0, ["n"])
 
 
 def receptor_filter(expr: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -45,14 +48,22 @@ def count_covariates(expr: DataFrame) -> DataFrame:
     return expr.groupBy("cell_id").agg(F.sum("value").alias("total"), F.count_if(F.col("value") > 0).alias("n_genes"))
 
 
-def filter_links(links: DataFrame, p: float, most: int) -> DataFrame:
-    """Links with p at most ``p``, the strongest ``most`` of each cluster."""
+def filter_links(links: DataFrame, p: float, most: int, sources: list[str] | None = None, targets: list[str] | None = None) -> DataFrame:
+    """Links with p at most ``p``, of the given sources and targets if any, the strongest ``most`` of each cluster."""
     order = Window.partitionBy("cluster").orderBy(F.desc(F.abs("coef_mean")), "source", "target")
-    return links.where(F.col("p") <= p).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    kept = links.where(F.col("p") <= p)
+    kept = kept if sources is None else kept.where(F.col("source").isin(sources))
+    kept = kept if targets is None else kept.where(F.col("target").isin(targets))
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def drop_tiny(cells: DataFrame, least: int) -> DataFrame:
-    return cells.withColumn("_n", F.count("*").over(Window.partitionBy("cell_type"))).where(F.col("_n") >= least).drop("_n")
+def drop_tiny(cells: DataFrame, least: int, most_share: float = 0.02) -> DataFrame:
+    """Cells of types of at least ``least``; an error where the others are more than ``most_share`` of all cells."""
+    size = cells.groupBy("cell_type").agg(F.count("*").alias("_n"))
+    lost, n = size.agg(F.sum(F.when(F.col("_n") < least, F.col("_n")).otherwise(0)), F.sum("_n")).first()
+    if n and lost > most_share * n:
+        raise ValueError(f"types below {least} cells hold {lost} of {n} cells, more than {most_share:.0%}")
+    return cells.join(F.broadcast(size.where(F.col("_n") >= least).select("cell_type")), "cell_type", "left_semi")  # types are few
 
 
 def encode_labels(df: DataFrame, label: str, out: str) -> DataFrame:
@@ -96,6 +107,11 @@ def correlate(expr: DataFrame, n_cells: int, pairs: DataFrame) -> DataFrame:
 
 
 def merge_equal_sets(pairs: DataFrame) -> DataFrame:
-    """Entities (name, g1, g2) with equal sets of unordered pairs merged; names are joined by '|' in order."""
-    sets = pairs.groupBy("name").agg(F.array_sort(F.collect_set(F.array_sort(F.array("g1", "g2")))).alias("pairs"))
-    return sets.groupBy("pairs").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("name"))
+    """Entities (name, g1, g2, ord) with equal sets of unordered pairs merged; names are joined by '|' in the order of first sight.
+
+    Without a column ``ord`` names are in name order.
+    """
+    seen = F.min("ord") if "ord" in pairs.columns else F.lit(0)
+    sets = pairs.groupBy("name").agg(F.array_sort(F.collect_set(F.array_sort(F.array("g1", "g2")))).alias("pairs"), seen.alias("_o"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("_o", "name"))), lambda x: x["name"])
+    return sets.groupBy("pairs").agg(F.array_join(names, "|").alias("name"))

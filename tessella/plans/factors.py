@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from tessella.operators import factors as X
 from tessella.operators import spatial as P
-from tessella.functions import scalars as S
-from tessella.plans.registry import NEAR, RADIUS, query, rounded
+from tessella.plans.registry import KERNEL, NEAR, RADIUS, query, rounded
 from tessella.sources import views as V
 
-_ROLES = "roles AS (SELECT DISTINCT 'm' || CAST(p_size % 5 AS VARCHAR) AS metabolite, p_brand AS gene, CAST(p_partkey % 3 - 1 AS INTEGER) AS role FROM part WHERE p_partkey % 7 = 0)"
+_ROLES = "roles AS (SELECT DISTINCT 'm' || CAST(p_size % 5 AS VARCHAR) AS metabolite, p_brand AS gene, CAST(p_partkey % 3 - 1 AS INTEGER) AS role FROM part)"
 _PRESENT = "present AS (SELECT DISTINCT cell_type, gene FROM expr JOIN cells USING (cell_id) WHERE value > 60)"
 #: Gene names of the tables hold the character that joins ligand and regulator; factors are named without it.
 _PLAIN = "pe AS (SELECT cell_id, replace(gene, '#', '') AS gene, value FROM expr), plr AS (SELECT replace(ligand, '#', '') AS ligand, replace(receptor, '#', '') AS receptor FROM lr)"
@@ -39,9 +38,9 @@ def f5_pairs_without_target(spark, d):
     return X.known_pairs(lr.select("ligand", "receptor"), V.expr(spark, d).where("value > 70"), lr.select(F.col("ligand").alias("target"))).select("target", "ligand", "receptor")
 
 
-@query(f"{V.with_views('links', 'lr')}\nSELECT DISTINCT target, source FROM links WHERE p < 0.3 AND source <> target AND source IN (SELECT ligand FROM lr WHERE ord <= 20)")
+@query(f"{V.with_views('links', 'lr')}\nSELECT DISTINCT target, source FROM links WHERE p < 0.3 AND source <> target AND source IN (SELECT ligand FROM lr)")
 def m30_regulators(spark, d):
-    return X.regulators(V.links(spark, d), V.lr(spark, d).where("ord <= 20").select(F.col("ligand").alias("gene")), 0.3)
+    return X.regulators(V.links(spark, d), V.lr(spark, d).select(F.col("ligand").alias("gene")), 0.3)
 
 
 @query(f"{V.with_views('links', 'expr')}, b AS (SELECT 'Brand#' || CAST(cell_id % 50 AS VARCHAR) AS target, cell_id, replace(gene, '#', '') AS modulator, value AS beta FROM expr), h AS (SELECT DISTINCT cluster, target, replace(source, '#', '') AS source FROM links WHERE p < 0.5)\nSELECT b.target AS target, cell_id, modulator, CAST(CASE WHEN h.source IS NOT NULL THEN beta ELSE 0 END AS DOUBLE) AS beta FROM b LEFT JOIN h ON h.cluster = 'c' || CAST(cell_id % 3 AS VARCHAR) AND h.target = b.target AND h.source = modulator")
@@ -70,11 +69,49 @@ def j11_typed_pairs(spark, d):
 
 @query(f"WITH {_ROLES}\nSELECT DISTINCT a.metabolite AS metabolite, a.gene AS g1, b.gene AS g2 FROM roles a JOIN roles b ON a.metabolite = b.metabolite AND a.gene <= b.gene WHERE NOT (a.role = b.role AND a.role <> 0)")
 def m47_transporter_pairs(spark, d):
-    p = V.table(spark, d, "part").where("p_partkey % 7 = 0")
+    p = V.table(spark, d, "part")
     roles = p.select(F.concat(F.lit("m"), (F.col("p_size") % 5).cast("string")).alias("metabolite"), F.col("p_brand").alias("gene"), (F.col("p_partkey") % 3 - 1).cast("int").alias("role")).distinct()
     return X.transporter_pairs(roles)
 
 
+@query(f"WITH {_ROLES}\nSELECT DISTINCT a.metabolite AS metabolite, a.gene AS g1, b.gene AS g2 FROM roles a JOIN roles b ON a.metabolite = b.metabolite WHERE NOT (a.role = b.role AND a.role <> 0)")
+def m47_ordered_pairs(spark, d):
+    p = V.table(spark, d, "part")
+    return X.transporter_pairs(p.select(F.concat(F.lit("m"), (F.col("p_size") % 5).cast("string")).alias("metabolite"), F.col("p_brand").alias("gene"), (F.col("p_partkey") % 3 - 1).cast("int").alias("role")).distinct(), ordered=True)
+
+
+@query(f"{V.with_views('lr')}\nSELECT 'lr' || CAST(ord AS VARCHAR) AS metabolite, ligand AS g1, receptor AS g2 FROM lr UNION SELECT 'lr' || CAST(ord AS VARCHAR), receptor, ligand FROM lr")
+def m47_receptor_pairs(spark, d):
+    return X.receptor_pairs(V.lr(spark, d).select(F.concat(F.lit("lr"), F.col("ord").cast("string")).alias("name"), "ligand", "receptor"), ordered=True)
+
+
+@query(f"{V.with_views('links', 'lr')}\nSELECT DISTINCT source, target FROM links WHERE p < 0.3 AND target IN (SELECT ligand FROM lr)")
+def m30_targets(spark, d):
+    return X.targets_of(V.links(spark, d), V.lr(spark, d).select(F.col("ligand").alias("gene")), 0.3)
+
+
+@query(f"{V.with_views('links', 'lr')}\nSELECT target, source AS tf FROM links WHERE source IN (SELECT ligand FROM lr) AND target IN (SELECT ligand FROM lr) AND source <> target GROUP BY 1, 2 HAVING max(CASE WHEN p < 0.2 THEN 1 ELSE 0 END) > 0")
+def m31_base_regulators(spark, d):
+    grn = V.links(spark, d).select("target", F.col("source").alias("tf"), (F.col("p") < 0.2).cast("int").alias("flag"))
+    return X.base_regulators(grn, V.lr(spark, d).select(F.col("ligand").alias("gene")))
+
+
+_MOTIFS = "hits AS (SELECT DISTINCT target AS peak, cluster AS motif FROM links WHERE p < 0.1), motifs AS (SELECT DISTINCT cluster AS motif, source AS tf FROM links WHERE p < 0.05)"
+
+
+@query(f"{V.with_views('links')}, {_MOTIFS}\nSELECT DISTINCT peak, tf FROM hits JOIN motifs USING (motif)")
+def m44_motif_table(spark, d):
+    k = V.links(spark, d)
+    motifs = k.where("p < 0.05").groupBy(F.col("cluster").alias("motif")).agg(F.collect_set("source").alias("tfs"))
+    return X.motif_table(k.where("p < 0.1").select(F.col("target").alias("peak"), F.col("cluster").alias("motif")), motifs)
+
+
+@query(f"{V.with_views('links')}, {_MOTIFS}, tss AS (SELECT DISTINCT target AS peak, source AS gene FROM links WHERE p < 0.02)\nSELECT gene AS target, string_agg(DISTINCT tf, '|' ORDER BY tf) AS tfs FROM hits JOIN motifs USING (motif) JOIN tss USING (peak) GROUP BY 1")
+def m44_peak_targets(spark, d):
+    tss = V.links(spark, d).where("p < 0.02").select(F.col("target").alias("peak"), F.col("source").alias("gene")).distinct()
+    return X.peak_targets(m44_motif_table(spark, d), tss).withColumn("tfs", F.array_join("tfs", "|"))
+
+
 @query(f"{V.with_views('links')}\nSELECT target AS peak, source AS motif, round(sum(coef_mean), 6) AS score FROM links GROUP BY 1, 2 HAVING sum(coef_mean) >= -0.25")
 def f12_motif_hits(spark, d):
     return rounded(X.motif_hits(V.links(spark, d).select(F.col("target").alias("peak"), F.col("source").alias("motif"), F.col("coef_mean").alias("score")), -0.25, summed=True), "score")
@@ -92,12 +129,18 @@ def m49_interface_counts(spark, d):
     return X.interface_counts(s, 0.4)
 
 
-@query(f"{V.with_views('cells', 'expr', 'lr')}, {NEAR}, {_PLAIN}, {_FACTORS}, rec AS (SELECT i AS cell_id, gene, sum(exp(-d2 / {2 * S.sigma(RADIUS) ** 2!r}e0) * value) / (SELECT count(*) FROM cells) AS w FROM near JOIN pe ON j = pe.cell_id GROUP BY 1, 2), f AS (SELECT fb.cell_id AS cell_id, target, beta, kind, l, coalesce(e.value, 0) AS x, coalesce(w, 0) AS w FROM fb LEFT JOIN pe e ON e.cell_id = fb.cell_id AND e.gene = target LEFT JOIN rec ON rec.cell_id = fb.cell_id AND rec.gene = l), u AS (SELECT target, cell_id, l AS gene, CASE WHEN kind = 0 THEN beta ELSE beta * x END AS d FROM f UNION ALL SELECT target, cell_id, target, CASE WHEN kind = 2 OR x > 0 THEN beta * w ELSE 0 END FROM f WHERE kind > 0)\nSELECT target, cell_id, gene, round(sum(d), 6) AS d FROM u GROUP BY 1, 2, 3")
+@query(f"{V.with_views('cells', 'expr', 'lr')}, {NEAR}, {_PLAIN}, {_FACTORS}, rec AS (SELECT i AS cell_id, gene, sum({KERNEL} * value) / (SELECT count(*) FROM cells) AS w FROM near JOIN pe ON j = pe.cell_id GROUP BY 1, 2), f AS (SELECT fb.cell_id AS cell_id, target, beta, kind, l, coalesce(e.value, 0) AS x, coalesce(w, 0) AS w FROM fb LEFT JOIN pe e ON e.cell_id = fb.cell_id AND e.gene = target LEFT JOIN rec ON rec.cell_id = fb.cell_id AND rec.gene = l), u AS (SELECT target, cell_id, l AS gene, CASE WHEN kind = 0 THEN beta ELSE beta * x END AS d FROM f UNION ALL SELECT target, cell_id, target, CASE WHEN kind = 2 OR x > 0 THEN beta * w ELSE 0 END FROM f WHERE kind > 0)\nSELECT target, cell_id, gene, round(sum(d), 6) AS d FROM u GROUP BY 1, 2, 3")
 def m15_splash(spark, d):
     c, e = V.cells(spark, d), _plain_expr(spark, d)
     return rounded(X.splash(_factor_betas(spark, d), e, P.received(c, e, RADIUS, c.count())), "d")
 
 
+@query(f"{V.with_views('cells', 'expr', 'lr')}, {NEAR}, {_PLAIN}, {_FACTORS}, mb AS (SELECT target, modulator, max(kind) AS kind, max(l) AS l, avg(beta) AS beta FROM fb GROUP BY 1, 2), rec AS (SELECT i AS cell_id, gene, sum({KERNEL} * value) / (SELECT count(*) FROM cells) AS w FROM near JOIN pe ON j = pe.cell_id GROUP BY 1, 2), f AS (SELECT c.cell_id AS cell_id, target, beta, kind, l, coalesce(e.value, 0) AS x, coalesce(w, 0) AS w FROM cells c CROSS JOIN mb LEFT JOIN pe e ON e.cell_id = c.cell_id AND e.gene = target LEFT JOIN rec ON rec.cell_id = c.cell_id AND rec.gene = l), u AS (SELECT target, cell_id, l AS gene, CASE WHEN kind = 0 THEN beta ELSE beta * x END AS d FROM f UNION ALL SELECT target, cell_id, target, CASE WHEN kind = 2 OR x > 0 THEN beta * w ELSE 0 END FROM f WHERE kind > 0)\nSELECT target, cell_id, gene, round(sum(d), 6) AS d FROM u GROUP BY 1, 2, 3")
+def m17_mean_splash(spark, d):
+    c, e = V.cells(spark, d), _plain_expr(spark, d)
+    return rounded(X.mean_splash(_factor_betas(spark, d), c, e, P.received(c, e, RADIUS, c.count())), "d")
+
+
 @query()
 def m14_perturbed(spark, d):
     c, e = V.cells(spark, d), _plain_expr(spark, d)

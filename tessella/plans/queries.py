@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators import communication as C
+from tessella.operators import factors as X
 from tessella.operators import models as M
 from tessella.operators import spatial as P
 from tessella.operators import tables as T
-from tessella.plans import cellwise, factors, neighbourhoods, statistics  # noqa: F401  they register their queries
-from tessella.plans.registry import EDGES, NEAR, PAIRS, QUERIES, RADIUS, SQL, edges, pairs, query, rounded
+from tessella.plans import cellwise, designs, factors, filters, neighbourhoods, permutations, regressions, results, statistics, viewer  # noqa: F401  they register their queries
+from tessella.plans.registry import EDGES, FOLDED, NEAR, PAIRS, QUERIES, RADIUS, SQL, edges, knn, longs, pairs, query, rounded
 from tessella.sources import views as V
 from tessella.streaming.incremental import windowed_counts
 
 
-
 @query(f"{V.with_views('cells', 'expr')}, {NEAR}\nSELECT i AS cell_id, gene, round(sum(exp(-d2 / {2 * S.sigma(RADIUS) ** 2!r}e0) * value) / (SELECT count(*) FROM cells), 6) AS value FROM near JOIN expr ON j = expr.cell_id GROUP BY 1, 2")
 def a1_received_ligand(spark, d):
     c = V.cells(spark, d)
@@ -27,9 +27,10 @@ def j2_neighbour_types(spark, d):
     return P.neighbour_types(V.cells(spark, d), RADIUS)
 
 
-@query(f"{V.with_views('cells')}, {NEAR}\nSELECT i, j, round(d2, 6) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM near WHERE i <> j) x WHERE rank <= 5")
+@query(f"{V.with_views('cells')}, {knn(5)}\nSELECT i, j, round(d2, 6) AS d2, rank FROM knn")
 def j3_nearest_cells(spark, d):
-    return rounded(P.nearest(V.cells(spark, d), 5, RADIUS), "d2").withColumn("rank", F.col("rank").cast("long"))
+    c = V.cells(spark, d)
+    return longs(rounded(P.nearest(c, c, 5), "d2"), "rank")
 
 
 @query(f"{V.with_views('cells')}, {NEAR}\nSELECT DISTINCT i AS cell_id FROM near WHERE j % 97 = 0")
@@ -49,9 +50,13 @@ def j10_interval_overlap(spark, d):
     return P.interval_overlap(a, b, 2000)
 
 
-_AGN = f"{V.with_views('cells', 'expr', 'lr')}, {EDGES}, {PAIRS}, folded AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM edges GROUP BY 1, 2), twice AS (SELECT i, j, w FROM folded UNION ALL SELECT j, i, w FROM folded)"
+_AGN = f"{V.with_views('cells', 'expr', 'lr')}, {EDGES}, {PAIRS}, {FOLDED}"
 _SCORES = "scores AS (SELECT g1, g2, sum(x.value * w * y.value) / CASE WHEN g1 = g2 THEN 2 ELSE 1 END AS c FROM twice JOIN expr x ON i = x.cell_id JOIN pairs ON x.gene = g1 JOIN expr y ON j = y.cell_id AND y.gene = g2 GROUP BY g1, g2)"
 _MOMENTS = "per AS (SELECT i, gene, sum(w * value) AS s FROM twice JOIN expr ON j = expr.cell_id GROUP BY 1, 2), moments AS (SELECT gene, sum(s * s) AS eg2 FROM per GROUP BY 1)"
+#: Scores about their mean, so that some are below 0.
+_OFF = "off AS (SELECT g1, g2, c - avg(c) OVER () AS c FROM scores)"
+_SIDES = "w2 AS (SELECT sum(w * w) AS w2 FROM folded), sides AS (SELECT o.g1 AS g1, o.g2 AS g2, c, CASE WHEN o.g1 = o.g2 THEN w2 ELSE a.eg2 END AS a, CASE WHEN o.g1 = o.g2 THEN w2 ELSE b.eg2 END AS b FROM {scores} o JOIN moments a ON a.gene = o.g1 JOIN moments b ON b.gene = o.g2 CROSS JOIN w2), zz AS (SELECT g1, g2, c, CASE WHEN abs(c / sqrt(CASE WHEN a = 0 THEN 1 ELSE a END)) < abs(c / sqrt(CASE WHEN b = 0 THEN 1 ELSE b END)) THEN a ELSE b END AS eg2 FROM sides)"
+_ROOT = "sqrt(CASE WHEN eg2 = 0 THEN 1 ELSE eg2 END)"
 
 
 def _scores(spark, d):
@@ -73,10 +78,41 @@ def a13_second_moment(spark, d):
     return rounded(C.second_moment(C.fold(edges(spark, d)), V.expr(spark, d)), "eg2", digits=2)
 
 
-@query(f"{_AGN}, {_SCORES}, {_MOMENTS}\nSELECT g1, g2, round(least(c / sqrt(CASE WHEN a.eg2 = 0 THEN 1 ELSE a.eg2 END), c / sqrt(CASE WHEN b.eg2 = 0 THEN 1 ELSE b.eg2 END)), 5) AS z FROM scores JOIN moments a ON a.gene = g1 JOIN moments b ON b.gene = g2")
+def _z(spark, d, centre=False):
+    f, e, p = C.fold(edges(spark, d)), V.expr(spark, d), pairs(spark, d)
+    sums = C.cached_sums(f, e, p)
+    scores = C.pair_scores(f, e, p, sums)
+    if centre:
+        mean = scores.agg(F.avg("c")).first()[0] or 0.0
+        scores = scores.withColumn("c", F.col("c") - mean)
+    return C.z_scores(scores, C.pair_moments(p, C.second_moment(f, e, sums), C.squared_weights(f)))
+
+
+@query(f"{_AGN}, {_SCORES}, {_MOMENTS}, {_OFF}, {_SIDES.format(scores='off')}\nSELECT g1, g2, round(c / {_ROOT}, 5) AS z FROM zz")
 def a14_z_scores(spark, d):
-    z = C.z_scores(_scores(spark, d), C.second_moment(C.fold(edges(spark, d)), V.expr(spark, d)))
-    return rounded(z.drop("c"), "z", digits=5)
+    return rounded(_z(spark, d, centre=True).select("g1", "g2", "z"), "z", digits=5)
+
+
+_METABS = "members AS (SELECT 'm' || CAST(ord % 4 AS VARCHAR) AS metabolite, ligand AS g1, receptor AS g2 FROM lr)"
+
+
+@query(f"{_AGN}, {_SCORES}, {_MOMENTS}, {_SIDES.format(scores='scores')}, {_METABS}, m AS (SELECT metabolite, sum(c) AS c, sum(eg2) AS eg2 FROM members JOIN zz USING (g1, g2) GROUP BY 1)\nSELECT metabolite, round(c, 2) AS c, round(c / {_ROOT}, 5) AS z FROM m")
+def a14_metabolite_z(spark, d):
+    members = V.lr(spark, d).select(F.concat(F.lit("m"), (F.col("ord") % 4).cast("string")).alias("metabolite"), F.col("ligand").alias("g1"), F.col("receptor").alias("g2"))
+    return rounded(rounded(C.metabolite_z(_z(spark, d), members), "c", digits=2), "z", digits=5)
+
+
+_TYPED = "t AS (SELECT i, j, w, p.cell_type AS ct1, q.cell_type AS ct2 FROM edges JOIN cells p ON i = p.cell_id JOIN cells q ON j = q.cell_id)"
+
+
+@query(f"{V.with_views('cells', 'expr', 'lr')}, {EDGES}, {PAIRS}, {_TYPED}, a AS (SELECT ct1, ct2, sum(w * w) AS w2 FROM t GROUP BY 1, 2), c AS (SELECT ct1, ct2, gene, sum(w * w * value * value) AS e FROM t JOIN expr ON j = expr.cell_id GROUP BY 1, 2, 3), g AS (SELECT ct1, ct2, g1, g2, sum(w * w * x.value * x.value * y.value * y.value) AS e FROM t JOIN expr x ON i = x.cell_id JOIN pairs ON x.gene = g1 JOIN expr y ON j = y.cell_id AND y.gene = g2 GROUP BY 1, 2, 3, 4)\nSELECT 'all' AS fix, ct1, ct2, g1, g2, round(w2, 4) AS eg2 FROM a CROSS JOIN pairs UNION ALL SELECT 'ct', ct1, ct2, g1, g2, round(e, 1) FROM c JOIN pairs ON gene = g1 UNION ALL SELECT 'gp', ct1, ct2, g1, g2, round(e, -3) FROM g")
+def a13_typed_moments(spark, d):
+    args = edges(spark, d), V.expr(spark, d), pairs(spark, d), V.cells(spark, d)
+    out = None
+    for fix, digits in ((None, 4), ("ct", 1), ("gp", -3)):
+        one = C.typed_moments(*args, fix).select(F.lit(fix or "all").alias("fix"), "ct1", "ct2", "g1", "g2", F.round("eg2", digits).alias("eg2"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query(f"{V.with_views('cells')}, {EDGES}, folded AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM edges GROUP BY 1, 2)\nSELECT node, round(sum(w), 6) AS degree FROM (SELECT i AS node, w FROM folded UNION ALL SELECT j, w FROM folded) x GROUP BY 1")
@@ -84,18 +120,20 @@ def a16_degrees(spark, d):
     return rounded(C.degrees(C.fold(edges(spark, d))), "degree")
 
 
-@query(f"{V.with_views('betas', 'cells')}\nSELECT target, modulator, cell_type, round(avg(beta), 4) AS mean, round(stddev_samp(beta), 4) AS std, count(*) AS n FROM betas JOIN cells USING (cell_id) GROUP BY 1, 2, 3")
+@query(f"{V.with_views('betas', 'cells')}\nSELECT target, modulator, cell_type, round(avg(beta), 9) + 0.0e0 AS mean, round(stddev_samp(beta), 7) AS std, count(*) AS n FROM betas JOIN cells USING (cell_id) GROUP BY 1, 2, 3")
 def a5_beta_stats(spark, d):
     b = V.betas(spark, d).join(V.cells(spark, d).select("cell_id", "cell_type"), "cell_id")
-    return rounded(T.beta_stats(b, ["target", "modulator", "cell_type"]), "mean", "std", digits=4)
+    # a mean of tenths has few digits, which none of its roundings falls between; adding 0 makes -0 plain 0
+    out = rounded(rounded(T.beta_stats(b, ["target", "modulator", "cell_type"]), "mean", digits=9), "std", digits=7)
+    return out.withColumn("mean", F.col("mean") + 0.0)
 
 
-@query(f"{V.with_views('betas')}\nSELECT modulator, round(avg(beta), 6) AS mean, min(beta) AS least, max(beta) AS most, round(sum(beta), 3) AS total, round(avg(greatest(beta, 0)), 6) AS positive, round(avg(least(beta, 0)), 6) AS negative FROM betas GROUP BY 1")
+@query(f"{V.with_views('betas')}\nSELECT modulator, round(avg(beta), 6) AS mean, min(beta) AS least, max(beta) AS most, round(sum(beta), 3) AS total, round(avg(greatest(beta, 0)), 6) AS positive, round(avg(least(beta, 0)), 6) AS negative FROM betas WHERE abs(beta) > 0 GROUP BY 1")
 def a6_interaction_summary(spark, d):
     return rounded(rounded(T.interaction_summary(V.betas(spark, d), ["modulator"]), "mean", "positive", "negative"), "total", digits=3)
 
 
-@query(f"{V.with_views('expr')}, lim AS (SELECT gene, min(value) AS lo, max(value) AS hi FROM expr GROUP BY 1)\nSELECT gene, lo, hi, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / (hi - lo) * 10), 9) END AS BIGINT) AS bin, count(*) AS n FROM expr JOIN lim USING (gene) GROUP BY 1, 2, 3, 4")
+@query(f"{V.with_views('expr')}, lim AS (SELECT gene, min(value) AS lo, max(value) AS hi FROM expr GROUP BY 1), k AS (SELECT gene, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / (hi - lo) * 10), 9) END AS BIGINT) AS bin, count(*) AS n FROM expr JOIN lim USING (gene) GROUP BY 1, 2)\nSELECT lim.gene AS gene, lo, hi, b AS bin, coalesce(n, 0) AS n FROM lim CROSS JOIN range(10) t(b) LEFT JOIN k ON k.gene = lim.gene AND k.bin = b")
 def a7_histogram(spark, d):
     return T.histogram(V.expr(spark, d), "value", "gene", 10)
 
@@ -160,15 +198,12 @@ def a43_network_degree(spark, d):
     return rounded(T.network_degree(V.links(spark, d)), "centrality")
 
 
-@query(f"{V.with_views('expr', 'lr', 'cells')}, s AS (SELECT gene, sum(value) AS s, sum(value * value) AS q FROM expr GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells), xy AS (SELECT ligand AS g1, receptor AS g2, coalesce(sum(x.value * y.value), 0) AS xy FROM lr LEFT JOIN expr x ON x.gene = ligand LEFT JOIN expr y ON y.gene = receptor AND y.cell_id = x.cell_id GROUP BY 1, 2)\nSELECT g1, g2, round((n * xy - a.s * b.s) / sqrt((n * a.q - a.s * a.s) * (n * b.q - b.s * b.s)), 6) AS r FROM xy JOIN s a ON a.gene = g1 JOIN s b ON b.gene = g2 CROSS JOIN n")
-def a23_correlation(spark, d):
-    pairs = V.lr(spark, d).select(F.col("ligand").alias("g1"), F.col("receptor").alias("g2"))
-    return rounded(T.correlate(V.expr(spark, d), V.cells(spark, d).count(), pairs), "r")
-
-
-@query(f"{V.with_views('links')}\nSELECT target, source, coef_mean, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY coef_mean DESC, source, cluster) AS rank FROM links) x WHERE rank <= 5")
+@query(f"{V.with_views('links')}, w AS (SELECT target AS tf, source AS ligand, avg(coef_mean) AS weight FROM links GROUP BY 1, 2), back AS (SELECT DISTINCT source AS tf, target AS ligand FROM links WHERE p < 0.1)\nSELECT tf, ligand, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY weight DESC, ligand) AS rank FROM w) x WHERE rank <= 5 AND weight > -0.25 AND NOT EXISTS (SELECT 1 FROM back WHERE back.tf = x.tf AND back.ligand = x.ligand)")
 def w1_top_sources(spark, d):
-    return T.top_per_key(V.links(spark, d), "target", "coef_mean", 5, ["source", "cluster"]).select("target", "source", "coef_mean", F.col("rank").cast("long").alias("rank"))
+    k = V.links(spark, d)
+    w = k.groupBy(F.col("target").alias("tf"), F.col("source").alias("ligand")).agg(F.avg("coef_mean").alias("weight"))
+    back = k.where("p < 0.1").select(F.col("source").alias("tf"), F.col("target").alias("ligand")).distinct()
+    return longs(rounded(X.top_ligands(w, -0.25, 5, back), "weight"), "rank").select("tf", "ligand", "weight", "rank")
 
 
 @query(f"{V.with_views('cells')}\nSELECT CAST(floor(x / 100) AS BIGINT) AS gx, CAST(floor(y / 100) AS BIGINT) AS gy, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM cells GROUP BY 1, 2")
@@ -176,19 +211,16 @@ def a38_grid_means(spark, d):
     return rounded(P.grid_means(V.cells(spark, d), ["x", "y"], 100.0), "x", "y")
 
 
-@query(f"{V.with_views('cells')}, {NEAR}, s AS (SELECT i, j, exp((1 - d2 / {RADIUS * RADIUS}e0) / 0.5e0) AS e FROM near WHERE i <> j)\nSELECT i, j, round(e / sum(e) OVER (PARTITION BY i), 6) AS p FROM s")
-def m19_transition_probabilities(spark, d):
-    c = V.cells(spark, d)
-    e = P.range_join(c, c, RADIUS).where("i <> j")
-    return rounded(P.transition_probabilities(e, 1 - F.col("d2") / (RADIUS * RADIUS), 0.5).select("i", "j", "p"), "p")
+def _step(before: str, after: str) -> str:
+    return f"m_{after} AS (SELECT cell_id, target AS gene, sum(d * coef) AS d FROM {before} JOIN c ON gene = source GROUP BY 1, 2), {after} AS (SELECT coalesce(m.cell_id, h.cell_id) AS cell_id, coalesce(m.gene, h.gene) AS gene, greatest(coalesce(h.d, m.d), -coalesce(e.value, 0)) AS d FROM m_{after} m FULL JOIN d0 h ON m.cell_id = h.cell_id AND m.gene = h.gene LEFT JOIN expr e ON e.cell_id = coalesce(m.cell_id, h.cell_id) AND e.gene = coalesce(m.gene, h.gene))"
 
 
-@query(f"{V.with_views('links', 'expr')}, c AS (SELECT source, target, avg(coef_mean) AS coef FROM links GROUP BY 1, 2), d0 AS (SELECT cell_id, gene, -value AS d FROM expr WHERE gene = 'Brand#11'), m AS (SELECT cell_id, target AS gene, sum(d * coef) AS d FROM d0 JOIN c ON gene = source GROUP BY 1, 2)\nSELECT coalesce(m.cell_id, h.cell_id) AS cell_id, coalesce(m.gene, h.gene) AS gene, round(coalesce(h.d, greatest(m.d, -coalesce(e.value, 0))), 5) AS d FROM m FULL JOIN d0 h ON m.cell_id = h.cell_id AND m.gene = h.gene LEFT JOIN expr e ON e.cell_id = coalesce(m.cell_id, h.cell_id) AND e.gene = coalesce(m.gene, h.gene)")
+@query(f"{V.with_views('links', 'expr')}, c AS (SELECT source, target, avg(coef_mean) AS coef FROM links GROUP BY 1, 2), d0 AS (SELECT cell_id, gene, -value AS d FROM expr WHERE gene = 'Brand#11'), {_step('d0', 's1')}, {_step('s1', 's2')}\nSELECT cell_id, gene, round(d, 5) AS d FROM s2")
 def m13_propagation(spark, d):
     coef = V.links(spark, d).groupBy("source", "target").agg(F.avg("coef_mean").alias("coef"))
     e = V.expr(spark, d)
     delta = e.where("gene = 'Brand#11'").select("cell_id", "gene", (-F.col("value")).alias("d"))
-    return rounded(M.propagate(delta, coef, e, 1), "d", digits=5)
+    return rounded(M.propagate(delta, coef, e, 2), "d", digits=5)
 
 
 @query(f"{V.with_views('links')}, e AS (SELECT DISTINCT source, target FROM links), h1 AS (SELECT DISTINCT target AS node FROM e WHERE source = 'Brand#11' AND target <> 'Brand#11'), h2 AS (SELECT DISTINCT target AS node FROM e JOIN h1 ON source = node WHERE target <> 'Brand#11' AND target NOT IN (SELECT node FROM h1))\nSELECT 'Brand#11' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2")
@@ -197,28 +229,6 @@ def m29_reachable(spark, d):
     return M.reachable(e, spark.range(1).select(F.lit("Brand#11").alias("node")), 2)
 
 
-def _design(spark, d):
-    e = V.expr(spark, d)
-    x = e.where("gene in ('Brand#11', 'Brand#12', 'Brand#13')").select("cell_id", F.col("gene").alias("factor"), F.col("value").alias("x"))
-    y = e.where("gene in ('Brand#21', 'Brand#22', 'Brand#31')").select("cell_id", F.col("gene").alias("target"), F.col("value").alias("y"))
-    return y.join(x, "cell_id")
-
-
-@query()
-def m1_least_squares(spark, d):
-    return M.fit_linear(_design(spark, d))
-
-
-@query()
-def m2_elastic_net(spark, d):
-    return M.fit_elastic_net(_design(spark, d), alpha=0.5, l1_ratio=0.5)
-
-
-@query()
-def m10_bagging_ridge(spark, d):
-    return M.bagging_ridge(_design(spark, d))
-
-
 @query(f"{V.with_views('betas')}\nSELECT target, modulator, round(avg(beta), 6) AS mean, round(var_pop(beta), 6) AS var, round(quantile_cont(beta, 0.025), 6) AS lo, round(quantile_cont(beta, 0.975), 6) AS hi, round(avg(CASE WHEN beta <> 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS selected, round(least(1, 2 * least(avg(CASE WHEN beta <= 0 THEN 1.0e0 ELSE 0.0e0 END), avg(CASE WHEN beta >= 0 THEN 1.0e0 ELSE 0.0e0 END))), 6) AS p_stability FROM betas GROUP BY 1, 2")
 def a53_bootstrap_summary(spark, d):
     return rounded(M.bootstrap_summary(V.betas(spark, d), ["target", "modulator"]), "mean", "var", "lo", "hi", "selected", "p_stability")

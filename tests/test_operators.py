@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tessella.functions import scalars as S
 from tessella.operators import communication as C
 from tessella.operators import factors as X
-from tessella.operators import models as M
 from tessella.operators import spatial as P
 from tessella.operators import statistics as Q
 from tessella.operators import tables as T
@@ -30,14 +29,6 @@ def test_received_divides_by_all_cells(spark):
     assert [(r.cell_id, round(r.value, 9)) for r in P.received(p, e, 30.0, 5).collect()] == [(4, 2.0)]
 
 
-def test_least_squares_finds_known_coefficients(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(60, 2))
-    rows = [("t", i, f, float(x[i, k]), float(0.3 + 1.5 * x[i, 0] - 2 * x[i, 1])) for i in range(60) for k, f in enumerate("ab")]
-    got = {r.factor: r.coef for r in M.fit_linear(spark.createDataFrame(rows, "target string, cell_id long, factor string, x double, y double")).collect()}
-    assert np.allclose([got["(intercept)"], got["a"], got["b"]], [0.3, 1.5, -2.0])
-
-
 def test_benjamini_hochberg_counts_null_as_one(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None)], "k string, p double")
     got = {r.k: round(r.fdr, 6) for r in C.benjamini_hochberg(df, tie=["k"]).collect()}
