@@ -12,7 +12,7 @@ import numpy as np
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes hashed at once; longer texts are one batch of their own.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 _KIND = np.ones(256, bool)  # True: part of a word
 _KIND[[0x20, *range(0x09, 0x0E)]] = False
