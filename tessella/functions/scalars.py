@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,29 +64,59 @@ def unordered_pair(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- texts of numbers
 
 
+def _plain_exponent(v: float, sign: str = "") -> str:
+    mantissa, exponent = format(v, f"{sign}.1e").split("e")
+    return f"{mantissa}e{int(exponent)}"
+
+
+def _strength(v: float) -> str:
+    a = abs(v)
+    if a == 0:
+        return "0"
+    if a >= 1:
+        return format(v, ".0f" if a >= 100 else ".1f")
+    digits = int(format(a, ".1e").split("e")[1])
+    return _plain_exponent(v) if digits < -6 else format(v, f".{1 - digits}f")
+
+
+_TEXTS = {
+    "strength": _strength,
+    "scientific": lambda v: format(v, ".1e"),
+    "exponent": _plain_exponent,
+    "rate": lambda v: "0" if v == 0 else _plain_exponent(v) if v < 0.001 else format(v, ".3f"),
+    "beta": lambda v: "0" if v == 0 else _plain_exponent(v, "+"),
+}
+
+
+def number_text(c: Column, kind: str, none: str) -> Column:
+    """Numbers of a result table as text, rounded from their exact binary value, which the engine's own formats do not."""
+    show = _TEXTS[kind]
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return pd.Series([none if v is None or v != v else show(float(v)) for v in values])
+
+    return text(c.cast("double"))
+
+
 def strength_text(v: Column) -> Column:
-    """A strength as text: none from 100 up, one decimal from 1 up, else two significant digits."""
-    a = F.abs(v)
-    places = F.greatest(F.lit(0), 1 - F.floor(F.log10(a)).cast("int"))
-    small = F.element_at(F.array(*[F.format_string(f"%.{k}f", v.cast("double")) for k in range(13)]), F.least(places, F.lit(12)) + 1)
-    return F.when(v.isNull() | F.isnan(v), "—").when(a == 0, "0").when(a >= 100, F.format_string("%.0f", v.cast("double"))).when(a >= 1, F.format_string("%.1f", v.cast("double"))).otherwise(small)
+    """A strength: no decimals from 100 up, one from 1 up, else two significant digits."""
+    return number_text(v, "strength", "—")
 
 
-def exponent_text(v: Column, signed: bool = False) -> Column:
-    """One decimal and a plain exponent, such as 4.5e-3, with a plus if ``signed``."""
-    e = F.format_string("%.1e", v.cast("double"))
-    text = F.concat(F.substring_index(e, "e", 1), F.lit("e"), F.substring_index(e, "e", -1).cast("int").cast("string"))
-    return F.when(F.lit(signed) & (v > 0), F.concat(F.lit("+"), text)).otherwise(text)
+def exponent_text(v: Column) -> Column:
+    """One decimal and a plain exponent, such as 4.5e-3."""
+    return number_text(v, "exponent", "—")
 
 
 def rate_text(v: Column) -> Column:
     """A rate or p: three decimals, scientific below a thousandth."""
-    return F.when(v.isNull() | F.isnan(v), "—").when(v == 0, "0").when(v < 0.001, exponent_text(v)).otherwise(F.format_string("%.3f", v.cast("double")))
+    return number_text(v, "rate", "—")
 
 
 def beta_text(v: Column, floor: float = 0.0) -> Column:
     """A coefficient: none, 0, about 0 at or under the floor, else signed with an exponent."""
-    return F.when(v.isNull(), "—").when(v == 0, "0").when(F.abs(v) <= floor, "≈0").otherwise(exponent_text(v, signed=True))
+    return F.when(v.isNotNull() & (v != 0) & (F.abs(v) <= floor), "≈0").otherwise(number_text(v, "beta", "—"))
 
 
 def slug(c: Column) -> Column:

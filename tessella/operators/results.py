@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.scalars import number_text
+
 # ---------------------------------------------------------------- cells, genes and names
 
 
@@ -159,7 +161,7 @@ def combinations(items: DataFrame, key: str, a: str, b: str, ordered: bool = Fal
 
 def fdr_text(c: Column) -> Column:
     """A rate in scientific form with one decimal and two digits of exponent, 'na' where there is none."""
-    return F.when(c.isNull() | F.isnan(c), "na").otherwise(F.format_string("%.1e", c.cast("double")))
+    return number_text(c, "scientific", "na")
 
 
 def is_tcell(label: Column, background: str = "other") -> Column:
