@@ -22,6 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a table of names or results that is sent to all executors; a longer one is joined by shuffle.
+SMALL_ROWS = 200_000
+
+
+def if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` written, and marked for broadcast if it has at most ``most`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def numbered(df: DataFrame, by: list[Column | str], out: str) -> DataFrame:
     """``df`` with its rows' places from 0 in the order of ``by``, which must tell rows apart.
 

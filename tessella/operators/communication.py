@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.lineage import cut
+from tessella.functions.lineage import cut, if_small
 from tessella.functions.scalars import normal_sf
 from tessella.operators.spatial import packed
 
@@ -84,7 +84,7 @@ def label(scores: DataFrame) -> DataFrame:
 
 def every_cell(scores: DataFrame, cells: DataFrame, entity: str = "label") -> DataFrame:
     """Scores with a row for every cell and entity, absent ones and dropped cells as 0; entities are a table of results."""
-    every = cells.select("cell_id").crossJoin(F.broadcast(scores.select(entity).distinct()))
+    every = cells.select("cell_id").crossJoin(if_small(scores.select(entity).distinct()))
     return every.join(scores, ["cell_id", entity], "left").fillna(0.0, ["c"])
 
 
@@ -117,7 +117,7 @@ def typed_moments(edges: DataFrame, expr: DataFrame, pairs: DataFrame, cells: Da
     if fix is None:
         t = lambda c, z: cells.select(F.col("cell_id").alias(c), F.col("cell_type").alias(z))
         every = squared.join(t("i", "ct1"), "i").join(t("j", "ct2"), "j").groupBy("ct1", "ct2").agg(F.sum("w").alias("eg2"))
-        return every.crossJoin(F.broadcast(pairs.select("g1", "g2").distinct()))  # both are tables of results
+        return every.crossJoin(if_small(pairs.select("g1", "g2").distinct()))  # both are tables of results
     e2 = expr.select("cell_id", "gene", (F.col("value") * F.col("value")).alias("value"))
     if fix == "gp":
         return typed_scores(squared, e2, pairs, cells).withColumnRenamed("c", "eg2")

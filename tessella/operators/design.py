@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.lineage import cut
+from tessella.functions.lineage import cut, if_small
 from tessella.operators.factors import base_regulators, known_pairs, top_then_back_fill
 from tessella.operators.spatial import ligand_radii, received, received_by_radius
 from tessella.operators.tables import receptor_filter
@@ -154,7 +154,7 @@ def count_columns(covariates: DataFrame) -> DataFrame:
 
 def filled(values: DataFrame, rows: DataFrame, names: DataFrame) -> DataFrame:
     """(cell_id, factor, x) with a row for every cell and name, absent ones as 0: the dense form that a sparse one stands for."""
-    return rows.select("cell_id").crossJoin(F.broadcast(names.select("factor").distinct())).join(values, ["cell_id", "factor"], "left").fillna(0.0, ["x"])  # names are few
+    return rows.select("cell_id").crossJoin(if_small(names.select("factor").distinct())).join(values, ["cell_id", "factor"], "left").fillna(0.0, ["x"])  # names are few
 
 
 def paired_samples(tables: dict[str, DataFrame], common: bool = False) -> DataFrame:

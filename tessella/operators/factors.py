@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.lineage import cut
+from tessella.functions.lineage import cut, if_small
 from tessella.functions.scalars import modulator_group
 from tessella.operators.spatial import received
 
@@ -188,7 +188,7 @@ def perturb(expr: DataFrame, cells: DataFrame, betas: DataFrame, levels: DataFra
 def mean_splash(betas: DataFrame, cells: DataFrame, expr: DataFrame, got: DataFrame, scale: float = 1.0) -> DataFrame:
     """``splash`` with each modulator's mean coefficient over the cells that have it, in every cell."""
     mean = betas.groupBy("target", "modulator").agg(F.avg("beta").alias("beta"))
-    return splash(cells.select("cell_id").crossJoin(F.broadcast(mean)), expr, got, scale)  # a table of coefficients
+    return splash(cells.select("cell_id").crossJoin(if_small(mean)), expr, got, scale)  # a table of coefficients
 
 
 def masked_perturb(expr: DataFrame, cells: DataFrame, betas: DataFrame, levels: DataFrame, mask: DataFrame, radius: float, **kw) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.lineage import cut, numbered
+from tessella.functions.lineage import cut, if_small, numbered
 from tessella.functions.scalars import modulator_group
 from tessella.functions.tails import normal_tail, student_two_sided
 
@@ -187,7 +187,7 @@ def fit_betas(sums: DataFrame, design: DataFrame, keys: list[str] = (), labels:
             out.insert(0, k, pdf[k].iat[0])
         return out
 
-    rows = _per_target(sums, design, keys, labels).drop("pos").join(F.broadcast(factors), "target")
+    rows = _per_target(sums, design, keys, labels).drop("pos").join(if_small(factors), "target")
     return rows.groupBy(*keys, "target").applyInPandas(run, schema)
 
 
@@ -277,7 +277,7 @@ def cluster_factors(sums: DataFrame, design: DataFrame, threshold: float = 0.5)
         groups = linkage_groups(1 - cov[np.ix_(live, live)] / np.outer(sd, sd), threshold) if len(live) > 1 else list(range(1, len(live) + 1))
         return pd.DataFrame({"target": pdf["target"].iat[0], "factor": [names[i] for i in live], "cluster": groups})
 
-    rows = _per_target(sums, design, [], []).drop("pos").join(F.broadcast(factors), "target")
+    rows = _per_target(sums, design, [], []).drop("pos").join(if_small(factors), "target")
     return rows.groupBy("target").applyInPandas(run, "target string, factor string, cluster long")
 
 
@@ -332,7 +332,7 @@ def anchor_betas(sums: DataFrame, design: DataFrame, keys: list[str] = (), penal
             out.insert(0, k, pdf[k].iat[0])
         return out
 
-    rows = _per_target(sums, design, keys, []).drop("pos").join(F.broadcast(factors), "target")
+    rows = _per_target(sums, design, keys, []).drop("pos").join(if_small(factors), "target")
     return rows.groupBy(*keys, "target").applyInPandas(run, "".join(f"{k} {types[k]}, " for k in keys) + "target string, factor string, beta double, r2 double")
 
 
@@ -415,7 +415,7 @@ def infer_links(cells: DataFrame, expr: DataFrame, candidates: DataFrame, by: li
             out.insert(0, k, pdf[k].iat[0])
         return out
 
-    return mine.join(F.broadcast(factors), "target").groupBy(*by, "target").applyInPandas(run, "".join(f"{k} {types[k]}, " for k in by) + LINKS)
+    return mine.join(if_small(factors), "target").groupBy(*by, "target").applyInPandas(run, "".join(f"{k} {types[k]}, " for k in by) + LINKS)
 
 
 def ridge_coefficients(cells: DataFrame, expr: DataFrame, candidates: DataFrame, by: list[str] = (), alpha: float = 1.0) -> DataFrame:

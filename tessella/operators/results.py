@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import if_small
 from tessella.functions.scalars import number_text
 
 # ---------------------------------------------------------------- cells, genes and names
@@ -152,7 +153,7 @@ def with_pair(table: DataFrame, pairs: DataFrame) -> DataFrame:
 def combinations(items: DataFrame, key: str, a: str, b: str, ordered: bool = False, by: list[str] = ()) -> DataFrame:
     """Pairs of a small table's items inside ``by``, each with itself too, in one order or in both."""
     one, two = items.select(*by, F.col(key).alias(a)).distinct(), items.select(*by, F.col(key).alias(b)).distinct()
-    met = one.join(two, list(by)) if by else one.crossJoin(F.broadcast(two))  # a product is what is asked for
+    met = one.join(two, list(by)) if by else one.crossJoin(if_small(two))  # a product is what is asked for
     return met if ordered else met.where(F.col(a) <= F.col(b))
 
 
@@ -275,7 +276,7 @@ def params_slug(method: str, penalty: float, l1_ratio: float = 0.5, standardize:
 
 def run_grid(targets: DataFrame, specs: DataFrame, penalties: list[float], done: DataFrame | None = None) -> DataFrame:
     """(target, label, penalty, ...): every run of targets by specs by penalties that is not done yet."""
-    grid = targets.select("target").distinct().crossJoin(F.broadcast(specs)).withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties])))  # a product is what is asked for
+    grid = targets.select("target").distinct().crossJoin(if_small(specs)).withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties])))  # a product is what is asked for
     return grid if done is None else grid.join(done.select("target", "label", "penalty"), ["target", "label", "penalty"], "left_anti")
 
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import if_small
 from tessella.functions.scalars import normal_sf
 from tessella.functions.tails import student_p
 from tessella.operators.communication import benjamini_hochberg
@@ -30,7 +31,8 @@ def standardise_counts(expr: DataFrame, cells: DataFrame, group: str | None = No
     spread = F.col("q") - 2 * t / all_u * F.col("xu") + t * t / (all_u * all_u) * u2
     size = (t * t / all_u) * u2 / all_u / (spread - t + eps)
     sums = sums.select("gene", *by, "t", "total", F.greatest(F.when(size < 0, 1e9).otherwise(size), F.lit(eps)).alias("size"))
-    # genes are few beside cells; each group's genes meet its cells
+    # every cell meets every gene of its group, which is the result's own size; the genes' table is sent round if it is small
+    sums = if_small(sums)
     dense = at.join(sums, by) if by else at.crossJoin(sums)
     dense = dense.join(expr.select("cell_id", "gene", "value"), ["cell_id", "gene"], "left")
     mu = F.col("t") * F.col("u") / F.col("total")
@@ -186,7 +188,7 @@ def table_correlation(scores: DataFrame, modules: DataFrame, n_cells: int, metho
         a, b = shifted_ranks(a, "entity", n_cells), shifted_ranks(b, "module", n_cells)
     one = a.groupBy("entity").agg(F.sum("value").alias("_s1"), F.sum(F.col("value") * F.col("value")).alias("_q1"))
     two = b.groupBy("module").agg(F.sum("value").alias("_s2"), F.sum(F.col("value") * F.col("value")).alias("_q2"))
-    names = scores.select("entity").distinct().join(one, "entity", "left").crossJoin(F.broadcast(modules.select("module").distinct().join(two, "module", "left")))  # tables of names
+    names = scores.select("entity").distinct().join(one, "entity", "left").crossJoin(if_small(modules.select("module").distinct().join(two, "module", "left")))  # tables of names
     xy = a.join(b.withColumnRenamed("value", "_v"), "cell_id").groupBy("entity", "module").agg(F.sum(F.col("value") * F.col("_v")).alias("_xy"))
     j = names.join(xy, ["entity", "module"], "left").fillna(0.0, ["_s1", "_q1", "_s2", "_q2", "_xy"])
     n = float(n_cells)
