@@ -126,3 +126,31 @@ def test_refusals(spark):
     with pytest.warns(UserWarning):
         G.gene_design(map_, "T", spark.createDataFrame([("metab@m", 0)], "factor string, pos int"), ["n"])
     assert R.params_slug("elastic", 5e-3, 0.5, False) == "elastic_p0p005_l0p5_nostd" and R.next_run(["run_3", "x", "run_12"]) == 13
+
+
+def test_result_folders_and_screens(spark, tmp_path):
+    df = spark.createDataFrame([("k1", 1, "g", 0.5), ("k2", 1, "g", 1.5)], "ko_gene string, cell_id long, gene string, value double")
+    sinks.write_screen(df, str(tmp_path / "screen"))
+    assert spark.read.parquet(str(tmp_path / "screen")).where("ko_gene = 'k2'").first().value == 1.5
+    sinks.write_results({"one": df, "two": df.limit(0)}, str(tmp_path / "res"), "tierA")
+    assert readers.read_result_csv(spark, str(tmp_path / "res" / "tierA" / "one.csv")).count() == 2
+    sinks.write_motifs({"hits": df}, str(tmp_path / "motifs"))
+    assert readers.read_annotated(spark, str(tmp_path / "motifs"))["hits"].count() == 2
+
+
+def test_changes_of_each_hop_and_masks(spark, tmp_path):
+    from tessella.operators import factors as X
+
+    cells = spark.createDataFrame([(0, 0.0, 0.0), (1, 5.0, 0.0)], "cell_id long, x double, y double")
+    expr = spark.createDataFrame([(c, g, v) for c in (0, 1) for g, v in (("L", 2.0), ("R", 1.0), ("T", 3.0))], "cell_id long, gene string, value double")
+    betas = spark.createDataFrame([("T", c, "L$R", 0.7) for c in (0, 1)], "target string, cell_id long, modulator string, beta double")
+    levels = spark.createDataFrame([(c, "L", 0.0) for c in (0, 1)], "cell_id long, gene string, level double")
+    values = lambda df: {(r.cell_id, r.gene): round(r.value, 9) for r in df.collect() if r.value}
+    plain = values(X.perturb(expr, cells, betas, levels, 30.0, hops=2, deltas=str(tmp_path / "d")))
+    hops = spark.read.parquet(str(tmp_path / "d"))
+    assert {r.hop for r in hops.collect()} == {1, 2} and plain[0, "T"] < 3
+    every = expr.select("cell_id", "gene")
+    assert values(X.masked_perturb(expr, cells, betas, levels, every, 30.0, hops=2)) == plain
+    assert values(X.masked_perturb(expr, cells, betas, levels, every.limit(0), 30.0, hops=2))[0, "T"] == 3
+    some = X.splash(betas.union(betas.selectExpr("target", "cell_id", "'R' as modulator", "beta")), expr, expr, allowed=spark.createDataFrame([("T", "Q")], "target string, source string"))
+    assert X.splash(betas, expr, expr).count() == some.count()
