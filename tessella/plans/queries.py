@@ -215,12 +215,12 @@ def _step(before: str, after: str) -> str:
     return f"m_{after} AS (SELECT cell_id, target AS gene, sum(d * coef) AS d FROM {before} JOIN c ON gene = source GROUP BY 1, 2), {after} AS (SELECT coalesce(m.cell_id, h.cell_id) AS cell_id, coalesce(m.gene, h.gene) AS gene, greatest(coalesce(h.d, m.d), -coalesce(e.value, 0)) AS d FROM m_{after} m FULL JOIN d0 h ON m.cell_id = h.cell_id AND m.gene = h.gene LEFT JOIN expr e ON e.cell_id = coalesce(m.cell_id, h.cell_id) AND e.gene = coalesce(m.gene, h.gene))"
 
 
-@query(f"{V.with_views('links', 'expr')}, c AS (SELECT source, target, avg(coef_mean) AS coef FROM links GROUP BY 1, 2), d0 AS (SELECT cell_id, gene, -value AS d FROM expr WHERE gene = 'Brand#11'), {_step('d0', 's1')}, {_step('s1', 's2')}\nSELECT cell_id, gene, round(d, 3) AS d FROM s2")
+@query(f"{V.with_views('links', 'expr')}, c AS (SELECT source, target, avg(coef_mean) AS coef FROM links GROUP BY 1, 2), d0 AS (SELECT cell_id, gene, -value AS d FROM expr WHERE gene = 'Brand#11'), {_step('d0', 's1')}, {_step('s1', 's2')}\nSELECT cell_id, gene, round(d, 3) + 0.0e0 AS d FROM s2")
 def m13_propagation(spark, d):
     coef = V.links(spark, d).groupBy("source", "target").agg(F.avg("coef_mean").alias("coef"))
     e = V.expr(spark, d)
     delta = e.where("gene = 'Brand#11'").select("cell_id", "gene", (-F.col("value")).alias("d"))
-    return rounded(M.propagate(delta, coef, e, 2), "d", digits=3)
+    return rounded(M.propagate(delta, coef, e, 2), "d", digits=3).withColumn("d", F.col("d") + 0.0)  # plain 0 for -0
 
 
 @query(f"{V.with_views('links')}, e AS (SELECT DISTINCT source, target FROM links), h1 AS (SELECT DISTINCT target AS node FROM e WHERE source = 'Brand#11' AND target <> 'Brand#11'), h2 AS (SELECT DISTINCT target AS node FROM e JOIN h1 ON source = node WHERE target <> 'Brand#11' AND target NOT IN (SELECT node FROM h1))\nSELECT 'Brand#11' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2")
