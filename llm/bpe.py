@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import fresh, trim
+from llm.common import KEPT, fresh, trim
 from llm.parts import PART_BYTES, parts
 
 #: Entries in each of a worker's caches, which are emptied when they are full.
@@ -255,6 +255,7 @@ class Encoder:
 
 
 _encoders: dict = {}
+KEPT.append(_encoders)
 
 
 def _encoder(shared) -> Encoder:

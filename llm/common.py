@@ -60,6 +60,17 @@ def trim() -> None:
         pass  # another C library: its allocator decides
 
 
+#: What operators keep in a worker between the tasks of a query.
+KEPT: list[dict] = []
+
+
+def release() -> None:
+    """Drop what other operators left in this worker, before a stage that needs the memory."""
+    for kept in KEPT:
+        kept.clear()
+    trim()
+
+
 # ---------------------------------------------------------------- bitmaps
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import checkpointed, fresh, hashed_id
+from llm.common import checkpointed, fresh, hashed_id, release
 from llm.parts import parts
 
 BINS = 1 << 15
@@ -98,6 +98,7 @@ def _unpacked(blob: bytes, into: np.ndarray) -> None:
 
 
 def _count(batches):
+    release()
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
 

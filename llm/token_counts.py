@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bpe import CACHE, LONG, read_file, units
-from llm.common import checkpointed
+from llm.common import KEPT, checkpointed
 from llm.parts import parts
 
 #: Pre-tokens of the broadcast table, those that a task or a merge of tasks names for it, and summaries merged at once.
@@ -204,6 +204,7 @@ def frequent(docs: DataFrame, pattern: str, most: int = TABLE) -> list[str]:
 
 
 _lengths: dict = {}
+KEPT.append(_lengths)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int = 1024) -> DataFrame:
