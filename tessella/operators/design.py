@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.lineage import cut, if_small
-from tessella.operators.factors import base_regulators, known_pairs, top_then_back_fill
+from tessella.operators.factors import TIE_DIGITS, base_regulators, known_pairs, top_then_back_fill
 from tessella.operators.spatial import ligand_radii, received, received_by_radius
 from tessella.operators.tables import receptor_filter
 
@@ -34,8 +34,9 @@ def factor_map(genes: DataFrame, grn: DataFrame, pairs: DataFrame, weights: Data
     lr = known_pairs(pairs.select("ligand", "receptor", "ord"), genes, t)
     both = lr.select("target", F.concat("ligand", F.lit("$"), "receptor").alias("factor"), F.lit(1).alias("_k"), F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.col("ord").cast("long").alias("c")).alias("_o"))
     w = weights.join(pairs.select("ligand").distinct(), "ligand", "left_semi").join(tfs, "tf").where("ligand <> target")
-    order = Window.partitionBy("target", "tf").orderBy(F.desc("weight"), "ligand")
-    top = w.where(F.col("weight") > cutoff).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    weight = F.round("weight", TIE_DIGITS)
+    order = Window.partitionBy("target", "tf").orderBy(weight.desc(), "ligand")
+    top = w.where(weight > cutoff).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
     ltf = top.select("target", F.concat("ligand", F.lit("#"), "tf").alias("factor"), F.lit(2).alias("_k"), F.struct(F.col("tf").alias("a"), F.lit("").alias("b"), F.col("_n").cast("long").alias("c")).alias("_o"))
     every = plain.union(both).union(ltf)
     pos = F.row_number().over(Window.partitionBy("target").orderBy("_k", "_o", "factor"))

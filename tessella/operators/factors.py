@@ -9,6 +9,9 @@ from tessella.functions.lineage import cut, if_small
 from tessella.functions.scalars import modulator_group
 from tessella.operators.spatial import received
 
+#: Digits of a mean weight that decide ranks and cutoffs; the ones after them depend on the order of summation.
+TIE_DIGITS = 9
+
 
 def known_pairs(pairs: DataFrame, genes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Pairs with both sides among ``genes``; with ``targets``, for each target the pairs without it."""
@@ -106,18 +109,21 @@ def motif_hits(hits: DataFrame, threshold: float, summed: bool = False) -> DataF
 def top_ligands(weights: DataFrame, cutoff: float, k: int = 5, feedback: DataFrame | None = None) -> DataFrame:
     """The k heaviest (tf, ligand, weight) of each tf, then those above ``cutoff``, without the pairs of ``feedback`` (tf, ligand).
 
-    Nothing moves up into a place that cutoff or feedback empty.
+    Nothing moves up into a place that cutoff or feedback empty.  Weights count to nine digits, so that means that are equal but for
+    the order of their summation are ties.
     """
-    order = Window.partitionBy("tf").orderBy(F.desc("weight"), "ligand")
-    top = weights.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("weight") > cutoff))
+    w = F.round("weight", TIE_DIGITS)
+    order = Window.partitionBy("tf").orderBy(w.desc(), "ligand")
+    top = weights.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (w > cutoff))
     return top if feedback is None else top.join(feedback, ["tf", "ligand"], "left_anti")
 
 
 def top_then_back_fill(weights: DataFrame, cutoff: float, k: int, without: Column | None = None) -> DataFrame:
     """The k heaviest (tf, ligand, weight) of each tf after cutoff and exclusion, so that others take excluded places."""
-    w = weights.where(F.col("weight") > cutoff)
+    weight = F.round("weight", TIE_DIGITS)
+    w = weights.where(weight > cutoff)
     w = w.where(~without) if without is not None else w
-    return w.withColumn("rank", F.row_number().over(Window.partitionBy("tf").orderBy(F.desc("weight"), "ligand"))).where(F.col("rank") <= k)
+    return w.withColumn("rank", F.row_number().over(Window.partitionBy("tf").orderBy(weight.desc(), "ligand"))).where(F.col("rank") <= k)
 
 
 def interface_counts(scores: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -44,7 +44,7 @@ def rank_sums(expr: DataFrame, cells: DataFrame, one: Column) -> DataFrame:
     """Per gene: group sizes, rank sum of group ``one`` with ties averaged, tie term, sums and squares of both groups.
 
     Values are 0 or more, and absent ones are 0, whose shared rank has a closed form.  Rows are counted by value first, so a
-    window sorts a gene's distinct values, not its cells.
+    window sorts a gene's distinct values, not its cells.  Group sizes are doubles, as their products exceed the integers.
     """
     n, n1 = cells.agg(F.count("*"), F.count_if(one)).first()
     v = expr.where("value > 0").join(cells.select("cell_id", F.coalesce(one, F.lit(False)).cast("int").alias("_g")), "cell_id")
@@ -55,7 +55,7 @@ def rank_sums(expr: DataFrame, cells: DataFrame, one: Column) -> DataFrame:
     m, m1, x = F.col("m").cast("double"), F.col("m1"), F.col("value")
     g = by.groupBy("gene").agg(F.sum(m1 * F.col("rank")).alias("r"), F.sum("m").alias("k"), F.sum("m1").alias("k1"), F.sum(m * m * m - m).alias("t"), F.sum(x * m1).alias("s1"), F.sum(x * x * m1).alias("q1"), F.sum(x * m).alias("s"), F.sum(x * x * m).alias("q"))
     n0 = (n - F.col("k")).cast("double")
-    return g.select("gene", F.lit(n1).alias("n1"), F.lit(n - n1).alias("n2"), (F.col("r") + (n1 - F.col("k1")) * (n0 + 1) / 2).alias("r1"), (F.col("t") + n0 * n0 * n0 - n0).alias("ties"), "s1", "q1", (F.col("s") - F.col("s1")).alias("s2"), (F.col("q") - F.col("q1")).alias("q2"))
+    return g.select("gene", F.lit(float(n1)).alias("n1"), F.lit(float(n - n1)).alias("n2"), (F.col("r") + (n1 - F.col("k1")) * (n0 + 1) / 2).alias("r1"), (F.col("t") + n0 * n0 * n0 - n0).alias("ties"), "s1", "q1", (F.col("s") - F.col("s1")).alias("s2"), (F.col("q") - F.col("q1")).alias("q2"))
 
 
 def rank_sum_degs(expr: DataFrame, cells: DataFrame, one: Column) -> DataFrame:

@@ -29,7 +29,7 @@ def _tables(spark, d):
 _MAP = f"""{V.with_views('cells', 'expr', 'lr', 'links')}, {_PLAIN}, g AS (SELECT DISTINCT gene FROM pe),
 tfs AS (SELECT DISTINCT target, source AS tf FROM pl WHERE p < 0.1 AND source <> target AND source IN (SELECT gene FROM g) AND target IN (SELECT gene FROM g) AND target IN (SELECT ligand FROM plr)),
 w AS (SELECT target AS tf, source AS ligand, avg(coef_mean) + 1 AS weight FROM pl GROUP BY 1, 2),
-lt AS (SELECT * FROM (SELECT tfs.target AS target, w.tf AS tf, ligand, row_number() OVER (PARTITION BY tfs.target, w.tf ORDER BY weight DESC, ligand) AS r FROM w JOIN tfs ON tfs.tf = w.tf WHERE ligand <> tfs.target AND weight > 0.5 AND ligand IN (SELECT ligand FROM plr)) q WHERE r <= 5),
+lt AS (SELECT * FROM (SELECT tfs.target AS target, w.tf AS tf, ligand, row_number() OVER (PARTITION BY tfs.target, w.tf ORDER BY round(weight, 9) DESC, ligand) AS r FROM w JOIN tfs ON tfs.tf = w.tf WHERE ligand <> tfs.target AND round(weight, 9) > 0.5 AND ligand IN (SELECT ligand FROM plr)) q WHERE r <= 5),
 fm AS (SELECT target, tf AS factor, 'tf' AS kind, 0 AS k, tf AS a, 0 AS c FROM tfs UNION ALL SELECT t.ligand, p.ligand || '$' || p.receptor, 'lr', 1, '', p.ord FROM plr t JOIN plr p ON p.ligand <> t.ligand AND p.receptor <> t.ligand UNION ALL SELECT target, ligand || '#' || tf, 'ltf', 2, tf, r FROM lt)"""
 
 

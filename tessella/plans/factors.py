@@ -117,7 +117,7 @@ def f12_motif_hits(spark, d):
     return rounded(X.motif_hits(V.links(spark, d).select(F.col("target").alias("peak"), F.col("source").alias("motif"), F.col("coef_mean").alias("score")), -0.25, summed=True), "score")
 
 
-@query(f"{V.with_views('links')}, w AS (SELECT target AS tf, source AS ligand, avg(coef_mean) AS weight FROM links GROUP BY 1, 2)\nSELECT tf, ligand, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY weight DESC, ligand) AS rank FROM w WHERE weight > -0.28 AND ligand <> tf) q WHERE rank <= 5")
+@query(f"{V.with_views('links')}, w AS (SELECT target AS tf, source AS ligand, avg(coef_mean) AS weight FROM links GROUP BY 1, 2)\nSELECT tf, ligand, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY round(weight, 9) DESC, ligand) AS rank FROM w WHERE round(weight, 9) > -0.28 AND ligand <> tf) q WHERE rank <= 5")
 def w2_back_filled(spark, d):
     w = V.links(spark, d).groupBy(F.col("target").alias("tf"), F.col("source").alias("ligand")).agg(F.avg("coef_mean").alias("weight"))
     return rounded(X.top_then_back_fill(w, -0.28, 5, F.col("ligand") == F.col("tf")), "weight").withColumn("rank", F.col("rank").cast("long"))

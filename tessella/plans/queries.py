@@ -198,7 +198,7 @@ def a43_network_degree(spark, d):
     return rounded(T.network_degree(V.links(spark, d)), "centrality")
 
 
-@query(f"{V.with_views('links')}, w AS (SELECT target AS tf, source AS ligand, avg(coef_mean) AS weight FROM links GROUP BY 1, 2), back AS (SELECT DISTINCT source AS tf, target AS ligand FROM links WHERE p < 0.1)\nSELECT tf, ligand, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY weight DESC, ligand) AS rank FROM w) x WHERE rank <= 5 AND weight > -0.25 AND NOT EXISTS (SELECT 1 FROM back WHERE back.tf = x.tf AND back.ligand = x.ligand)")
+@query(f"{V.with_views('links')}, w AS (SELECT target AS tf, source AS ligand, avg(coef_mean) AS weight FROM links GROUP BY 1, 2), back AS (SELECT DISTINCT source AS tf, target AS ligand FROM links WHERE p < 0.1)\nSELECT tf, ligand, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY round(weight, 9) DESC, ligand) AS rank FROM w) x WHERE rank <= 5 AND round(weight, 9) > -0.25 AND NOT EXISTS (SELECT 1 FROM back WHERE back.tf = x.tf AND back.ligand = x.ligand)")
 def w1_top_sources(spark, d):
     k = V.links(spark, d)
     w = k.groupBy(F.col("target").alias("tf"), F.col("source").alias("ligand")).agg(F.avg("coef_mean").alias("weight"))

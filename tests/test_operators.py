@@ -119,3 +119,29 @@ def test_readers(spark, tmp_path):
     assert [(r.metabolite, r.C_p, r.selected) for r in R.read_result_csv(spark, str(tmp_path / "r.csv")).collect()] == [("m", 1.5, True), ("n", None, False)]
     peaks = spark.createDataFrame([("chr_Un_1_10_20",)], "peak_id string")
     assert R.peak_columns(peaks).select("chrom", "start", "end").first() == ("chr_Un_1", 10, 20)
+
+
+def test_rank_tests_of_a_hundred_thousand_cells(spark):
+    """Products of group sizes beyond the integers: both tests' statistics from their formulas in plain floats."""
+    n = 100_000
+    cells = spark.range(n).select(F.col("id").alias("cell_id"), (F.col("id") % 2 == 0).alias("one"))
+    values = spark.range(n).select(F.col("id").alias("cell_id"), F.lit("g").alias("gene"), ((F.col("id") * 7919) % 1000 + 1 + (F.col("id") % 2)).cast("double").alias("value"))
+    v = np.array([i * 7919 % 1000 + 1 + i % 2 for i in range(n)], float)
+    one = np.arange(n) % 2 == 0
+    _, at, m = np.unique(v, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(m) - (m - 1) / 2)[at]
+    n1, n2 = float(one.sum()), float((~one).sum())
+    r1 = rank[one].sum()
+    got = Q.rank_sum_degs(values, cells, F.col("one")).first()
+    assert abs(got.score - (r1 - n1 * (n + 1) / 2) / (n1 * n2 * (n + 1) / 12) ** 0.5) < 1e-9
+    ties = (m.astype(float) ** 3 - m).sum()
+    got = Q.mann_whitney_greater(values, cells, F.col("one")).first()
+    sd = (n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1.0)))) ** 0.5
+    assert abs(got.z - (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2 - 0.5) / sd) < 1e-9
+
+
+def test_equal_means_rank_by_name_whatever_the_last_bit(spark):
+    rows = [("t", "b", 0.1 + 0.2), ("t", "a", 0.3), ("t", "c", 0.30000001), ("t", "d", -0.25)]
+    w = spark.createDataFrame(rows, "tf string, ligand string, weight double")
+    assert [r.ligand for r in X.top_ligands(w, -0.25, 3).orderBy("rank").collect()] == ["c", "a", "b"]
+    assert [r.ligand for r in X.top_then_back_fill(w, -0.25 + 1e-12, 5).orderBy("rank").collect()] == ["c", "a", "b"]
