@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import ann, bpe, embedding_dedup, langid, mixing, ngram_join, secrets, substring, token_counts, toxicity
+from llm import ann, bpe, embedding_dedup, importance, langid, mixing, ngram_join, secrets, substring, token_counts, toxicity
 from llm.common import table
 
 
@@ -50,9 +50,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), width=4, threshold=85)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vp_tree_search, op2_toxicity, op3_mixing, op4_embedding_dedup, op5_substring_dedup, op6_bpe_round_trip, op7_token_counts, op8_secret_scan, op9_language_id, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_vp_tree_search, op2_toxicity, op3_mixing, op4_embedding_dedup, op5_substring_dedup, op6_bpe_round_trip, op7_token_counts, op8_secret_scan, op9_language_id, op10_ngram_join, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_mixing": mixing.SQL}
+    return {"op3_mixing": mixing.SQL, "op11_importance_resampling": importance.SQL}
