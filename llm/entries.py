@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import ann, bpe, embedding_dedup, importance, langid, mixing, ngram_join, secrets, substring, token_counts, toxicity, vector_codes
+from llm import ann, bpe, embedding_dedup, importance, langid, licenses, mixing, ngram_join, secrets, substring, token_counts, toxicity, vector_codes
 from llm.common import table
 
 
@@ -54,13 +54,17 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vp_tree_search, op2_toxicity, op3_mixing, op4_embedding_dedup, op5_substring_dedup, op6_bpe_round_trip, op7_token_counts, op8_secret_scan, op9_language_id, op10_ngram_join, op11_importance_resampling, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_vp_tree_search, op2_toxicity, op3_mixing, op4_embedding_dedup, op5_substring_dedup, op6_bpe_round_trip, op7_token_counts, op8_secret_scan, op9_language_id, op10_ngram_join, op11_importance_resampling, op12_license_scan, op13_vector_codes)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_mixing": mixing.SQL, "op11_importance_resampling": importance.SQL, "op13_vector_codes": vector_codes.SQL}
+    return {"op3_mixing": mixing.SQL, "op11_importance_resampling": importance.SQL, "op12_license_scan": licenses.SQL, "op13_vector_codes": vector_codes.SQL}
