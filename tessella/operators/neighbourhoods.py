@@ -164,16 +164,20 @@ def niche_groups(cells: DataFrame, perturbed: DataFrame, control: DataFrame, k:
     return out if cell_type is None else out.join(cells.where(F.col("cell_type") == cell_type).select("cell_id"), "cell_id", "left_semi")
 
 
-def balanced_neighbours(near: DataFrame, k: int, most_in: int, rounds: int = 50) -> DataFrame:
+def balanced_neighbours(near: DataFrame, k: int, most_in: int, rounds: int = 500) -> DataFrame:
     """(i, j, d2) of ``near`` (i, j, d2), k a cell at most, so that no cell is the neighbour of more than ``most_in`` others.
 
-    Cells ask their nearest that have not refused them; a cell asked by too many keeps the nearest and refuses the others, ties to
-    the smaller id, until nobody is refused.
+    Cells choose one after the other, those that most lists of ``near`` name first, of equal ones the larger id: each takes the nearest
+    that are not full, ties to the smaller id.  All of them do so at once here: cells ask their nearest that have not refused them, and a
+    cell asked by too many refuses those that come last in that order, until nobody is refused.  As all cells prefer by the same
+    order, that ends with the same choice.
     """
-    left = cut(near.select("i", "j", "d2").where("i <> j"))
+    e = near.select("i", "j", "d2").where("i <> j")
+    named = e.groupBy(F.col("j").alias("i")).agg(F.count("*").alias("_l"))
+    left = cut(e.join(named, "i", "left").fillna(0, ["_l"]))
     for _ in range(rounds):
         asked = left.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).where(F.col("_r") <= k)
-        asked = asked.withColumn("_s", F.row_number().over(Window.partitionBy("j").orderBy("d2", "i")))
+        asked = asked.withColumn("_s", F.row_number().over(Window.partitionBy("j").orderBy(F.desc("_l"), F.desc("i"))))
         refused = cut(asked.where(F.col("_s") > most_in).select("i", "j"))
         if refused.isEmpty():
             return asked.select("i", "j", "d2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators import spatial as P
+from tessella.operators.permutation import PRIME, WALKS, replicates
 from tessella.sources import views as V
 
 RADIUS = 30.0
@@ -18,8 +19,8 @@ KERNEL = f"exp(-d2 / {2 * S.sigma(RADIUS) ** 2!r}e0)"
 EDGES = NEAR + f",\nedges AS (SELECT i, j, {KERNEL} AS w FROM near WHERE i <> j)"
 FOLDED = "folded AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM edges GROUP BY 1, 2), twice AS (SELECT i, j, w FROM folded UNION ALL SELECT j, i, w FROM folded)"
 PAIRS = "pairs AS (SELECT ligand AS g1, receptor AS g2 FROM lr UNION ALL SELECT ligand, ligand FROM lr)"
-#: Steps and shifts of the permutations that queries and SQL share.
-PLAN = [(1000003, 17), (1000033, 523), (1000037, 911)]
+#: Keys of the permutations that queries and SQL share.
+PLAN = replicates(3, seed=5)
 
 
 def knn(k: int, with_self: bool = False, name: str = "knn") -> str:
@@ -45,6 +46,20 @@ def bh(table: str, keys: str, tie: str, by: str = "", p: str = "p") -> str:
     return f"(SELECT {keys}, {p}, least(1, min({p} * m / r) OVER ({part} ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fdr FROM (SELECT *, count(*) OVER ({part}) AS m, row_number() OVER ({part} ORDER BY {p}, {tie}) AS r FROM {table}) q)"
 
 
+def moved_place(place: str, n: str, turn: str = "0") -> str:
+    """``permutation.moved_place`` in SQL, of a list ``keys``."""
+    high = f"CAST(ceil(sqrt({n})) AS BIGINT)"
+    low = f"CAST(ceil({n} / {high}) AS BIGINT)"
+
+    def made(half: str) -> str:
+        y = f"(({half} + k // 2 + {turn}) % {PRIME})"
+        return f"(({y} * {y} % {PRIME} * {y} + k // 2) % {PRIME})"
+
+    one = f"CASE WHEN k % 2 = 0 THEN (x // {low} + {made(f'(x % {low})')}) % {high} * {low} + x % {low} ELSE x // {low} * {low} + (x % {low} + {made(f'(x // {low})')}) % {low} END"
+    whole = lambda x: f"list_reduce(list_prepend({x}, keys), lambda x, k: {one})"
+    return f"list_reduce(list_prepend({whole(f'CAST({place} AS BIGINT)')}, range(least({high} * {low} - {n} + 1, {WALKS}))), lambda q, _: CASE WHEN q < {n} THEN q ELSE {whole('q')} END)"
+
+
 def uniform(*parts: str) -> str:
     """``neighbourhoods.uniform`` in SQL."""
     return f"(CAST(CAST('0x' || substr(md5(concat_ws(':', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)})), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)"

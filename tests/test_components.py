@@ -1,11 +1,15 @@
 """Components, neighbours in many dimensions, smoothing and pseudotime against dense numpy."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import components as P
+from tessella.operators import diffusion as D
 from tessella.operators import metric as M
+from tessella.operators import smoothing as SM
 
 rng = np.random.default_rng(3)
 
@@ -82,3 +86,99 @@ def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 3.0]), (3, [9.0, 9.0])], "cell_id long, v array<double>")
     assert {(r.i, r.j, r["rank"]) for r in M.neighbours(df, 5).collect()} == {(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 2, 1), (3, 1, 2)}
     assert M.neighbours(df.limit(0), 5).count() == 0
+
+
+def uniform_of(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def components_of(x, d):
+    c = x - x.mean(0)
+    u, s, vt = np.linalg.svd(c, full_matrices=False)
+    return (u * s)[:, :d] * np.sign(vt[np.arange(d), np.abs(vt[:d]).argmax(1)])
+
+
+def test_smoothing_by_doubling_equals_a_dense_version(spark):
+    n, p, k, d = 150, 30, 11, 4
+    x = rng.poisson(np.outer(rng.gamma(3, 1, n), rng.gamma(2, 2, p)) * (1 + 3 * (np.arange(n) % 3 == 0))[:, None] ** (np.arange(p) % 4 == 1)).astype(float)
+    x[5] = 0
+    s, have, step = x, 1, 0
+    while have < k:
+        have, step = min(2 * have, k), step + 1
+        total = s.sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = np.where(total[:, None] > 0, s * np.median(total[total > 0]) / total[:, None], 0)
+        pcs = components_of(np.sqrt(y) + np.sqrt(y + 1), d)
+        span = np.ptp(pcs, axis=0)
+        pcs = pcs + np.array([[(uniform_of(7, step, c, i) - 0.5) * span[c] * 0.03 for c in range(d)] for i in range(n)])
+        order = np.argsort(((pcs[:, None] - pcs[None]) ** 2).sum(2), axis=1, kind="stable")[:, :have]
+        s = x[order].sum(1)
+    out = SM.smooth_by_doubling(long_table(spark, x), spark.range(n).withColumnRenamed("id", "cell_id"), k, d, seed=7)
+    got = np.zeros((n, p))
+    for r in out.collect():
+        got[r.cell_id, int(r.gene[1:])] = r.value
+    assert np.allclose(got, s)
+
+
+def test_median_is_exact(spark):
+    for v, want in (([3.0, 1.0, 2.0], 2.0), ([4.0, 1.0, 2.0, 2.0], 2.0), ([5.0, 1.0], 3.0), ([], None), ([2.0] * 7, 2.0)):
+        df = spark.createDataFrame([*enumerate(v), (99, None)], "cell_id long, total double").repartition(3)
+        assert SM.median(df, "total", "cell_id") == want
+
+
+def branches():
+    """300 points of a stem that forks, in three dimensions."""
+    t = np.linspace(0, 1, 300)
+    side = np.where(np.arange(300) % 2 == 0, 1.0, -1.0) * np.maximum(0, t - 0.4)
+    return np.c_[4 * t, 3 * side, 0.1 * rng.normal(size=300)]
+
+
+def test_pseudotime_and_ends_equal_dense_linear_algebra(spark):
+    v = branches()
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "cell_id long, v array<double>").repartition(4)
+    k, adaptive, comps = 12, 4, 4
+    near = M.neighbours(df, k)
+    edges = D.kernel(near, adaptive)
+    value, psi = D.diffusion_map(edges, comps)
+    time = D.pseudotime(value, psi, 0).cache()
+
+    dist = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(dist, np.inf)
+    at = np.argsort(dist, axis=1)[:, :k]
+    w = np.zeros((300, 300))
+    for i in range(300):
+        w[i, at[i]] = np.exp(-dist[i, at[i]] / dist[i, at[i][adaptive - 1]])
+    w = w + w.T
+    deg = w.sum(1)
+    lam, u = np.linalg.eigh(w / np.sqrt(np.outer(deg, deg)))
+    lam, u = lam[::-1][: comps + 1], u[:, ::-1][:, : comps + 1] / np.sqrt(deg)[:, None]
+    u = u / np.linalg.norm(u, axis=0)
+    assert np.allclose(value, lam, atol=1e-9)
+    far = np.sqrt((((u[0] - u)[:, 1:] * lam[1:] / (1 - lam[1:])) ** 2).sum(1))
+    want = far / far.max()
+    got = np.array([r.pseudotime for r in time.orderBy("cell_id").collect()])
+    assert np.allclose(got, want, atol=1e-5)
+
+    ends = spark.createDataFrame([(299, "down"), (298, "up")], "cell_id long, state string")
+    p = {(r.cell_id, r.state): r.p for r in D.end_probabilities(edges, time, ends, 0.002).collect()}
+    q = np.where(got[None, :] >= got[:, None] - 0.002, w, 0)
+    q[[298, 299]] = 0
+    q = q / np.maximum(q.sum(1), 1e-300)[:, None]
+    free = [i for i in range(298)]
+    b = np.linalg.solve(np.eye(298) - q[np.ix_(free, free)], q[np.ix_(free, [298, 299])])
+    total = b.sum(1)
+    for i in free:
+        if total[i] > 1e-6:
+            assert abs(p[i, "up"] - b[i, 0] / total[i]) < 1e-5 and abs(p[i, "up"] + p[i, "down"] - 1) < 1e-9
+    assert p[298, "up"] == 1 and p[299, "down"] == 1 and p[290, "up"] > 0.9 and p[291, "down"] > 0.9
+
+
+def test_cells_apart_from_the_root_have_no_time(spark):
+    v = np.r_[rng.normal(size=(20, 2)), rng.normal(size=(20, 2)) + 1000]
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "cell_id long, v array<double>")
+    value, psi = D.diffusion_map(D.kernel(M.neighbours(df, 8), 3), 3)
+    got = {r.cell_id: r.pseudotime for r in D.pseudotime(value, psi, 3).collect()}
+    assert all((got[i] is None) == (i >= 20) for i in range(40)) and got[3] == 0
+    assert all(x is None for x in (r.pseudotime for r in D.pseudotime(value, psi, 77).collect()))
+    value, psi = D.diffusion_map(D.kernel(M.neighbours(df.limit(0), 8), 3), 3)
+    assert psi.count() == 0 and len(value) == 0

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,6 +52,56 @@ def test_balanced_neighbours_bound_both_degrees(spark):
     assert into.max() <= 4 and out.max() <= 3 and out.min() >= 1
 
 
+def test_balanced_neighbours_are_those_of_cells_that_choose_in_turn(spark):
+    for seed in range(3):
+        r = np.random.default_rng(seed)
+        n, sight, k, most = 60, 14, 4, 5
+        xy = np.round(r.gamma(1, 3, (n, 2)))
+        df = plane(spark, xy.tolist())
+        near = P.nearest(df, df, sight).cache()
+        lists = {}
+        for e in near.orderBy("i", "d2", "j").collect():
+            lists.setdefault(e.i, []).append(e.j)
+        named = np.bincount([j for v in lists.values() for j in v], minlength=n)
+        into, want = np.zeros(n, int), set()
+        for i in sorted(range(n), key=lambda i: (-named[i], -i)):
+            free = [j for j in lists[i] if into[j] < most][:k]
+            into[free] += 1
+            want |= {(i, j) for j in free}
+        assert {(e.i, e.j) for e in N.balanced_neighbours(near, k, most).collect()} == want
+
+
+def test_places_move_by_bijections_that_reach_every_order(spark):
+    plan = M.replicates(3_000, seed=1)
+    n = 4
+    df = spark.createDataFrame([(m, r, keys) for m, keys in enumerate(plan) for r in range(n)], "m int, r long, keys array<bigint>").repartition(4)
+    rows = df.select("m", "r", M.moved_place(F.col("r"), F.lit(n).cast("long"), F.col("keys")).alias("t")).collect()
+    orders = {}
+    for x in rows:
+        orders.setdefault(x.m, [0] * n)[x.r] = x.t
+    count = Counter(map(tuple, orders.values()))
+    assert set(count) == set(itertools.permutations(range(n)))
+    expected = len(plan) / 24
+    assert sum((c - expected) ** 2 / expected for c in count.values()) < 49.7  # chi-squared, 23 degrees of freedom, one in a thousand
+    for n in (1, 2, 3, 5, 17, 101, 1_009):
+        got = spark.range(n).select(M.moved_place(F.col("id"), F.lit(n).cast("long"), F.lit(plan[0]).cast("array<bigint>"), F.lit(7)).alias("t")).collect()
+        assert sorted(x.t for x in got) == list(range(n))
+
+
+def test_p_of_permutations_is_uniform_without_an_effect(spark):
+    n, groups, reps = 40, 60, 39
+    x = np.random.default_rng(2).normal(size=(groups, n))
+    cells = spark.range(n).select(F.col("id").alias("cell_id"))
+    perm = np.zeros((reps, n), int)
+    for r in M.permutations(cells, M.replicates(reps, seed=9)).collect():
+        perm[r.m, r.cell_id] = r.src
+    first = np.arange(n) < n // 2
+    stat = lambda v: v[:, first].mean(1) - v[:, ~first].mean(1)
+    more = sum((stat(x[:, perm[m]]) >= stat(x)).astype(int) for m in range(reps))
+    p = np.sort((more + 1) / (reps + 1))
+    assert np.abs(p - (np.arange(groups) + 0.5) / groups).max() < 0.21  # Kolmogorov and Smirnov, one in a hundred
+
+
 def graph(spark, n=14):
     w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.4), 1)
     x = rng.integers(0, 4, (n, 3)).astype(float) - 1  # some below 0
@@ -61,13 +112,27 @@ def graph(spark, n=14):
     return w + w.T, w, x, edges, expr, cells, pairs
 
 
+def moved(r, n, keys):
+    """Where a place goes, in plain integers."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    while True:
+        for key in keys:
+            first, last = divmod(r, b)
+            y = ((first if key % 2 else last) + key // 2) % M.PRIME
+            y = (y**3 + key // 2) % M.PRIME
+            r = first * b + (last + y) % b if key % 2 else (first + y) % a * b + last
+        if r < n:
+            return r
+
+
 def test_scores_z_and_permutations_equal_matrices(spark):
     both, w, x, edges, expr, cells, pairs = graph(spark)
     n, at = len(x), {"a": 0, "b": 1, "c": 2}
     score = lambda u, v, same: u @ both @ v / (2 if same else 1)
-    plan = M.steps(n, 5, seed=3)
+    plan = M.replicates(5, seed=3)
     perm = M.permutations(cells, plan)
-    src = [[(r * a + b) % n for r in range(n)] for a, b in plan]
+    src = [[moved(r, n, keys) for r in range(n)] for keys in plan]
     assert {(r.m, r.cell_id): r.src for r in perm.collect()} == {(m, i): s[i] for m, s in enumerate(src) for i in range(n)}
     moments, w2 = {g: ((both @ x[:, k]) ** 2).sum() for g, k in at.items()}, (w**2).sum()
     z = {(r.g1, r.g2): r for r in C.z_scores(C.pair_scores(edges, expr, pairs), C.pair_moments(pairs, C.second_moment(edges, expr), C.squared_weights(edges))).collect()}
@@ -93,7 +158,7 @@ def test_scores_z_and_permutations_equal_matrices(spark):
 def test_permutations_inside_types_and_rates(spark):
     *_, cells, _ = graph(spark)
     t = {r.cell_id: r.cell_type for r in cells.collect()}
-    for m, rows in itertools.groupby(sorted(M.permutations(cells, M.steps(14, 3), "cell_type").collect()), key=lambda r: r.m):
+    for m, rows in itertools.groupby(sorted(M.permutations(cells, M.replicates(3), "cell_type").collect()), key=lambda r: r.m):
         rows = list(rows)
         assert sorted(r.src for r in rows) == sorted(t) and all(t[r.src] == t[r.cell_id] for r in rows)
     p = spark.createDataFrame([(i, v) for i, v in enumerate([0.01, 0.04, 0.04, 0.2, None, 0.01])], "k long, p double")
