@@ -39,7 +39,7 @@ LEARN_PIECES = 20_000
 LONG = 64
 #: Words whose ids are broadcast (no longer than LONG characters each), and distinct pieces that a task holds while it looks for words.
 TABLE_WORDS = 65_536
-HELD_PIECES = 400_000
+HELD_PIECES = 150_000
 #: Fixed value: the pattern for which a cut at a space before a character that is no white space is a cut between pre-tokens.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -297,6 +297,7 @@ def _words(shared, text_col: str, part_bytes: int):
                 if len(starts) + len(later) > HELD_PIECES:
                     yield out()
         yield out()
+        trim()
 
     return run
 

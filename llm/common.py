@@ -60,6 +60,20 @@ def trim() -> None:
         pass  # another C library: its allocator decides
 
 
+def _frugal() -> None:
+    """Freed arrays and Arrow buffers of this process go back to the system at once, not to pools that keep them for later."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # blocks from 256 kB on are mapped one by one
+        libc.mallopt(-8, 1)  # one arena
+    except (OSError, AttributeError):
+        pass  # another C library: its allocator decides
+
+
+_frugal()  # in every worker, as each imports this module
+
+
 #: What operators keep in a worker between the tasks of a query.
 KEPT: list[dict] = []
 
@@ -150,13 +164,27 @@ class Forest:
         return True
 
 
+#: Nodes of a forest that a task holds before it passes the forest on.
+FOREST_NODES = 500_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
+
+    def out():
+        nodes = [x for x in forest.up if forest.find(x) != x]
+        edges = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], ["u", "v"])
+        forest.up.clear()
+        return edges
+
     for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            forest.union(x, y)
-    nodes = [x for x in forest.up if forest.find(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], ["u", "v"])
+        for at in range(0, b.num_rows, 50_000):
+            some = b.slice(at, 50_000)
+            for x, y in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                forest.union(x, y)
+            if len(forest.up) > FOREST_NODES:
+                yield out()
+    yield out()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
