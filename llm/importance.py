@@ -32,12 +32,14 @@ SEED = "2024"
 
 def buckets_of(text: Column, runs: int = 1, buckets: int = BUCKETS) -> Column:
     """The bucket of every run of 1 to ``runs`` words, repeats included, as an array."""
-    found = words(text)
     if runs > 1:
-        lengths = F.sequence(F.lit(1), F.least(F.lit(runs), F.size(found)))
-        places = lambda k: F.sequence(F.lit(1), F.size(found) - k + 1)
-        grams = F.flatten(F.transform(lengths, lambda k: F.transform(places(k), lambda i: F.concat_ws(" ", F.slice(found, i, k)))))
-        found = F.when(F.size(found) > 0, grams).otherwise(found)
+        lengths = lambda w: F.sequence(F.lit(1), F.least(F.lit(runs), F.size(w)))
+        starts = lambda w, k: F.sequence(F.lit(1), F.size(w) - k + 1)
+        grams = lambda w: F.flatten(F.transform(lengths(w), lambda k: F.transform(starts(w, k), lambda i: F.concat_ws(" ", F.slice(w, i, k)))))
+        # the words are an element of an array, so that they are taken from the text once and not for every run
+        found = F.transform(F.array(words(text)), lambda w: F.when(F.size(w) > 0, grams(w)).otherwise(w))[0]
+    else:
+        found = words(text)
     return F.transform(found, lambda w: (F.crc32(w.cast("binary")) % buckets).cast("int"))
 
 
