@@ -61,11 +61,12 @@ def trim() -> None:
 
 
 def _frugal() -> None:
-    """Freed arrays and Arrow buffers of this process go back to the system at once, not to pools that keep them for later."""
+    """Large freed arrays and Arrow buffers of this process go back to the system, not to pools that keep them for later."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 18)  # blocks from 256 kB on are mapped one by one
+        libc.mallopt(-3, 8 << 20)  # blocks from 8 MB on are mapped one by one
+        libc.mallopt(-1, 32 << 20)  # of the heap's free end, so much stays
         libc.mallopt(-8, 1)  # one arena
     except (OSError, AttributeError):
         pass  # another C library: its allocator decides
