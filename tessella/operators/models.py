@@ -465,23 +465,5 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def principal_components(expr: DataFrame, genes: DataFrame, cells: DataFrame, most: int = 50, drop: float = 0.002) -> tuple[DataFrame, int]:
-    """((cell_id, pcs), number of components up to the elbow): components of cells by genes, absent entries 0.
-
-    The elbow is the first place where the second difference of the cumulative variance exceeds ``drop`` in size.
-    """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    at = {r["gene"]: i for i, r in enumerate(genes.select("gene").distinct().orderBy("gene").collect())}  # one entry a gene
-    vec = F.udf(lambda rows: Vectors.sparse(len(at), sorted((at[r["gene"]], float(r["value"])) for r in rows or [] if r["gene"] in at)), VectorUDT())
-    rows = cells.select("cell_id").join(expr.groupBy("cell_id").agg(F.collect_list(F.struct("gene", "value")).alias("e")), "cell_id", "left").select("cell_id", vec("e").alias("v"))
-    model = PCA(k=min(most, len(at)), inputCol="v", outputCol="pcs").fit(rows)
-    share = np.cumsum(model.explainedVariance.toArray())
-    second = np.abs(np.diff(np.diff(share)))
-    high = np.flatnonzero(second > drop)
-    return model.transform(rows).select("cell_id", "pcs"), int(high[-1]) + 1 if len(high) else len(share)
-
-
 def modulator_kinds(design: DataFrame) -> DataFrame:
     return design.withColumn("grp", modulator_group(F.col("factor")))

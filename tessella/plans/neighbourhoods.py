@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import cut
 from tessella.operators import neighbourhoods as N
 from tessella.operators import permutation as M
 from tessella.operators import spatial as P
 from tessella.operators import statistics as Q
+from tessella.operators.components import components
+from tessella.operators.diffusion import diffusion_map, end_probabilities, kernel, pseudotime
+from tessella.operators.metric import neighbours
+from tessella.operators.smoothing import smooth_by_doubling
 from tessella.plans.permutations import _perm
 from tessella.plans.registry import PLAN, knn, longs, query, rounded, uniform
 from tessella.sources import views as V
@@ -76,6 +81,11 @@ def m24_diffused(spark, d):
     return rounded(N.diffuse(V.expr(spark, d), P.nearest(c, c, K, with_self=True).select("i", "j", F.lit(1.0).alias("w")), 2), "value")
 
 
+@query()
+def m24_smoothed_by_doubling(spark, d):
+    return rounded(smooth_by_doubling(V.expr(spark, d), V.cells(spark, d), 12, 6), "value")
+
+
 @query(f"{_P}\nSELECT i AS cell_id, round(sum(p * (b.x - a.x)), 4) AS dx, round(sum(p * (b.y - a.y)), 4) AS dy FROM tp JOIN cells a ON a.cell_id = i JOIN cells b ON b.cell_id = j GROUP BY 1")
 def m21_projected(spark, d):
     p, c = _p(spark, d)
@@ -278,6 +288,20 @@ def m41_lineage_pseudotime(spark, d):
     return rounded(N.lineage_pseudotime(v.union(c.select("cell_id", F.lit("l2"), F.when(F.col("cell_id") % 3 != 0, F.col("y"))))), "pseudotime")
 
 
+@query()
+def m41_pseudotime(spark, d):
+    """Pseudotime over expression from the first cell of a type, and where ways end: the last cell of each other type."""
+    c = V.cells(spark, d)
+    pcs, _, _ = components(V.expr(spark, d), c, 8)
+    graph = cut(kernel(neighbours(pcs.select("cell_id", F.col("pcs").alias("v")), 12), 4))
+    root = c.where("cell_type = 'BUILDING'").agg(F.min("cell_id")).first()[0]
+    value, psi = diffusion_map(graph, 5)
+    time = cut(pseudotime(value, psi, root))
+    last = F.max_by("cell_id", F.struct(F.round("pseudotime", 6), "cell_id")).alias("cell_id")
+    ends = time.where("pseudotime is not null").join(c.where("cell_type <> 'BUILDING'"), "cell_id").groupBy(F.col("cell_type").alias("state")).agg(last)
+    return time.join(end_probabilities(graph, time, ends, 0.01), "cell_id", "left")
+
+
 @query()
 def m37_niches(spark, d):
     from tessella.operators.clusters import niches

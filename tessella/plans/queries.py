@@ -10,7 +10,7 @@ from tessella.operators import factors as X
 from tessella.operators import models as M
 from tessella.operators import spatial as P
 from tessella.operators import tables as T
-from tessella.plans import cellwise, designs, factors, filters, neighbourhoods, permutations, regressions, results, statistics, viewer  # noqa: F401  they register their queries
+from tessella.plans import cellwise, designs, enrichment, factors, filters, neighbourhoods, permutations, regressions, results, statistics, viewer  # noqa: F401  they register their queries
 from tessella.plans.registry import EDGES, FOLDED, NEAR, PAIRS, QUERIES, RADIUS, SQL, edges, knn, longs, pairs, query, rounded
 from tessella.sources import views as V
 from tessella.streaming.incremental import windowed_counts

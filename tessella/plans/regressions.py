@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import models as M
+from tessella.operators.components import components, elbow
 from tessella.plans.registry import query, rounded
 from tessella.sources import views as V
 
@@ -129,11 +130,9 @@ def m12_ridge_matrix(spark, d):
 
 @query()
 def m25_components(spark, d):
-    e = V.expr(spark, d)
-    pcs, elbow = M.principal_components(e, e, V.cells(spark, d), 20)
-    from pyspark.ml.functions import vector_to_array
-
-    return pcs.select("cell_id", F.lit(elbow).alias("elbow"), F.size(vector_to_array("pcs")).alias("n"))
+    pcs, _, share = components(V.expr(spark, d), V.cells(spark, d), 20)
+    kept = elbow(share)
+    return pcs.select("cell_id", F.posexplode("pcs").alias("component", "score")).withColumn("kept", F.col("component") < kept)
 
 
 @query()

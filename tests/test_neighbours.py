@@ -253,3 +253,24 @@ def test_annotated_gradient_and_type_correlation(spark):
     dx, dy = np.gradient(field)
     assert all(np.isclose(r.dx, dx[r.gx, r.gy]) and np.isclose(r.dy, dy[r.gx, r.gy]) for r in N.gradient(g).collect())
     assert cells.where(F.col("cell_id") < 0).count() == 0
+
+
+def test_centralities_of_several_clusters_in_blocks(spark, monkeypatch):
+    """Blocks of two genes give what one block gives, and each cluster's vector is its own."""
+    rows = [(c, f"g{a}", f"g{b}", float(w)) for c in ("k", "m") for a, b, w in zip(rng.integers(0, 25, 80), rng.integers(0, 25, 80), rng.integers(-5, 6, 80)) if a != b and w]
+    df = spark.createDataFrame([*rows, ("z", "a", "b", 2.0), ("z", "a", None, 1.0)][:-1], "cluster string, source string, target string, coef_mean double").repartition(3)
+    whole = {(r.cluster, r.gene): r.betweenness for r in K.betweenness(df).collect()}
+    monkeypatch.setattr(K, "ROOTS", 2)
+    parts = {(r.cluster, r.gene): r.betweenness for r in K.betweenness(df).collect()}
+    assert parts.keys() == whole.keys() and all(np.isclose(parts[k], whole[k]) for k in whole)
+    eig = {(r.cluster, r.gene): r.eigenvector for r in K.eigenvector_centrality(df).collect()}
+    for c in ("k", "m", "z"):
+        genes = sorted(g for k, g in eig if k == c)
+        a = np.zeros((len(genes), len(genes)))
+        for k, s, t, w in [*rows, ("z", "a", "b", 2.0)]:
+            if k == c:
+                a[genes.index(s), genes.index(t)] += abs(w)
+                a[genes.index(t), genes.index(s)] += abs(w)
+        v = np.abs(np.linalg.eigh(a)[1][:, -1])
+        assert np.allclose([eig[c, g] for g in genes], v / v.max(), atol=1e-6)
+    assert K.betweenness(df.limit(0)).count() == 0 and K.eigenvector_centrality(df.limit(0)).count() == 0

@@ -137,12 +137,3 @@ def test_student_tail_against_integration():
             inside = np.trapezoid(d[abs(t) <= x + 1e-9], t[abs(t) <= x + 1e-9]) if x else 0.0
             assert abs(tails.student_two_sided(np.array([x]), np.array([df]))[0] - (1 - inside)) < 1e-4
     assert np.isnan(tails.student_two_sided(np.array([1.0]), np.array([0]))).all()
-
-
-def test_components_and_elbow(spark):
-    base = rng.normal(size=(120, 2))
-    x = np.c_[base * [10, 5], 0.01 * rng.normal(size=(120, 6))]
-    rows = [(i, f"g{k}", float(x[i, k])) for i in range(120) for k in range(8)]
-    expr = spark.createDataFrame(rows, "cell_id long, gene string, value double")
-    pcs, elbow = M.principal_components(expr, expr, expr.select("cell_id").distinct(), 6)
-    assert pcs.count() == 120 and elbow <= 3
