@@ -7,12 +7,16 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.lineage import if_small
 from tessella.functions.scalars import normal_sf
 from tessella.functions.tails import student_p
 from tessella.operators.communication import benjamini_hochberg
 
+#: Genes whose two numbers are fitted together.
+MOST_GENES = 200_000
+
 
 def standardise_counts(expr: DataFrame, cells: DataFrame, group: str | None = None, eps: float = 1e-10) -> DataFrame:
     """(cell_id, gene, z) of every cell and gene: counts against a negative binomial whose mean follows depth, within ``group``.
@@ -256,24 +260,73 @@ def clipped(score: Column, positive: bool) -> Column:
     return F.greatest(score, F.lit(0.0)) if positive else F.least(score, F.lit(0.0))
 
 
-def variable_genes(expr: DataFrame, n_cells: int, most: int, least_cells: int = 2, most_mean: float = 20.0, least_mean: float = 0.0, genes: DataFrame | None = None) -> DataFrame:
-    """(gene, score, selected): log2 CV over a parabola in log2 mean fitted by least squares; the ``most`` highest and one, with ties.
+def support_vectors(x: np.ndarray, y: np.ndarray, gamma: float, c: float = 1.0, epsilon: float = 0.1, settled: float = 1e-5, bins: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(weights of the points, centres, weights of the centres, bias) of a regression by support vectors on one variable.
+
+    The kernel is exp(-gamma (a - b)^2).  Points fall into narrow bins whose centres stand for them, so a step costs their number, not
+    a row of a matrix.  A step moves weight between the two points that gain most from it, as far as the nearest bound (0 or ``c`` in
+    size), until no pair gains more than ``settled``.
+    """
+    low, high = float(x.min()), float(x.max())
+    width = (high - low) / bins or 1.0
+    at = np.minimum(((x - low) / width).astype(int), bins - 1)
+    centre = low + (np.arange(bins) + 0.5) * width
+    used, at = np.unique(at, return_inverse=True)
+    centre = centre[used]
+    k = np.exp(-gamma * (centre[:, None] - centre[None, :]) ** 2)
+    w, f = np.zeros(len(x)), np.zeros(len(centre))
+    while True:
+        base = f[at] - y
+        up = np.where(w < c, base + np.where(w >= 0, epsilon, -epsilon), np.inf)
+        down = np.where(w > -c, base + np.where(w > 0, epsilon, -epsilon), -np.inf)
+        i, j = int(up.argmin()), int(down.argmax())
+        gain = down[j] - up[i]
+        if gain <= settled:
+            break
+        a, b = at[i], at[j]
+        room = min((-w[i] if w[i] < 0 else c - w[i]), (w[j] if w[j] > 0 else c + w[j]))
+        bend = k[a, a] + k[b, b] - 2 * k[a, b]
+        t = room if bend <= 1e-12 else min(room, gain / bend)
+        for n, v in ((i, w[i] + t), (j, w[j] - t)):  # bounds are met exactly
+            w[n] = next((z for z in (0.0, c, -c) if abs(v - z) < 1e-14), v)
+        f += t * (k[:, a] - k[:, b])
+    return w, centre, np.bincount(at, w, len(centre)), -(up[i] + down[j]) / 2
+
+
+def _parabola(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.polyval(np.polyfit(x, y, 2), x)
+
+
+def _kernel_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    gamma = 150.0 / len(x)
+    _, centre, weight, bias = support_vectors(x, y, gamma)
+    out = np.empty(len(x))
+    for k in range(0, len(x), 4096):
+        out[k : k + 4096] = np.exp(-gamma * (x[k : k + 4096, None] - centre[None, :]) ** 2) @ weight + bias
+    return out
+
+
+def variable_genes(expr: DataFrame, n_cells: int, most: int, least_cells: int = 2, most_mean: float = 20.0, least_mean: float = 0.0, genes: DataFrame | None = None, fit: str = "kernel") -> DataFrame:
+    """(gene, score, selected): log2 CV over a curve in log2 mean; the ``most`` highest and one, with ties.
 
-    Genes outside the limits take no part in the fit and get a score just below the least.  (The reference fits by support vectors.)
+    The curve is a regression by support vectors (``fit`` kernel; gamma 150 over the number of genes) or a parabola by least squares.
+    Sums over cells are made in all tasks; two numbers a gene are fitted together (refused above MOST_GENES).  Genes outside the limits take no
+    part in the fit and get a score just below the least; fewer than three genes have no scores.
     """
     v = variation_fit(expr, n_cells).withColumn("_mean", F.pow(F.lit(2.0), F.col("log_mean")))
     ok = (F.col("detected") > least_cells) & (F.col("_mean") < most_mean) & (F.col("_mean") > least_mean) & F.col("log_cv").isNotNull()
-    x, y = F.col("log_mean"), F.col("log_cv")
-    sums = v.where(ok).agg(*[F.sum(F.pow(x, F.lit(k))) for k in range(5)], *[F.sum(F.pow(x, F.lit(k)) * y) for k in range(3)]).first()
     every = expr.select("gene").distinct() if genes is None else genes.select("gene").distinct()
-    if sums[0] is None or sums[0] < 3:
+    rows = v.where(ok).select("gene", "log_mean", "log_cv").orderBy("gene").limit(MOST_GENES + 1).collect()
+    if len(rows) > MOST_GENES:
+        raise ValueError(f"more than {MOST_GENES} genes")
+    if len(rows) < 3:
         return every.select("gene", F.lit(None).cast("double").alias("score"), F.lit(False).alias("selected"))
-    c = np.linalg.lstsq(np.array([[sums[i + j] for j in range(3)] for i in range(3)]), np.array(sums[5:]), rcond=None)[0].tolist()
-    scored = v.where(ok).select("gene", (y - (c[0] + c[1] * x + c[2] * x * x)).alias("score"))
-    n = min(most, int(sums[0]) - 1)
-    low = scored.agg(F.min("score")).first()[0]
-    nth = scored.orderBy(F.desc("score")).limit(n + 1).agg(F.min("score")).first()[0]
-    out = every.join(scored, "gene", "left").withColumn("score", F.coalesce("score", F.lit(low - 1e-16)))
+    x, y = np.array([r.log_mean for r in rows]), np.array([r.log_cv for r in rows])
+    score = y - {"kernel": _kernel_fit, "parabola": _parabola}[fit](x, y)
+    kind = T.StructType([v.schema["gene"], T.StructField("score", T.DoubleType())])
+    scored = expr.sparkSession.createDataFrame([(r.gene, float(s)) for r, s in zip(rows, score)], kind)
+    nth = float(np.sort(score)[::-1][min(most, len(score) - 1)])
+    out = every.join(F.broadcast(scored), "gene", "left").withColumn("score", F.coalesce("score", F.lit(float(score.min()) - 1e-16)))
     return out.withColumn("selected", F.col("score") >= nth)
 
 

@@ -145,3 +145,32 @@ def test_equal_means_rank_by_name_whatever_the_last_bit(spark):
     w = spark.createDataFrame(rows, "tf string, ligand string, weight double")
     assert [r.ligand for r in X.top_ligands(w, -0.25, 3).orderBy("rank").collect()] == ["c", "a", "b"]
     assert [r.ligand for r in X.top_then_back_fill(w, -0.25 + 1e-12, 5).orderBy("rank").collect()] == ["c", "a", "b"]
+
+
+def test_support_vectors_are_optimal_for_the_exact_kernel():
+    """No pair of points gains from moving weight, which makes the solution of this convex problem; bins cost less than the tolerance."""
+    r = np.random.default_rng(6)
+    x = np.r_[r.normal(size=150) * 3, 1.0, 1.0]
+    y = np.sin(x) + 0.3 * r.normal(size=152)
+    for gamma, c in ((1.0, 1.0), (150 / 152, 0.2)):
+        w, centre, weight, bias = Q.support_vectors(x, y, gamma, c, 0.1, bins=1 << 14)
+        assert abs(w.sum()) < 1e-9 and np.abs(w).max() <= c
+        f = np.exp(-gamma * (x[:, None] - x) ** 2) @ w
+        up, down = f - y + np.where(w >= 0, 0.1, -0.1), f - y + np.where(w > 0, 0.1, -0.1)
+        assert down[w > -c].max() - up[w < c].min() < 0.01
+        assert np.abs(np.exp(-gamma * (x[:, None] - centre) ** 2) @ weight - f).max() < 0.005
+        inside = (np.abs(w) > 1e-9) & (np.abs(w) < c - 1e-9)  # on the edge of the tube
+        assert np.allclose(np.abs(f + bias - y)[inside], 0.1, atol=0.01)
+
+
+def test_variable_genes_lie_above_the_curve(spark):
+    r = np.random.default_rng(7)
+    mean = np.exp(r.uniform(-1, 2, 60))
+    x = r.poisson(mean, (200, 60)).astype(float)
+    x[:, 5] *= r.gamma(0.5, 2, 200)
+    rows = [(int(i), f"g{j:02d}", float(x[i, j])) for i, j in np.argwhere(x > 0)]
+    expr = spark.createDataFrame(rows, "cell_id long, gene string, value double")
+    for fit in ("kernel", "parabola"):
+        got = {v.gene: v for v in Q.variable_genes(expr, 200, 3, fit=fit).collect()}
+        assert len(got) == 60 and max(got.values(), key=lambda v: v.score).gene == "g05" and sum(v.selected for v in got.values()) == 4
+    assert Q.variable_genes(expr.limit(0), 200, 3).count() == 0
