@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import models as M
+from tessella.operators.bayes import variational_betas
 from tessella.operators.components import components, elbow
 from tessella.plans.registry import query, rounded
 from tessella.sources import views as V
@@ -147,6 +148,11 @@ def m27_per_cluster(spark, d):
     return rounded(M.fit_betas(_sums(spark, d, ["cell_type"]), design, ["cell_type"]).select("cell_type", "target", "factor", "beta", "r", "n_cells"), "beta", "r")
 
 
+@query()
+def m27_variational(spark, d):
+    return variational_betas(_sums(spark, d, ["cell_type"]), _all(spark, d), ["cell_type"])
+
+
 @query(f"{V.with_views('betas')}, m AS (SELECT target, modulator, avg(beta) AS beta FROM betas GROUP BY 1, 2)\nSELECT target, modulator, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(round(beta, 9)) DESC, modulator) AS rank FROM m) q")
 def w5_ranked_coefficients(spark, d):
     b = V.betas(spark, d).groupBy("target", F.col("modulator").alias("factor")).agg(F.round(F.avg("beta"), 9).alias("beta"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import tails
+from tessella.operators import bayes as B
 from tessella.operators import models as M
 
 rng = np.random.default_rng(8)
@@ -137,3 +138,38 @@ def test_student_tail_against_integration():
             inside = np.trapezoid(d[abs(t) <= x + 1e-9], t[abs(t) <= x + 1e-9]) if x else 0.0
             assert abs(tails.student_two_sided(np.array([x]), np.array([df]))[0] - (1 - inside)) < 1e-4
     assert np.isnan(tails.student_two_sided(np.array([1.0]), np.array([0]))).all()
+
+
+def test_variational_intervals_cover_the_coefficients(spark):
+    """Coefficients drawn from the prior: 95 in 100 intervals hold them, and the normal agrees with dense algebra and the best sigma."""
+    r = np.random.default_rng(12)
+    n, k, targets = 150, 4, 60
+    x = r.normal(size=(n, k))
+    w = 0.1 * r.normal(size=(targets, k + 1))
+    y = w[:, :1] + w[:, 1:] @ x.T + 0.4 * r.normal(size=(targets, n))
+    cells = spark.createDataFrame([(i, "a") for i in range(n)], "cell_id long, cell_type string")
+    rows = [(i, f"f{j}", float(x[i, j])) for i in range(n) for j in range(k)] + [(i, f"t{t:02d}", float(y[t, i])) for t in range(targets) for i in range(n)]
+    values = spark.createDataFrame(rows, "cell_id long, factor string, x double")
+    design = spark.createDataFrame([(f"t{t:02d}", f"f{j}", j) for t in range(targets) for j in range(k)] + [("t00", "zero", 9)], "target string, factor string, pos long")
+    got = {}
+    for v in B.variational_betas(M.products(cells, values, by=["cell_type"]), design, ["cell_type"]).collect():
+        got[v.target, v.factor] = v
+    assert len(got) == targets * (k + 1) + 1 and np.isclose(got["t00", "zero"].sd, 0.1) and got["t00", "zero"].beta == 0
+    name = ["(intercept)", *[f"f{j}" for j in range(k)]]
+    inside = [got[f"t{t:02d}", f].lo <= w[t, j] <= got[f"t{t:02d}", f].hi for t in range(targets) for j, f in enumerate(name)]
+    assert 0.91 <= np.mean(inside) <= 0.985
+    assert abs(np.mean([got[f"t{t:02d}", "f0"].sigma for t in range(targets)]) - 0.4) < 0.02
+    one = np.c_[np.ones(n), x]
+    for t in range(1, 6):
+        beta = np.array([got[f"t{t:02d}", f].beta for f in name])
+        sd = np.array([got[f"t{t:02d}", f].sd for f in name])
+        precision = None
+        for p in np.linspace(4, 9, 5001):  # of the sigma that fits these coefficients best
+            u = -np.log(p) / 2
+            cov = np.linalg.inv(p * one.T @ one + np.eye(k + 1) * 100)
+            left = ((y[t] - one @ beta) ** 2).sum() + np.trace(cov @ one.T @ one)
+            gap = abs((n + u) / left - p)
+            if precision is None or gap < precision[0]:
+                precision = (gap, p)
+        cov = np.linalg.inv(precision[1] * one.T @ one + np.eye(k + 1) * 100)
+        assert np.allclose(beta, precision[1] * cov @ one.T @ y[t], atol=2e-4) and np.allclose(sd, np.sqrt(np.diag(cov)), atol=2e-4)
