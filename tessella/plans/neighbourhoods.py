@@ -173,10 +173,15 @@ def a42_demographics(spark, d):
     return P.demographics(V.cells(spark, d), 30.0)
 
 
-@query()
+@query(f"""{V.with_views('cells').replace('WITH', 'WITH RECURSIVE', 1)}, {knn(12)}, spot AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) AS n FROM cells), named AS (SELECT j AS i, count(*) AS l FROM knn GROUP BY 1),
+turn AS MATERIALIZED (SELECT i, list(n ORDER BY d2, j) AS js, row_number() OVER (ORDER BY coalesce(max(l), 0) DESC, i DESC) AS step FROM knn JOIN spot ON j = cell_id LEFT JOIN named USING (i) GROUP BY i),
+walk AS (SELECT CAST(0 AS BIGINT) AS step, list_transform(range((SELECT count(*) FROM cells)), lambda x: CAST(0 AS BIGINT)) AS held, CAST([] AS BIGINT[]) AS took
+  UNION ALL SELECT step, list_transform(held, lambda v, n: v + CASE WHEN list_contains(new, n) THEN 1 ELSE 0 END), new FROM (SELECT t.step AS step, held, list_slice(list_filter(js, lambda j: held[j] < 6), 1, 5) AS new FROM walk JOIN turn t ON t.step = walk.step + 1) q),
+chosen AS (SELECT i, unnest(took) AS n FROM walk JOIN turn USING (step))
+SELECT c.i AS i, cell_id AS j, round(d2, 6) AS d2 FROM chosen c JOIN spot USING (n) JOIN knn ON knn.i = c.i AND knn.j = cell_id""")
 def w4_balanced_neighbours(spark, d):
     c = V.cells(spark, d)
-    return N.balanced_neighbours(P.nearest(c, c, 12), 5, 6)
+    return rounded(N.balanced_neighbours(P.nearest(c, c, 12), 5, 6), "d2")
 
 
 def _grid(m: int, pad: float = 0.0) -> str:
