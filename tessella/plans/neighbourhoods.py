@@ -304,7 +304,7 @@ def m41_pseudotime(spark, d):
     time = cut(pseudotime(value, psi, root))
     last = F.max_by("cell_id", F.struct(F.round("pseudotime", 6), "cell_id")).alias("cell_id")
     ends = time.where("pseudotime is not null").join(c.where("cell_type <> 'BUILDING'"), "cell_id").groupBy(F.col("cell_type").alias("state")).agg(last)
-    return time.join(end_probabilities(graph, time, ends, 0.01), "cell_id", "left")
+    return time.join(end_probabilities(graph, time, ends), "cell_id", "left")
 
 
 @query()
