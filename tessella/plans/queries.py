@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.functions.lineage import cut
 from tessella.operators import communication as C
 from tessella.operators import factors as X
 from tessella.operators import models as M
 from tessella.operators import spatial as P
 from tessella.operators import tables as T
 from tessella.plans import cellwise, designs, enrichment, factors, filters, neighbourhoods, permutations, regressions, results, statistics, viewer  # noqa: F401  they register their queries
-from tessella.plans.registry import EDGES, FOLDED, NEAR, PAIRS, QUERIES, RADIUS, SQL, edges, knn, longs, pairs, query, rounded
+from tessella.plans.registry import EDGES, FOLDED, NEAR, PAIRS, QUERIES, RADIUS, SQL, knn, longs, pairs, query, rounded
 from tessella.sources import views as V
 from tessella.streaming.incremental import windowed_counts
 
@@ -60,7 +61,7 @@ _ROOT = "sqrt(CASE WHEN eg2 = 0 THEN 1 ELSE eg2 END)"
 
 
 def _scores(spark, d):
-    return C.pair_scores(C.fold(edges(spark, d)), V.expr(spark, d), pairs(spark, d))
+    return C.near_pair_scores(V.cells(spark, d), V.expr(spark, d), pairs(spark, d), RADIUS)
 
 
 @query(f"{_AGN}, {_SCORES}\nSELECT g1, g2, round(c, 3) AS c FROM scores")
@@ -70,22 +71,23 @@ def a10_pair_scores(spark, d):
 
 @query(f"{V.with_views('cells', 'expr', 'lr')}, {EDGES}, {PAIRS}\nSELECT p.cell_type AS ct1, q.cell_type AS ct2, g1, g2, round(sum(x.value * w * y.value), 3) AS c FROM edges JOIN expr x ON i = x.cell_id JOIN pairs ON x.gene = g1 JOIN expr y ON j = y.cell_id AND y.gene = g2 JOIN cells p ON i = p.cell_id JOIN cells q ON j = q.cell_id GROUP BY 1, 2, 3, 4")
 def a11_typed_scores(spark, d):
-    return rounded(C.typed_scores(edges(spark, d), V.expr(spark, d), pairs(spark, d), V.cells(spark, d)), "c", digits=3)
+    return rounded(C.near_typed_scores(V.cells(spark, d), V.expr(spark, d), pairs(spark, d), RADIUS), "c", digits=3)
 
 
 @query(f"{_AGN}, {_MOMENTS}\nSELECT gene, round(eg2, 2) AS eg2 FROM moments")
 def a13_second_moment(spark, d):
-    return rounded(C.second_moment(C.fold(edges(spark, d)), V.expr(spark, d)), "eg2", digits=2)
+    e = V.expr(spark, d)
+    return rounded(C.second_moment(None, e, C.near_sums(V.cells(spark, d), e, RADIUS)), "eg2", digits=2)
 
 
 def _z(spark, d, centre=False):
-    f, e, p = C.fold(edges(spark, d)), V.expr(spark, d), pairs(spark, d)
-    sums = C.cached_sums(f, e, p)
-    scores = C.pair_scores(f, e, p, sums)
+    c, e, p = V.cells(spark, d), V.expr(spark, d), pairs(spark, d)
+    scores = cut(C.near_pair_scores(c, e, p, RADIUS))
     if centre:
         mean = scores.agg(F.avg("c")).first()[0] or 0.0
         scores = scores.withColumn("c", F.col("c") - mean)
-    return C.z_scores(scores, C.pair_moments(p, C.second_moment(f, e, sums), C.squared_weights(f)))
+    moments = C.second_moment(None, e, C.near_sums(c, e, RADIUS, p))
+    return C.z_scores(scores, C.pair_moments(p, cut(moments), C.near_squared_weights(c, RADIUS)))
 
 
 @query(f"{_AGN}, {_SCORES}, {_MOMENTS}, {_OFF}, {_SIDES.format(scores='off')}\nSELECT g1, g2, round(c / {_ROOT}, 5) AS z FROM zz")
@@ -107,17 +109,17 @@ _TYPED = "t AS (SELECT i, j, w, p.cell_type AS ct1, q.cell_type AS ct2 FROM edge
 
 @query(f"{V.with_views('cells', 'expr', 'lr')}, {EDGES}, {PAIRS}, {_TYPED}, a AS (SELECT ct1, ct2, sum(w * w) AS w2 FROM t GROUP BY 1, 2), c AS (SELECT ct1, ct2, gene, sum(w * w * value * value) AS e FROM t JOIN expr ON j = expr.cell_id GROUP BY 1, 2, 3), g AS (SELECT ct1, ct2, g1, g2, sum(w * w * x.value * x.value * y.value * y.value) AS e FROM t JOIN expr x ON i = x.cell_id JOIN pairs ON x.gene = g1 JOIN expr y ON j = y.cell_id AND y.gene = g2 GROUP BY 1, 2, 3, 4)\nSELECT 'all' AS fix, ct1, ct2, g1, g2, round(w2, 4) AS eg2 FROM a CROSS JOIN pairs UNION ALL SELECT 'ct', ct1, ct2, g1, g2, round(e, 1) FROM c JOIN pairs ON gene = g1 UNION ALL SELECT 'gp', ct1, ct2, g1, g2, round(e, -3) FROM g")
 def a13_typed_moments(spark, d):
-    args = edges(spark, d), V.expr(spark, d), pairs(spark, d), V.cells(spark, d)
+    args = V.cells(spark, d), V.expr(spark, d), pairs(spark, d), RADIUS
     out = None
     for fix, digits in ((None, 4), ("ct", 1), ("gp", -3)):
-        one = C.typed_moments(*args, fix).select(F.lit(fix or "all").alias("fix"), "ct1", "ct2", "g1", "g2", F.round("eg2", digits).alias("eg2"))
+        one = C.near_typed_moments(*args, fix).select(F.lit(fix or "all").alias("fix"), "ct1", "ct2", "g1", "g2", F.round("eg2", digits).alias("eg2"))
         out = one if out is None else out.union(one)
     return out
 
 
 @query(f"{V.with_views('cells')}, {EDGES}, folded AS (SELECT least(i, j) AS i, greatest(i, j) AS j, sum(w) AS w FROM edges GROUP BY 1, 2)\nSELECT node, round(sum(w), 6) AS degree FROM (SELECT i AS node, w FROM folded UNION ALL SELECT j, w FROM folded) x GROUP BY 1")
 def a16_degrees(spark, d):
-    return rounded(C.degrees(C.fold(edges(spark, d))), "degree")
+    return rounded(C.near_degrees(V.cells(spark, d), RADIUS), "degree")
 
 
 @query(f"{V.with_views('betas', 'cells')}\nSELECT target, modulator, cell_type, round(avg(beta), 9) + 0.0e0 AS mean, round(stddev_samp(beta), 7) AS std, count(*) AS n FROM betas JOIN cells USING (cell_id) GROUP BY 1, 2, 3")
