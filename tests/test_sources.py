@@ -154,3 +154,14 @@ def test_changes_of_each_hop_and_masks(spark, tmp_path):
     assert values(X.masked_perturb(expr, cells, betas, levels, every.limit(0), 30.0, hops=2))[0, "T"] == 3
     some = X.splash(betas.union(betas.selectExpr("target", "cell_id", "'R' as modulator", "beta")), expr, expr, allowed=spark.createDataFrame([("T", "Q")], "target string, source string"))
     assert X.splash(betas, expr, expr).count() == some.count()
+
+
+def test_halves_round_as_the_sql_engine_rounds_them(spark):
+    """The product with a million is a half, though the shortest decimal of the number is below one."""
+    import duckdb
+    from pyspark.sql import functions as F
+    from tessella.sources import views as V
+
+    x = [-0.29788749999999997, -0.2619775, 0.5, -0.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(V.half_away(F.col("x"), 6)).collect()]
+    assert got == [duckdb.sql(f"SELECT round(CAST({v!r} AS DOUBLE), 6)").fetchall()[0][0] for v in x]
