@@ -81,7 +81,7 @@ def a13_second_moment(spark, d):
 
 
 def _z(spark, d, centre=False):
-    c, e, p = V.cells(spark, d), V.expr(spark, d), pairs(spark, d)
+    c, e, p = V.cells(spark, d), cut(V.expr(spark, d)), pairs(spark, d)  # read three times
     scores = cut(C.near_pair_scores(c, e, p, RADIUS))
     if centre:
         mean = scores.agg(F.avg("c")).first()[0] or 0.0
