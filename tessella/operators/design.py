@@ -46,19 +46,28 @@ def factor_map(genes: DataFrame, grn: DataFrame, pairs: DataFrame, weights: Data
 def factor_values(map_: DataFrame, expr: DataFrame, got: DataFrame) -> DataFrame:
     """(cell_id, factor, x): a regulator's expression, or a ligand received times its partner's expression; each factor once for all targets.
 
-    Absent entries are 0, so a factor that is 0 in every cell has no row.  Values are rounded to single precision.
+    Absent entries are 0, so a factor that is 0 in every cell has no row.  Values are rounded to single precision.  What a cell expresses and what it
+    receives meet once, as arrays, and factors are made there: no row of a cell and factor is shuffled.
     """
     f = map_.select("factor").distinct().withColumns({"_l": F.split("factor", "[$#]")[0], "_p": F.get(F.split("factor", "[$#]"), F.lit(1))})
-    plain = f.where("_p is null").join(expr.withColumnRenamed("gene", "_l"), "_l").select("cell_id", "factor", F.col("value").alias("x"))
-    both = f.where("_p is not null").join(got.select("cell_id", F.col("gene").alias("_l"), F.col("value").alias("_r")), "_l")
-    both = both.join(expr.select("cell_id", F.col("gene").alias("_p"), F.col("value").alias("_e")), ["cell_id", "_p"]).select("cell_id", "factor", (F.col("_r") * F.col("_e")).alias("x"))
+    f = if_small(f)  # names of factors
+    plain = expr.withColumnRenamed("gene", "_l").join(f.where("_p is null"), "_l").select("cell_id", "factor", F.col("value").cast("double").alias("x"))
+    entry = lambda df, own: df.select("cell_id", F.struct(F.lit(own).alias("own"), "gene", F.col("value").cast("double").alias("v")).alias("_e"))
+    partner = f.where("_p is not null")
+    rows = entry(expr.join(partner.select(F.col("_p").alias("gene")).distinct(), "gene", "left_semi"), True).unionByName(entry(got.join(partner.select(F.col("_l").alias("gene")).distinct(), "gene", "left_semi"), False))
+    cell = rows.where("cell_id is not null").groupBy("cell_id").agg(F.collect_list("_e").alias("_e"))
+    own, met = (F.filter("_e", lambda e: e["own"]), F.filter("_e", lambda e: ~e["own"]))
+    one = cell.select("cell_id", F.explode(own).alias("_o"), met.alias("_r")).select("cell_id", F.col("_o.gene").alias("_p"), F.col("_o.v").alias("_v"), "_r").join(partner, "_p")
+    both = one.select("cell_id", "factor", "_v", F.explode(F.filter("_r", lambda e: e["gene"] == F.col("_l"))).alias("_w")).select("cell_id", "factor", (F.col("_w.v") * F.col("_v")).alias("x"))
     return plain.union(both).withColumn("x", F.col("x").cast("float").cast("double")).where("x <> 0")
 
 
 def build_store(cells: DataFrame, expr: DataFrame, grn: DataFrame, pairs: DataFrame, weights: DataFrame, targets: DataFrame, secreted: float = 300.0, contact: float = 50.0, least_receptor: float = 0.01, cutoff: float = 0.01, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(values (cell_id, factor, x), map (target, factor, kind, pos)) of the targets that are expressed genes; factors without a value go.
+    """(values (cell_id, factor, x), map (target, factor, kind, pos, n)) of the targets that are expressed genes; n counts a factor's values,
+    and factors without one go.
 
-    Radii come from a ligand's first row among known genes, before receptors are filtered.
+    Radii come from a ligand's first row among known genes, before receptors are filtered.  Values are not written here: whoever reads
+    them more than once does so.
     """
     genes = expr.select("gene").distinct()
     t = targets.join(genes.withColumnRenamed("gene", "target"), "target", "left_semi")
@@ -69,8 +78,10 @@ def build_store(cells: DataFrame, expr: DataFrame, grn: DataFrame, pairs: DataFr
     map_ = cut(factor_map(genes, grn, kept, weights, t, cutoff))
     ligands = map_.where("kind <> 'tf'").select(F.split("factor", "[$#]")[0].alias("gene")).distinct()
     got = received_by_radius(cells, expr, radii.join(ligands, "gene", "left_semi"), cells.count(), scale)
-    values = cut(factor_values(map_, expr, got))
-    return values, map_.join(values.select("factor").distinct(), "factor", "left_semi").select(*map_.columns)
+    got = cut(got.groupBy("cell_id").agg(F.collect_list(F.struct("gene", "value")).alias("_e"))).select("cell_id", F.explode("_e").alias("_e")).select("cell_id", "_e.gene", "_e.value")
+    values = factor_values(map_, expr, got)
+    there = if_small(values.groupBy("factor").agg(F.count("*").alias("n")))
+    return values, map_.join(there, "factor").select(*map_.columns, "n")
 
 
 def gene_design(map_: DataFrame, target: str, metabolites: DataFrame | None = None, metabs: list[str] | str | None = None, customs: DataFrame | None = None, custom: list[str] | str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import cut
 from tessella.operators import design as G
 from tessella.operators import tables as T
 from tessella.plans.registry import KERNEL, NEAR, RADIUS, query, rounded
@@ -44,7 +45,7 @@ def m32_factor_values(spark, d):
     from tessella.operators import spatial as P
 
     e, *_ = _tables(spark, d)
-    c = V.cells(spark, d)
+    e, c = cut(e), V.cells(spark, d)
     out = G.factor_values(m32_factor_map(spark, d), e, P.received(c, e, RADIUS, c.count()))
     return out.withColumn("x", F.round(F.col("x").cast("float"), 3))
 
@@ -52,9 +53,8 @@ def m32_factor_values(spark, d):
 @query()
 def m32_store(spark, d):
     e, lr, grn, w, targets = _tables(spark, d)
-    values, map_ = G.build_store(V.cells(spark, d), e, grn, lr, w, targets, 60.0, 30.0, 1.0, 0.5)
-    n = values.groupBy("factor").agg(F.count("*").alias("n"))
-    return map_.join(n, "factor").select("target", "factor", "kind", "pos", "n")
+    _, map_ = G.build_store(V.cells(spark, d), cut(e), grn, lr, w, targets, 60.0, 30.0, 1.0, 0.5)
+    return map_.select("target", "factor", "kind", "pos", "n")
 
 
 @query(f"{_MAP}, own AS (SELECT factor, row_number() OVER (ORDER BY k, a, c, factor) AS pos FROM fm WHERE target = 'Brand7'), m AS (SELECT count(*) AS n FROM own)\nSELECT 'Brand7' AS target, factor, pos FROM own UNION ALL SELECT 'Brand7', 'metab@a', n + 1 FROM m UNION ALL SELECT 'Brand7', 'metab@b|c', n + 2 FROM m UNION ALL SELECT 'Brand7', 'near', n + 3 FROM m")
