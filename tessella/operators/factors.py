@@ -162,17 +162,19 @@ def perturb(expr: DataFrame, cells: DataFrame, betas: DataFrame, levels: DataFra
 
     Each hop takes derivatives at the state before it, replaces the change of a ligand by the change of what is received of it, sums
     over each target's factors, restores the given changes and keeps values between 0 and the gene's largest one.  A gene
-    without coefficients does not change.  Every hop is checkpointed, so plans stay short and lost executors cost one hop.  With
+    without coefficients does not change.  Every hop is checkpointed, so plans stay short and lost executors cost one hop; expression,
+    coefficients and given changes, which every hop reads several times, are written once.  With
     ``mask`` (cell_id, gene) only entries in it are sent; with ``deltas``, a folder, each hop's change is written there as hop=k.
     """
     n = cells.count()
-    ligands = cut(betas.where(modulator_group(F.col("modulator")).isin("lr", "ltf")).select(F.split("modulator", "[$#]")[0].alias("gene")).distinct())
+    expr, betas, levels = cut(expr), cut(betas), cut(levels)
+    ligands = if_small(betas.where(modulator_group(F.col("modulator")).isin("lr", "ltf")).select(F.split("modulator", "[$#]")[0].alias("gene")).distinct())
     sent = lambda x: x if mask is None else x.join(mask, ["cell_id", "gene"], "left_semi")
     take = lambda x: received(cells, sent(x).join(ligands, "gene", "left_semi"), radius, n, scale)
     plus = lambda x, y: x.unionByName(y).groupBy("cell_id", "gene").agg(F.sum("value").alias("value"))
     minus = lambda x: x.select("cell_id", "gene", (-F.col("value")).alias("value"))
-    given = levels.join(expr, ["cell_id", "gene"], "left").select("cell_id", "gene", (F.col("level") - F.coalesce("value", F.lit(0.0))).alias("value")).where("value <> 0")
-    most = expr.groupBy("gene").agg(F.max("value").alias("_max"))
+    given = cut(levels.join(expr, ["cell_id", "gene"], "left").select("cell_id", "gene", (F.col("level") - F.coalesce("value", F.lit(0.0))).alias("value")).where("value <> 0"))
+    most = if_small(expr.groupBy("gene").agg(F.max("value").alias("_max")))  # a row a gene
     got0 = got = cut(take(expr))
     now, delta = expr, given
     for hop in range(hops):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.lineage import cut
 from tessella.operators import factors as X
 from tessella.operators import spatial as P
 from tessella.plans.registry import KERNEL, NEAR, RADIUS, query, rounded
@@ -24,9 +25,9 @@ def _plain_expr(spark, d):
     return V.expr(spark, d).withColumn("gene", _plain("gene"))
 
 
-def _factor_betas(spark, d):
+def _factor_betas(spark, d, expr=None):
     lr = V.lr(spark, d).select(_plain("ligand").alias("ligand"), _plain("receptor").alias("receptor"))
-    j = _plain_expr(spark, d).join(lr, F.col("gene") == F.col("ligand"))
+    j = (expr or _plain_expr(spark, d)).join(lr, F.col("gene") == F.col("ligand"))
     k = F.col("cell_id") % 3
     name = F.when(k == 0, F.col("ligand")).when(k == 1, F.concat("ligand", F.lit("$"), "receptor")).otherwise(F.concat("ligand", F.lit("#"), "receptor"))
     return j.select("cell_id", F.col("receptor").alias("target"), name.alias("modulator"), (F.col("value") / 100 - 0.2).alias("beta"))
@@ -143,6 +144,6 @@ def m17_mean_splash(spark, d):
 
 @query()
 def m14_perturbed(spark, d):
-    c, e = V.cells(spark, d), _plain_expr(spark, d)
+    c, e = V.cells(spark, d), cut(_plain_expr(spark, d))
     gone = c.select("cell_id", F.lit("Brand11").alias("gene"), F.lit(0.0).alias("level"))
-    return X.perturb(e, c, _factor_betas(spark, d), gone, RADIUS, hops=2)
+    return X.perturb(e, c, _factor_betas(spark, d, e), gone, RADIUS, hops=2)
