@@ -1,8 +1,10 @@
 """Components, neighbours in many dimensions, smoothing and pseudotime against dense numpy."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,24 @@ def test_components_of_few_and_none(spark):
     assert pcs.count() == 3 and share.sum() == 0
 
 
+def test_products_hold_little_whatever_a_batch_has(spark):
+    n, p = 20_000, 25
+    at = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * p, pa.int32()), pa.array(np.tile(np.arange(p, dtype=np.int32), n)))
+    x = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * p, pa.int32()), pa.array(rng.normal(size=n * p)))
+    batch = pa.RecordBatch.from_arrays([at, x], ["at", "x"])
+    m = np.linalg.qr(rng.normal(size=(p, p)))[0]
+    shared = type("Shared", (), {"value": (m, np.zeros(p))})
+    whole = batch.column("x").values.to_numpy().reshape(n, p)
+    tracemalloc.start()
+    (r,), (s,) = P._triangles(shared)([batch]), P._transposed(shared)([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    r = np.frombuffer(r.column("r")[0].as_py()).reshape(p, p)
+    assert np.allclose(r.T @ r, (whole @ m).T @ (whole @ m))
+    assert np.allclose(np.frombuffer(s.column("s")[0].as_py()).reshape(p, p), whole.T @ (whole @ m))
+
+
 def test_elbow_is_the_first_turn():
     assert P.elbow(np.array([0.6, 0.3, 0.09, 0.001, 0.0005])) == 1
     assert P.elbow(np.array([0.5, 0.3, 0.2])) == 3
