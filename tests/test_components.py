@@ -108,6 +108,56 @@ def test_neighbours_of_few(spark):
     assert M.neighbours(df.limit(0), 5).count() == 0
 
 
+def test_places_go_to_few_chunks(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 64)
+    sent, cut = [], M.cut
+
+    def counted(df):
+        df = cut(df)
+        if "bound" in df.columns:
+            sent.append(df.count())
+        return df
+
+    monkeypatch.setattr(M, "cut", counted)
+    x = np.round(rng.random((2_000, 3)) * [900, 500, 100])
+    df = spark.createDataFrame([*enumerate(x.tolist())], "cell_id long, v array<double>").repartition(5)
+    got = {}
+    for r in M.neighbours(df, 5, True).orderBy("i", "rank").collect():
+        got.setdefault(r.i, []).append((r.j, round(r.d2, 9)))
+    assert got == nearest_of(list(range(len(x))), x, 5, True)
+    assert sum(sent) < 7 * len(x)  # of 32 cells
+
+
+def test_cells_are_reached_by_their_boxes():
+    v = np.r_[rng.normal(size=(300, 4)), np.full((100, 4), 3.0), np.c_[np.zeros((100, 3)), np.arange(100)]]
+    for depth in (0, 1, 5):
+        tree = M.Tree(v[::3], depth)
+        cell = tree.cell(v)
+        low, high = np.full((1 << depth, 4), np.inf), np.full((1 << depth, 4), -np.inf)
+        np.minimum.at(low, cell, v)
+        np.maximum.at(high, cell, v)
+        tree.enclose(low, high)
+        bound = rng.random(len(v))
+        gap = np.maximum(np.maximum(low - v[:, None], v[:, None] - high), 0)
+        want = np.argwhere(((gap**2).sum(2) <= bound[:, None]) & np.isin(np.arange(1 << depth), cell))
+        assert set(zip(*(x.tolist() for x in tree.within(v, bound)))) == set(map(tuple, want.tolist()))
+
+
+def test_sums_are_of_all_rows_of_a_cell_wherever_batches_end():
+    p, near = 5, np.repeat(np.arange(7), [3, 1, 4, 1, 5, 2, 6])
+    x = rng.integers(0, 3, (len(near), p)) * (rng.random((len(near), p)) < 0.7)
+    have = x > 0
+    want = {int(i): {g: float(x[near == i, g].sum()) for g in np.flatnonzero(have[near == i].any(0))} for i in range(7)}
+    rows = pa.table({"i": near, "at": pa.array([np.flatnonzero(h).astype(np.int32) for h in have]), "x": pa.array([x[k][h].astype(float) for k, h in enumerate(have)])})
+    for size in (1, 2, 5, 30):
+        got = {}
+        for b in SM._sums(p)(iter(rows.to_batches(max_chunksize=size))):
+            for r in b.to_pylist():
+                assert r["cell_id"] not in got
+                got[r["cell_id"]] = dict(zip(r["at"], r["x"]))
+        assert got == want
+
+
 def uniform_of(*parts):
     return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
 
