@@ -76,6 +76,8 @@ class Replay:
         self.vocab = [b""] * size
         for k, v in ranks.items():
             self.vocab[v] = k
+        self.pieces = np.empty(size, object)  # the same, to be taken by an array of ids
+        self.pieces[:] = self.vocab
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.known: dict[int, int] = {}
 
@@ -129,7 +131,8 @@ class Replay:
         order = np.argsort(mine, kind="stable")
         inner, mine = inner[order], mine[order]
         cut = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, np.int64)
-        index = {r: p.tolist() for r, p in zip(mine[cut].tolist(), np.split(inner, cut[1:]))}
+        places, ends = inner.tolist(), np.r_[cut, len(inner)].tolist()
+        index = {r: places[a:b] for r, a, b in zip(mine[cut].tolist(), ends, ends[1:])}
         heap = list(index)
         heapq.heapify(heap)
         sym, nxt, prv = raw.tolist(), nxt.tolist(), prv.tolist()
@@ -178,7 +181,8 @@ class Replay:
         flat = np.array(sym, np.int64)
         live = flat >= 0
         count = np.add.reduceat(live.astype(np.int64), end - size)
-        ids = np.split(flat[live].astype("<u4"), np.cumsum(count)[:-1])
+        every, ends = flat[live].astype("<u4"), np.r_[0, np.cumsum(count)].tolist()
+        ids = [every[a:b] for a, b in zip(ends, ends[1:])]
         # a merge that makes a pair of lower rank must be followed by that pair before its own rank goes on
         for i in np.unique(np.searchsorted(end, odd, "right")).tolist():
             ids[i] = self.plain(words[i])
@@ -195,7 +199,7 @@ class Replay:
         return np.array(ids, "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids.tolist()))
+        return b"".join(self.pieces[ids].tolist())
 
 
 class Encoder:
@@ -221,7 +225,8 @@ class Encoder:
             fresh_words = list({w for s in split for w in s} - known.keys() - table.keys())
             known.update(zip(fresh_words, (x.tobytes() for x in self.replay.words([w.encode("utf-8", "replace") for w in fresh_words]))))
             for p, s in zip(part, split):
-                into[p] = b"".join([known[w] if w in known else table[w] for w in s])
+                ids = [known[w] if w in known else table[w] for w in s]
+                into[p] = ids[0] if len(ids) == 1 else b"".join(ids)
             for w in fresh_words:
                 if len(w) > LONG:
                     del known[w]

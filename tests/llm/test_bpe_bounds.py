@@ -24,3 +24,11 @@ def test_ids_are_the_librarys_under_any_limits(monkeypatch, replay, learn, long,
         assert got == [library.encode(t, disallowed_special=()) for t in texts]
         assert [encoder.decode(x) for x in encoder.encode(texts)] == [t.encode() for t in texts]
     assert all(len(p) <= long for c in (encoder.first, encoder.later, encoder.words) for p in c)
+
+
+def test_a_piece_of_one_word_holds_no_second_copy_of_its_ids():
+    with open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        encoder = bpe.Encoder(bpe.parse_ranks(f.read()), tokenizers.PATTERN)
+    encoder.encode(["one unaccountabilities two,three"])
+    assert encoder.later["unaccountabilities"] is encoder.words[" unaccountabilities"]
+    assert encoder.decode(encoder.later["two,three"]) == b" two,three"
